@@ -24,6 +24,19 @@ RICH_HEAD = (
     "\"mainEntity\":{{\"@type\":\"Person\"}}}}</script></head>'"
 )
 
+READ_LOG = """
+        SELECT page_id, site, seq, url,
+               CASE WHEN page_id % 16 = 15 THEN 'https://elsewhere.example.org/landing' ELSE url END AS final_url,
+               CASE page_id % 12 WHEN 0 THEN 429 WHEN 1 THEN 403 WHEN 2 THEN 401 WHEN 3 THEN 503 WHEN 4 THEN 404 ELSE 200 END AS status,
+               CASE page_id % 12 WHEN 5 THEN 'timeout' WHEN 6 THEN 'network' WHEN 7 THEN 'private' ELSE NULL END AS error_kind,
+               CASE WHEN page_id % 12 = 8 THEN 'application/pdf; x=1' ELSE 'text/html; charset=utf-8' END AS content_type,
+               CASE page_id % 24 WHEN 0 THEN CAST(page_id % 90 AS VARCHAR(20)) WHEN 12 THEN 'Tue, 06 Oct 2026 10:00:30 GMT'
+                                 WHEN 3 THEN '-5' WHEN 15 THEN 'soon' ELSE NULL END AS retry_after,
+               CASE WHEN page_id % 24 = 1 THEN 'challenge' ELSE NULL END AS cf_mitigated,
+               '2026-10-06T10:00:' || lpad(CAST(page_id % 60 AS VARCHAR(20)), 2, '0') || 'Z' AS fetched_text,
+               CASE WHEN page_id % 36 = 21 THEN '<html><head><title> Just a moment... </title></head></html>' ELSE html END AS body, html
+        FROM {rows}"""
+
 # Name -> SQL over earlier names, which stand in braces.
 DERIVED: dict[str, str] = {
     "site_pages": """
@@ -68,18 +81,9 @@ DERIVED: dict[str, str] = {
                     WHEN seq % 3 = 1 THEN '2026-10-06T10:00:00+00:00'
                     ELSE '2026-0' || CAST(1 + seq % 9 AS VARCHAR(20)) || '-15' END AS lastmod
         FROM {site_pages}""",
-    "fetch_log": """
-        SELECT page_id, site, seq, url,
-               CASE WHEN page_id % 16 = 15 THEN 'https://elsewhere.example.org/landing' ELSE url END AS final_url,
-               CASE page_id % 12 WHEN 0 THEN 429 WHEN 1 THEN 403 WHEN 2 THEN 401 WHEN 3 THEN 503 WHEN 4 THEN 404 ELSE 200 END AS status,
-               CASE page_id % 12 WHEN 5 THEN 'timeout' WHEN 6 THEN 'network' WHEN 7 THEN 'private' ELSE NULL END AS error_kind,
-               CASE WHEN page_id % 12 = 8 THEN 'application/pdf; x=1' ELSE 'text/html; charset=utf-8' END AS content_type,
-               CASE page_id % 24 WHEN 0 THEN CAST(page_id % 90 AS VARCHAR(20)) WHEN 12 THEN 'Tue, 06 Oct 2026 10:00:30 GMT'
-                                 WHEN 3 THEN '-5' WHEN 15 THEN 'soon' ELSE NULL END AS retry_after,
-               CASE WHEN page_id % 24 = 1 THEN 'challenge' ELSE NULL END AS cf_mitigated,
-               '2026-10-06T10:00:' || lpad(CAST(page_id % 60 AS VARCHAR(20)), 2, '0') || 'Z' AS fetched_text,
-               CASE WHEN page_id % 36 = 21 THEN '<html><head><title> Just a moment... </title></head></html>' ELSE html END AS body
-        FROM {site_pages}""",
+    "fetch_log": READ_LOG.format(rows="{site_pages}"),
+    # The same log over the pages with all parts, body and page in one row.
+    "rich_log": READ_LOG.format(rows="{pages_rich}"),
     "job_results": """
         SELECT attempt * 1000000000 + seq AS off, site AS job_id, url, attempt,
                CASE (page_id + attempt) % 7 WHEN 0 THEN 'r' WHEN 1 THEN 'b' WHEN 2 THEN 's' WHEN 3 THEN 'x' ELSE 'o' END AS mark,

@@ -117,6 +117,7 @@ def resolve_redirects(starts: DataFrame, hops: DataFrame, stay_on_site: bool = F
     Many URLs often lead to the same place, so each step is a skew-safe lookup, fixed by a checkpoint.
     """
     redirecting = hops.filter(F.col("status").between(300, 399) & F.col("location").isNotNull())
+    redirecting = redirecting.groupBy("url").agg(F.min(F.struct("status", "location")).alias("_hop")).select("url", "_hop.*")
     targets = canonical_url(redirecting, "location", "_next", "url")
     host = url_host(F.col("_next"))
     dim = targets.select(

@@ -92,9 +92,8 @@ def job_targets(
 
 def page_pattern_lookup(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     """Adds the template of each page, ``/`` when it has none."""
-    return pages.join(patterns.select("site", "url", "pattern"), ["site", "url"], "left").withColumn(
-        "pattern", F.coalesce("pattern", F.lit("/"))
-    )
+    known = patterns.groupBy("site", "url").agg(F.min("pattern").alias("pattern"))
+    return pages.join(known, ["site", "url"], "left").withColumn("pattern", F.coalesce("pattern", F.lit("/")))
 
 
 def merge_reads(rendered: DataFrame, earlier: DataFrame, keep_failure: bool = False) -> DataFrame:

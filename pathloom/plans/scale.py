@@ -96,19 +96,19 @@ def rank_in_group(
     starts = sizes.select(
         *by,
         "_slice",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
-        F.sum("_rows").over(group).alias("_size"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_slice_start"),
+        F.sum("_rows").over(group).alias("_slice_size"),
     )
     left, right = sliced.alias("l"), starts.alias("r")
     same = F.col("l._slice") == F.col("r._slice")
     for name in by:
         same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
-    joined = left.join(right, same, "inner").select("l.*", "r._start", "r._size")
+    joined = left.join(right, same, "inner").select("l.*", "r._slice_start", "r._slice_size")
     piece = Window.partitionBy(*by, "_slice").orderBy(seq)
-    out = joined.withColumn(rank, F.row_number().over(piece) + F.col("_start"))
+    out = joined.withColumn(rank, F.row_number().over(piece) + F.col("_slice_start"))
     if size:
-        out = out.withColumn(size, F.col("_size"))
-    return out.drop("_slice", "_start", "_size")
+        out = out.withColumn(size, F.col("_slice_size"))
+    return out.drop("_slice", "_slice_start", "_slice_size")
 
 
 def rank_by_order(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank: str = "rn") -> DataFrame:
@@ -126,12 +126,12 @@ def rank_by_order(df: DataFrame, by: Sequence[str], order: Sequence[Column], ran
     )
     sizes = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*by, "_part", F.sum("_rows").over(before).alias("_start")).filter("_start > 0")
+    starts = sizes.select(*by, "_part", F.sum("_rows").over(before).alias("_slice_start")).filter("_slice_start > 0")
     piece = Window.partitionBy(*by, "_part").orderBy(*order)
     return (
         placed.join(F.broadcast(starts), [*by, "_part"], "left")
-        .withColumn(rank, F.row_number().over(piece) + F.coalesce("_start", F.lit(0)))
-        .drop("_part", "_start")
+        .withColumn(rank, F.row_number().over(piece) + F.coalesce("_slice_start", F.lit(0)))
+        .drop("_part", "_slice_start")
     )
 
 
