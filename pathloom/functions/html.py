@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NO_WORD, S, collapsed, decoded_text, inline_text, trimmed
+from .text import NO_WORD, S, collapsed, decoded_text, inline_text, let, trimmed
 
 # Elements that hold no readable text, in the order they are taken out.
 SILENT = ["script", "style", "noscript", "template", "svg", "iframe"]
@@ -112,11 +112,12 @@ def main_fragment(cleaned: Column) -> Column:
     articles = F.regexp_extract_all(cleaned, F.lit(rf"(?is)<article{NO_WORD}[^>]*>(.*?)</article{S}*>"), F.lit(1))
     body_pattern = rf"(?is)<body{NO_WORD}[^>]*>(.*)</body{S}*>"
     body = F.when(cleaned.rlike(body_pattern), F.regexp_extract(cleaned, body_pattern, 1)).otherwise(cleaned)
-    return (
-        F.when(F.length(inline_text(main)) > MIN_MAIN_TEXT, main)
-        .when(F.length(inline_text(F.array_join(articles, " "))) > MIN_MAIN_TEXT, F.array_join(articles, "\n"))
-        .otherwise(without_elements(body, CHROME))
+    long_enough = lambda fragment: F.length(inline_text(fragment)) > MIN_MAIN_TEXT
+    from_articles = let(
+        articles, lambda found: F.when(long_enough(F.array_join(found, " ")), F.array_join(found, "\n"))
     )
+    from_main = let(main, lambda found: F.when(long_enough(found), found))
+    return F.coalesce(from_main, from_articles, without_elements(body, CHROME))
 
 
 def readable_text(fragment: Column) -> Column:

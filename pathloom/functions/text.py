@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,9 +45,17 @@ NAMED_ENTITIES = {
     "raquo": "»",
 }
 
+_ENTITY_MAP = "map({})".format(
+    ", ".join("'{}', '{}'".format(name, char.replace("'", "\\'")) for name, char in NAMED_ENTITIES.items())
+)
 ENTITY = r"(?i)&(?:#x[0-9a-f]+|#[0-9]+|[a-z][a-z0-9]*);"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     """Strip every kind of white space, not only U+0020."""
     return F.regexp_replace(text, rf"^{S}+|{S}+\z", "")
@@ -64,8 +74,8 @@ def _code_point(number: Column, whole: Column) -> Column:
 
 def _entity(whole: Column) -> Column:
     name = F.lower(F.regexp_extract(whole, "^&(.*);$", 1))
-    names = F.create_map(*[F.lit(part) for pair in NAMED_ENTITIES.items() for part in pair])
-    hexadecimal = F.conv(F.ltrim(F.substring(name, 3, 200), F.lit("0")), 16, 10).cast("bigint")
+    names = F.expr(_ENTITY_MAP)
+    hexadecimal = F.conv(F.regexp_replace(F.substring(name, 3, 200), "^0+", ""), 16, 10).cast("bigint")
     decimal = F.substring(name, 2, 200).try_cast("bigint")
     return (
         F.when(name.startswith("#x"), F.when(F.length(name) <= 40, _code_point(hexadecimal, whole)).otherwise(whole))
@@ -76,12 +86,14 @@ def _entity(whole: Column) -> Column:
 
 def decoded_text(text: Column) -> Column:
     """HTML entities decoded in a single pass; unknown ones stay as they are."""
-    around = F.split(text, ENTITY, -1)
-    decoded = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), _entity)
-    joined = F.array_join(
-        F.zip_with(around, F.array_append(decoded, F.lit("")), lambda before, entity: F.concat(before, entity)), ""
-    )
-    return F.when(text.contains("&"), joined).otherwise(text)
+
+    def decode(whole: Column) -> Column:
+        around = F.split(whole, ENTITY, -1)
+        decoded = F.transform(F.regexp_extract_all(whole, F.lit(ENTITY), F.lit(0)), _entity)
+        joined = F.zip_with(around, F.array_append(decoded, F.lit("")), lambda before, entity: F.concat(before, entity))
+        return F.when(whole.contains("&"), F.array_join(joined, "")).otherwise(whole)
+
+    return let(text, decode)
 
 
 def inline_text(fragment: Column) -> Column:
@@ -119,15 +131,20 @@ def js_number(text: Column) -> Column:
 
 def parsed_date(text: Column) -> Column:
     """ISO 8601 or RFC 2822 text as a UTC timestamp with milliseconds; anything else NULL."""
-    plain = trimmed(text)
-    iso = F.when(plain.rlike(r"^[0-9]{4}(?:-[0-9]{2}(?:-[0-9]{2}(?:[T ][0-9:.]+(?:Z|[+-][0-9:]+)?)?)?)?\z"), plain)
-    mail = F.when(plain.rlike("^[A-Za-z]{3},|^[0-9]{1,2} [A-Za-z]{3} "), F.regexp_replace(plain, f"^[A-Za-z]{{3}},{S}*", ""))
-    stamp = F.coalesce(
-        iso.try_cast("timestamp"),
-        F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss z")),
-        F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")),
-    )
-    return F.date_trunc("millisecond", stamp)
+    iso = r"^[0-9]{4}(?:-[0-9]{2}(?:-[0-9]{2}(?:[T ][0-9:.]+(?:Z|[+-][0-9:]+)?)?)?)?\z"
+    weekday = f"^[A-Za-z]{{3}},{S}*"
+
+    def read(plain: Column) -> Column:
+        mail = F.regexp_replace(plain, weekday, "")
+        return F.when(plain.rlike(iso), plain.try_cast("timestamp")).when(
+            plain.rlike("^[A-Za-z]{3},|^[0-9]{1,2} [A-Za-z]{3} "),
+            F.coalesce(
+                F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss z")),
+                F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")),
+            ),
+        )
+
+    return F.date_trunc("millisecond", let(trimmed(text), read))
 
 
 def iso_text(stamp: Column) -> Column:

@@ -72,7 +72,7 @@ def expand_sitemaps(
 def followable(edges: DataFrame, texts: DataFrame, agent: str = OWN_AGENT) -> DataFrame:
     """Links a crawl may queue: same site, no file, no partner path, allowed by robots."""
     host, path = url_host(F.col("dst")), url_path(F.col("dst"))
-    kept = edges.filter((bare_host(host) == F.col("site")) & ~asset_path(path) & ~affiliate_path(path))
+    kept = cut_lineage(edges.filter((bare_host(host) == F.col("site")) & ~asset_path(path) & ~affiliate_path(path)))
     judged = robots_allowed(
         kept.withColumnRenamed("dst", "url").withColumn("seq", F.xxhash64("src", "pos")), texts, agent
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trimmed
+from ..functions.text import let, trimmed
 from ..functions.urls import (
     bare_host,
     canonical_url,
@@ -67,15 +67,18 @@ def ipv4_numbers(text: Column) -> Column:
 
 def host_refusal(host: Column) -> Column:
     """Why a host name is not public, NULL when it is."""
-    name = F.regexp_replace(F.lower(host), r"\.\z", "")
-    quad = ipv4_numbers(name)
-    return (
-        F.when(name.contains(":") | name.startswith("["), F.lit(IPV6_HOST))
-        .when((name == "localhost") | name.endswith(".localhost"), F.lit(LOCAL_HOST))
-        .when(name.endswith(".local") | name.endswith(".internal"), F.lit(INTERNAL_HOST))
-        .when(quad.isNotNull(), F.when(private_ipv4(quad[0], quad[1], quad[2]), F.lit(PRIVATE_HOST)))
-        .when(~name.contains("."), F.lit(DOTLESS_HOST))
-    )
+
+    def reason(name: Column) -> Column:
+        private = let(ipv4_numbers(name), lambda quad: private_ipv4(quad[0], quad[1], quad[2]))
+        return (
+            F.when(name.contains(":") | name.startswith("["), F.lit(IPV6_HOST))
+            .when((name == "localhost") | name.endswith(".localhost"), F.lit(LOCAL_HOST))
+            .when(name.endswith(".local") | name.endswith(".internal"), F.lit(INTERNAL_HOST))
+            .when(F.coalesce(private, F.lit(False)), F.lit(PRIVATE_HOST))
+            .when(~name.contains("."), F.lit(DOTLESS_HOST))
+        )
+
+    return let(F.regexp_replace(F.lower(host), r"\.\z", ""), reason)
 
 
 def affiliate_path(path: Column) -> Column:

@@ -16,20 +16,18 @@ from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 
-# A key is hot when it has more than this share of the rows (so at most 1 / HOT_SHARE keys are) and
-# more rows than one task handles with ease.
-HOT_SHARE = 0.001
+# A key is hot when it has more rows than one task handles with ease. The HOT_KEYS largest of them are
+# treated apart; any further key has at most 1 / HOT_KEYS of all rows.
+HOT_KEYS = 1000
 HOT_ROWS = 1_000_000
 SPREAD = 1 << 20
 RANK_WIDTH = 1 << 17
 
 
-def hot_keys(fact: DataFrame, on: Sequence[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> list:
-    """The keys that would overload a task: counted with map-side combining, at most 1 / share of them."""
+def hot_keys(fact: DataFrame, on: Sequence[str], rows: int = HOT_ROWS) -> list:
+    """The keys that would overload a task, at most HOT_KEYS rows: one pass with map-side combining."""
     weights = fact.select(*on).dropna(subset=list(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = weights.filter(F.col("_n") > rows)
-    total = fact.select(*on).agg(F.count(F.lit(1)).alias("_total"))
-    return heavy.crossJoin(F.broadcast(total)).filter(F.col("_n") > F.col("_total") * F.lit(share)).select(*on).collect()
+    return weights.filter(F.col("_n") > rows).orderBy(F.desc("_n")).limit(HOT_KEYS).drop("_n").collect()
 
 
 def attach(
@@ -38,19 +36,18 @@ def attach(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
-    share: float = HOT_SHARE,
     rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``fact`` with ``dim`` (one row per key), keeping every fact row for ``left``.
 
-    Rows of hot keys meet their dim row in a broadcast join: there are at most 1 / share such keys
+    Rows of hot keys meet their dim row in a broadcast join: there are at most HOT_KEYS such keys
     whatever the size of the data. All other rows meet it in a shuffle join; rows with a hot or a NULL
     key pass through that one with a salt from the ``spread`` columns and so stay evenly spread.
     """
     on = list(on)
     values = [name for name in dim.columns if name not in on]
     value = F.struct(*values)
-    found = hot_keys(fact, on, share, rows)
+    found = hot_keys(fact, on, rows)
     apart = F.lit(False)
     for name in on:
         apart = apart | F.col(name).isNull()
@@ -114,7 +111,7 @@ def rank_in_group(
 def rank_by_order(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank: str = "rn") -> DataFrame:
     """1-based position of each row in its group by any (total) order.
 
-    The rows are range partitioned by group and order and fixed by a checkpoint; only groups that
+    The rows are range partitioned by group and order and written with their partition; only groups that
     span several partitions need a starting rank, and those are fewer than the partitions.
     """
     by = list(by)

@@ -7,65 +7,73 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, keep_placement
 from .scale import first_k
 
+COMPACT_EVERY = 8
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
 
 def capped_walk(
     seeds: DataFrame, edges: DataFrame, cap: int, aliases: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Visit nodes level by level, at most ``cap`` per site, each once, in breadth-first order.
 
-    ``seeds`` (site, pos, url), ``edges`` (site, src, pos, dst), ``aliases`` (site, url, alias): other
-    names of a node that count as seen once it is visited. Returns visited (site, position, url, level)
+    ``seeds`` (site, pos, url), ``edges`` (site, src, pos, dst), ``aliases`` (site, url, alias): another
+    name of a node that counts as seen once it is visited. Returns visited (site, position, url, level)
     and left (site, left): how many known nodes the cap kept out.
 
-    The edges are placed once by (site, src), so a level moves only its frontier (at most ``cap`` rows
-    per site) and new candidates. Each level is a reliable checkpoint, so lineage stays one level deep.
+    The edges are placed once by (site, src), so a level moves only its frontier (at most ``cap`` rows per
+    site) and what it reaches. Nodes that a full site leaves out are never needed again, so visited nodes
+    are the only state. Each level is a written table; every few levels they are put together.
     """
-    edges = cut_lineage(
-        edges.groupBy("site", "src", "dst").agg(F.min("pos").alias("pos")).repartition("site", "src")
+    edges = keep_placement(
+        edges.repartition("site", "src").groupBy("site", "src", "dst").agg(F.min("pos").alias("pos"))
     )
-    candidates = cut_lineage(
-        seeds.groupBy("site", "url").agg(F.min("pos").alias("_at")).withColumn("_from", F.lit(0).cast("long"))
-    )
-    used = None
-    levels, known, listed = [], candidates.select("site", "url"), [candidates.select("site")]
+    candidates = seeds.groupBy("site", "url").agg(F.min("pos").alias("_at")).withColumn("_from", F.lit(0).cast("long"))
+    seeded = candidates.select("site", "url")
+    levels: list[DataFrame] = []
     level = 0
     while True:
         ranked = first_k(candidates, ["site"], [F.col("_from"), F.col("_at"), F.col("url")], cap, rank="_rank")
-        if used is None:
-            placed = ranked.withColumn("_used", F.lit(0).cast("long"))
-        else:
-            placed = ranked.join(used, "site", "left").withColumn("_used", F.coalesce("_used", F.lit(0)))
-        visited = cut_lineage(
-            placed.withColumn("position", F.col("_used") + F.col("_rank"))
-            .filter(F.col("position") <= cap)
-            .select("site", "position", "url", F.lit(level).alias("level"))
+        if levels:
+            used = _all(levels).groupBy("site").agg(F.max("position").alias("_used"))
+            ranked = ranked.join(used, "site", "left").withColumn("_rank", F.col("_rank") + F.coalesce("_used", F.lit(0)))
+        placed = ranked.filter(F.col("_rank") <= cap).select(
+            "site", F.col("_rank").cast("long").alias("position"), "url", F.lit(level).alias("level")
         )
-        levels.append(visited)
-        if visited.isEmpty():
+        if aliases is None:
+            placed = placed.withColumn("alias", F.col("url"))
+        else:
+            placed = placed.join(aliases, ["site", "url"], "left").withColumn("alias", F.coalesce("alias", "url"))
+        frontier = cut_lineage(placed)
+        if frontier.isEmpty():
             break
-        used = cut_lineage(
-            reduce(DataFrame.unionByName, levels).groupBy("site").agg(F.count(F.lit(1)).alias("_used"))
-        )
-        if aliases is not None:
-            names = visited.join(aliases, ["site", "url"]).select("site", F.col("alias").alias("url"))
-            known = known.unionByName(names)
-        reached = (
-            visited.alias("v")
-            .join(edges.alias("e"), (F.col("v.site") == F.col("e.site")) & (F.col("v.url") == F.col("e.src")))
-            .groupBy(F.col("v.site").alias("site"), F.col("e.dst").alias("url"))
-            .agg(F.min(F.struct(F.col("v.position").alias("_from"), F.col("e.pos").alias("_at"))).alias("_first"))
-            .select("site", "url", F.col("_first._at").alias("_at"), F.col("_first._from").alias("_from"))
-        )
-        candidates = cut_lineage(reached.join(known, ["site", "url"], "left_anti"))
-        known = cut_lineage(known.unionByName(candidates.select("site", "url")))
-        listed.append(candidates.select("site"))
+        levels.append(frontier)
+        if len(levels) > COMPACT_EVERY:
+            levels = [cut_lineage(_all(levels))]
+        seen = _all(levels).select("site", F.explode(F.array("url", "alias")).alias("url"))
+        candidates = _reached(frontier, edges).join(seen, ["site", "url"], "left_anti")
         level += 1
-    every = reduce(DataFrame.unionByName, levels)
-    counts = reduce(DataFrame.unionByName, listed).groupBy("site").agg(F.count(F.lit(1)).alias("_known"))
-    left = counts.join(every.groupBy("site").agg(F.count(F.lit(1)).alias("_seen")), "site", "left").select(
-        "site", (F.col("_known") - F.coalesce("_seen", F.lit(0))).alias("left")
+    if not levels:
+        empty = frontier.select("site", "position", "url", "level")
+        return empty, empty.select("site", F.col("position").alias("left"))
+    visited = _all(levels)
+    seen = visited.select("site", F.explode(F.array("url", "alias")).alias("url"))
+    known = _reached(visited, edges).select("site", "url").unionByName(seeded).distinct()
+    left = known.join(seen, ["site", "url"], "left_anti").groupBy("site").agg(F.count(F.lit(1)).alias("left"))
+    return visited.drop("alias"), left
+
+
+def _reached(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes one edge away, with the first place they were found at."""
+    met = nodes.alias("v").join(edges.alias("e"), (F.col("v.site") == F.col("e.site")) & (F.col("v.url") == F.col("e.src")))
+    first = F.min(F.struct(F.col("v.position").alias("_from"), F.col("e.pos").alias("_at"))).alias("_first")
+    return (
+        met.groupBy(F.col("v.site").alias("site"), F.col("e.dst").alias("url"))
+        .agg(first)
+        .select("site", "url", F.col("_first._at").alias("_at"), F.col("_first._from").alias("_from"))
     )
-    return every, left
