@@ -16,7 +16,7 @@ from .operators import contents, fetchlog, graph, jobs, patterns, robots, sitema
 from .plans.scale import rank_in_group
 from .session import shared_folder
 from .sinks import exports
-from .sources.pages import scan_pages
+from .sources.pages import scan_pages, spread_out
 from .streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,7 +72,7 @@ def sitemap_entries(c):
 
 def read_pages(c) -> DataFrame:
     """Pages that were read, with contents and template: judged and extracted in the row, then one join."""
-    log = c["rich_log"].withColumn("fetched_at", F.col("fetched_text").cast("timestamp"))
+    log = spread_out(c["rich_log"], "page_id").withColumn("fetched_at", F.col("fetched_text").cast("timestamp"))
     good = fetchlog.fetch_outcome(log).withColumn("ok", F.col("outcome.ok")).filter("ok")
     record = contents.page_contents(good, keep=("site", "seq", "status", "ok"))
     named = c["patterned"].select("site", "seq", "pattern")
@@ -132,7 +132,7 @@ def sites_from_input(c):
 
 @query
 def url_dimension(c):
-    links = contents.link_edges(c["site_pages"], keep=("page_id",))
+    links = contents.link_edges(spread_out(c["site_pages"], "page_id"), keep=("page_id",))
     parts = urls.url_dimension(links.withColumnRenamed("dst", "url"))
     return parts.select("page_id", "pos", "url", "origin", "host", "bare_host", "path", "query", "depth", "segments")
 
@@ -277,7 +277,7 @@ def crawl_read_outcome(c):
 
 @query
 def result_mark(c):
-    shells = contents.js_shell_pages(c["pages_rich"]).select("page_id", "needs_render")
+    shells = contents.js_shell_pages(rich_pages(c)).select("page_id", "needs_render")
     outcome = fetchlog.fetch_outcome(with_fetch_time(c)).select("page_id", "outcome.*")
     return fetchlog.result_mark(outcome.join(shells, "page_id")).select("page_id", "mark")
 
@@ -308,54 +308,58 @@ def dns_screen(c):
 # ---- contents ----------------------------------------------------------------------------------
 
 
+def rich_pages(c) -> DataFrame:
+    return spread_out(c["pages_rich"], "page_id")
+
+
 @query
 def page_meta(c):
-    return contents.page_meta(c["pages_rich"]).drop("url")
+    return contents.page_meta(rich_pages(c)).drop("url")
 
 
 @query
 def page_headings(c):
-    return contents.page_headings(c["pages_rich"])
+    return contents.page_headings(rich_pages(c))
 
 
 @query
 def page_links(c):
-    return contents.page_links(c["pages_rich"])
+    return contents.page_links(rich_pages(c))
 
 
 @query
 def link_edges(c):
-    return contents.link_edges(c["pages_rich"], keep=("page_id",)).drop("src")
+    return contents.link_edges(rich_pages(c), keep=("page_id",)).drop("src")
 
 
 @query
 def page_text(c):
-    return contents.page_text(c["pages_rich"])
+    return contents.page_text(rich_pages(c))
 
 
 @query
 def page_word_count(c):
-    return contents.page_word_count(c["pages_rich"])
+    return contents.page_word_count(rich_pages(c))
 
 
 @query
 def page_visible_words(c):
-    return contents.page_visible_words(c["pages_rich"])
+    return contents.page_visible_words(rich_pages(c))
 
 
 @query
 def page_schema_types(c):
-    return contents.page_schema_types(c["pages_rich"])
+    return contents.page_schema_types(rich_pages(c))
 
 
 @query
 def js_shell_pages(c):
-    return contents.js_shell_pages(c["pages_rich"])
+    return contents.js_shell_pages(rich_pages(c))
 
 
 @query
 def page_contents(c):
-    record = contents.page_contents(c["pages_rich"])
+    record = contents.page_contents(rich_pages(c))
     return record.withColumn("headings", F.size("headings"))
 
 
@@ -379,7 +383,7 @@ def pattern_placeholders(c):
 
 @query
 def segment_kinds(c):
-    linked = contents.link_edges(c["site_pages"], keep=("page_id",)).select(F.col("page_id"), F.col("dst").alias("url"))
+    linked = contents.link_edges(spread_out(c["site_pages"], "page_id"), keep=("page_id",)).select(F.col("page_id"), F.col("dst").alias("url"))
     both = linked.unionByName(c["site_pages"].select("page_id", "url"))
     cells = both.select("page_id", F.posexplode(F.split(url_path(F.col("url")), "/")).alias("pos", "value"), F.split(url_path(F.col("url")), "/").alias("_all"))
     cells = cells.filter("value <> ''").withColumn("previous", F.when(F.col("pos") > 1, F.get("_all", F.col("pos") - 1)))
@@ -432,7 +436,7 @@ def spread_sample(c):
 
 @query
 def title_template(c):
-    titles = contents.page_meta(c["site_pages"]).select("page_id", "title")
+    titles = contents.page_meta(spread_out(c["site_pages"], "page_id")).select("page_id", "title")
     return patterns.title_template(c["patterned"].join(titles, F.col("seq") == F.col("page_id")))
 
 

@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space in the sense of ECMAScript, as a character-class body.
-SPACE = (
-    r"\t\n\x{000B}\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-)
+# White space in the sense of ECMAScript, as a character-class body: the five control
+# characters, all Unicode separators and the byte order mark.
+SPACE = r"\t-\r\p{Z}\x{FEFF}"
 S = f"[{SPACE}]"
 
 # Not followed by an ASCII word character (Java's \b is Unicode-aware on older JDKs).
@@ -45,10 +44,22 @@ NAMED_ENTITIES = {
     "raquo": "»",
 }
 
-_ENTITY_MAP = "map({})".format(
+ENTITY = "(?i)&(?:#x[0-9a-f]+|#[0-9]+|[a-z][a-z0-9]*);"
+
+# SQL lambdas: the text of a character number, of an entity, and of a whole text with its entities.
+_CHARACTER = """n -> CASE WHEN n BETWEEN 1 AND 1114111 AND n NOT BETWEEN 55296 AND 57343
+                          THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END"""
+_NUMBER = """CASE WHEN e RLIKE '^&#[xX]' THEN CASE WHEN length(e) <= 40 THEN CAST(conv(substring(e, 4, length(e) - 4), 16, 10) AS BIGINT) END
+                  WHEN e LIKE '&#%' THEN try_cast(substring(e, 3, length(e) - 3) AS BIGINT) END"""
+_ENTITY_NAMES = "map({})".format(
     ", ".join("'{}', '{}'".format(name, char.replace("'", "\\'")) for name, char in NAMED_ENTITIES.items())
 )
-ENTITY = r"(?i)&(?:#x[0-9a-f]+|#[0-9]+|[a-z][a-z0-9]*);"
+_ENTITY_TEXT = f"""e -> coalesce(try_element_at({_ENTITY_NAMES}, lower(substring(e, 2, length(e) - 2))),
+                                 transform(array({_NUMBER}), {_CHARACTER})[0], e)"""
+_DECODED = f"""t -> CASE WHEN contains(t, '&')
+    THEN array_join(zip_with(split(t, '{ENTITY}', -1), array_append(transform(regexp_extract_all(t, '{ENTITY}', 0), {_ENTITY_TEXT}), ''),
+                             (before, entity) -> concat(before, entity)), '')
+    ELSE t END"""
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,34 +77,9 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{S}+", " "))
 
 
-def _code_point(number: Column, whole: Column) -> Column:
-    in_range = number.isNotNull() & (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    utf32 = F.unhex(F.lpad(F.hex(number), 8, "0"))
-    return F.when(in_range, F.decode(utf32, "UTF-32")).otherwise(whole)
-
-
-def _entity(whole: Column) -> Column:
-    name = F.lower(F.regexp_extract(whole, "^&(.*);$", 1))
-    names = F.expr(_ENTITY_MAP)
-    hexadecimal = F.conv(F.regexp_replace(F.substring(name, 3, 200), "^0+", ""), 16, 10).cast("bigint")
-    decimal = F.substring(name, 2, 200).try_cast("bigint")
-    return (
-        F.when(name.startswith("#x"), F.when(F.length(name) <= 40, _code_point(hexadecimal, whole)).otherwise(whole))
-        .when(name.startswith("#"), _code_point(decimal, whole))
-        .otherwise(F.coalesce(F.try_element_at(names, name), whole))
-    )
-
-
 def decoded_text(text: Column) -> Column:
     """HTML entities decoded in a single pass; unknown ones stay as they are."""
-
-    def decode(whole: Column) -> Column:
-        around = F.split(whole, ENTITY, -1)
-        decoded = F.transform(F.regexp_extract_all(whole, F.lit(ENTITY), F.lit(0)), _entity)
-        joined = F.zip_with(around, F.array_append(decoded, F.lit("")), lambda before, entity: F.concat(before, entity))
-        return F.when(whole.contains("&"), F.array_join(joined, "")).otherwise(whole)
-
-    return let(text, decode)
+    return F.get(F.call_function("transform", F.array(text), F.expr(_DECODED)), F.lit(0))
 
 
 def inline_text(fragment: Column) -> Column:

@@ -12,6 +12,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a small scan over all cores, for work that costs more than moving the rows.
+
+    A corpus stored in at least as many splits as there are cores is left where it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def scan_pages(captured: DataFrame) -> DataFrame:
     """HTML pages of (page_id, url, status, content_type, html); both filters reach the file scan's partitions
     and row groups when the columns are stored."""
