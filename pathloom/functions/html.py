@@ -16,20 +16,51 @@ BREAKING = (
     "p|div|section|article|li|ul|ol|tr|table|h[1-6]|blockquote|pre|dd|dt|figure|figcaption"
 )
 ATTRIBUTE = rf"""([a-zA-Z_:][-a-zA-Z0-9_:.]*){S}*={S}*(?:"([^"]*)"|'([^']*)'|([^{S[1:-1]}"'>]+))"""
+LONG_TEXT = 16_384
 MIN_MAIN_TEXT = 200
 MAX_TEXT = 32_000
 MAX_HEADINGS = 200
 SHELL_WORDS = 80
 
 
+def up_to_last(text: Column, closing: str) -> Column:
+    """A long text up to the last closing mark; short texts as they are.
+
+    Nothing behind the last closing mark can be part of an element, and in front of it every search for a
+    closing mark ends at one. So long pages with many unclosed tags take linear, not quadratic, time.
+    """
+    return F.when(F.length(text) <= LONG_TEXT, text).otherwise(F.regexp_extract(text, rf"(?is)^.*{closing}", 0))
+
+
+def _cut_out(text: Column, pattern: str, closing: str) -> Column:
+    def cut(whole: Column) -> Column:
+        blank = lambda part: F.regexp_replace(part, pattern, " ")
+        in_parts = let(
+            up_to_last(whole, closing),
+            lambda front: F.concat(blank(front), F.substring(whole, F.length(front) + 1, F.length(whole))),
+        )
+        return F.when(F.length(whole) <= LONG_TEXT, blank(whole)).otherwise(in_parts)
+
+    return let(text, cut)
+
+
 def without_elements(html: Column, names: Sequence[str]) -> Column:
     for name in names:
-        html = F.regexp_replace(html, rf"(?is)<{name}{NO_WORD}.*?</{name}{S}*>", " ")
+        closing = f"</{name}{S}*>"
+        html = _cut_out(html, rf"(?is)<{name}{NO_WORD}.*?{closing}", closing)
     return html
 
 
 def cleaned_html(html: Column) -> Column:
-    return without_elements(F.regexp_replace(html, "(?s)<!--.*?-->", " "), SILENT)
+    return without_elements(_cut_out(html, "(?s)<!--.*?-->", "-->"), SILENT)
+
+
+def inner_texts(html: Column, name: str) -> Column:
+    """Inner HTML of all elements of a name."""
+    closing = f"</{name}{S}*>"
+    return F.regexp_extract_all(
+        up_to_last(html, closing), F.lit(rf"(?is)<{name}{NO_WORD}[^>]*>(.*?){closing}"), F.lit(1)
+    )
 
 
 def opening_tags(html: Column, name: str) -> Column:
@@ -86,10 +117,8 @@ def canonical_reference(html: Column) -> Column:
 
 
 def title_text(html: Column, entries: Column) -> Column:
-    whole = rf"(?is)<title{NO_WORD}[^>]*>(.*?)</title{S}*>"
-    return F.when(html.rlike(whole), inline_text(F.regexp_extract(html, whole, 1))).otherwise(
-        meta_content(entries, "og:title")
-    )
+    found = F.get(inner_texts(html, "title"), F.lit(0))
+    return F.coalesce(inline_text(found), meta_content(entries, "og:title"))
 
 
 def page_language(html: Column) -> Column:
@@ -99,6 +128,7 @@ def page_language(html: Column) -> Column:
 
 def heading_list(cleaned: Column) -> Column:
     """All headings with text, in order: array of (level, text)."""
+    cleaned = up_to_last(cleaned, f"</h[1-6]{S}*>")
     pattern = F.lit(rf"(?is)<h([1-6]){NO_WORD}[^>]*>(.*?)</h\1{S}*>")
     levels = F.regexp_extract_all(cleaned, pattern, F.lit(1))
     texts = F.transform(F.regexp_extract_all(cleaned, pattern, F.lit(2)), inline_text)
@@ -108,8 +138,8 @@ def heading_list(cleaned: Column) -> Column:
 
 def main_fragment(cleaned: Column) -> Column:
     """Inner HTML of the main element, else of the articles, else of the body without site chrome."""
-    main = F.regexp_extract(cleaned, rf"(?is)<main{NO_WORD}[^>]*>(.*?)</main{S}*>", 1)
-    articles = F.regexp_extract_all(cleaned, F.lit(rf"(?is)<article{NO_WORD}[^>]*>(.*?)</article{S}*>"), F.lit(1))
+    main = F.get(inner_texts(cleaned, "main"), F.lit(0))
+    articles = inner_texts(cleaned, "article")
     body_pattern = rf"(?is)<body{NO_WORD}[^>]*>(.*)</body{S}*>"
     body = F.when(cleaned.rlike(body_pattern), F.regexp_extract(cleaned, body_pattern, 1)).otherwise(cleaned)
     long_enough = lambda fragment: F.length(inline_text(fragment)) > MIN_MAIN_TEXT
@@ -135,9 +165,8 @@ def readable_text(fragment: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """All text of the raw page but that of scripts, styles and drawings."""
-    bare = F.regexp_replace(
-        html, rf"(?is)<(script|style|noscript|template|svg){NO_WORD}.*?</\1{S}*>", " "
-    )
+    hidden = "script|style|noscript|template|svg"
+    bare = _cut_out(html, rf"(?is)<({hidden}){NO_WORD}.*?</\1{S}*>", f"</(?:{hidden}){S}*>")
     return decoded_text(F.regexp_replace(bare, "<[^>]+>", " "))
 
 
@@ -145,7 +174,7 @@ def jsonld_scripts(html: Column) -> Column:
     """Texts of the structured-data scripts; NULL when there are none."""
     kind = rf"""type{S}*={S}*["']?application/ld\+json["']?"""
     bodies = F.regexp_extract_all(
-        html, F.lit(rf"(?is)<script{NO_WORD}[^>]*{kind}[^>]*>(.*?)</script{S}*>"), F.lit(1)
+        up_to_last(html, f"</script{S}*>"), F.lit(rf"(?is)<script{NO_WORD}[^>]*{kind}[^>]*>(.*?)</script{S}*>"), F.lit(1)
     )
     bare = F.transform(bodies, lambda body: F.regexp_replace(body, rf"^{S}*<!\[CDATA\[|\]\]>{S}*\z", ""))
     return F.when(F.size(bare) > 0, bare)

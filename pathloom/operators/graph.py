@@ -38,9 +38,7 @@ def expand_sitemaps(
         "site", "position", F.col("url").alias("sitemap_url"), F.coalesce("_found", F.lit(False)).alias("found")
     )
     pages = docs.join(read.select("site", "sitemap_url", F.col("position").alias("doc_pos")), ["site", "sitemap_url"])
-    placed = sitemap_entries(pages.filter(document_kind(F.col("xml")) == "urlset")).join(
-        read.select("site", "sitemap_url", F.col("position").alias("doc_pos")), ["site", "sitemap_url"]
-    )
+    placed = sitemap_entries(pages.filter(document_kind(F.col("xml")) == "urlset"), keep=("doc_pos",))
     # Place of an entry among all of the site's entries, as one integer.
     place = F.col("doc_pos") * F.lit(1 << 32) + F.col("pos")
     first = placed.groupBy("site", F.col("loc").alias("url")).agg(

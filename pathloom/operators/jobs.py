@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import rank_in_group
+from ..plans.scale import attach, rank_in_group
 from .urls import compact_url, slug_of
 
 MAX_JOB_PAGES = 5000
@@ -45,7 +45,7 @@ def restored_groups(items: DataFrame) -> DataFrame:
     """A job's pages under their stored templates: (job_id, pattern, count, idx, url), larger templates first
     when sorted by (count desc, pattern, idx). URLs on the job's origin are given as paths."""
     sizes = items.groupBy("job_id", "pattern").agg(F.count(F.lit(1)).alias("count"))
-    return items.join(sizes, ["job_id", "pattern"]).select(
+    return attach(items, sizes, ["job_id", "pattern"], ["idx"]).select(
         "job_id", "pattern", "count", "idx", compact_url(F.col("url"), F.col("origin")).alias("url")
     )
 

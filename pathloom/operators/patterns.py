@@ -46,7 +46,8 @@ def url_patterns(urls: DataFrame) -> DataFrame:
         .withColumn("_section", F.lit(True))
     )
     parted = parted.withColumn("_lone", F.when((F.col("_depth") == 1) & _doubtful(F.col("_first")), F.col("_first")))
-    parted = attach(parted, sections, ["site", "_lone"], ["seq"])
+    clear = parted.filter(F.col("_lone").isNull()).withColumn("_section", F.lit(None).cast("boolean"))
+    parted = clear.unionByName(attach(parted.filter(F.col("_lone").isNotNull()), sections, ["site", "_lone"], ["seq"]))
     head = (
         F.when(F.col("_depth") == 0, F.lit(""))
         .when(F.col("_depth") == 1, F.when(F.col("_lone").isNull() | F.col("_section"), F.col("_first")).otherwise("*"))

@@ -63,12 +63,12 @@ def parsed_documents(docs: DataFrame) -> DataFrame:
     return fallback.withColumn("entries", F.coalesce(bare_entries, "_entries")).drop("_entries", "_bare", "_bare_urls")
 
 
-def sitemap_entries(docs: DataFrame) -> DataFrame:
-    """(site, sitemap_url, kind, pos, loc, lastmod) from (site, sitemap_url, xml)."""
+def sitemap_entries(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(site, sitemap_url, kind, pos, loc, lastmod) from (site, sitemap_url, xml); ``keep`` columns pass through."""
     return (
         parsed_documents(docs)
-        .select("site", "sitemap_url", "kind", F.posexplode("entries").alias("pos", "_entry"))
-        .select("site", "sitemap_url", "kind", "pos", "_entry.loc", "_entry.lastmod")
+        .select("site", "sitemap_url", *keep, "kind", F.posexplode("entries").alias("pos", "_entry"))
+        .select("site", "sitemap_url", *keep, "kind", "pos", "_entry.loc", "_entry.lastmod")
     )
 
 

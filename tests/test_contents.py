@@ -111,3 +111,24 @@ def test_words(spark):
 def test_dates(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(parsed_date(F.col("t")).cast("string")).first()[0] == want
+
+
+def test_long_broken_pages_take_linear_time(spark):
+    """Three megabytes of tags that are never closed, after one of each that is."""
+    names = ["script", "style", "svg", "article", "main", "title", "nav"]
+    start = "<!-- c --><h1>T</h1>" + "".join(f"<{n}>x</{n}>" for n in names)
+    filler = "".join(f"<{n} a=1>y &amp; " for n in names) + "<!-- "
+    html = "<body>" + start + filler * 30_000 + "</body>"
+    assert len(html) > 3_000_000
+    df = spark.createDataFrame([(1, "https://s.example/", html)], "page_id long, url string, html string")
+    row = contents.page_contents(df).first()
+    assert row.h1 == "T" and row.title == "x" and row.word_count == 4 + 7 * 30_000
+
+
+def test_long_pages_give_what_short_ones_give(spark):
+    filler = "".join(f"<p>{i} <b>word</b></p><script>var a='</p>';</script>" for i in range(600))
+    html = PAGE.replace("<h2>First", filler + "<h2>First")
+    df = spark.createDataFrame([(1, "https://site.example/dir/page", html)], "page_id long, url string, html string")
+    row = contents.page_contents(df).first()
+    lines = row.text.split("\n")
+    assert len(html) > 16_384 and lines[:600] == [f"{i} word" for i in range(600)] and lines[600] == "First <b>"
