@@ -12,3 +12,37 @@ SELECT doc_id,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """
+
+ORACLES["op9_mixing"] = """
+WITH sized AS (
+  SELECT doc_id, source, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) AS h,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+  FROM documents
+), named AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1 AS weight
+  FROM sized GROUP BY source
+), caps AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap, sum(source_size::DOUBLE) OVER () AS total, sum(weight::DOUBLE) OVER () AS weights,
+         coalesce(sum(3.0::DOUBLE * source_size) OVER before, 0.0) AS cap_before, coalesce(sum(weight::DOUBLE) OVER before, 0.0) AS weight_before
+  FROM named
+  WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), marked AS (
+  SELECT *, (total - cap_before) / (weights - weight_before) * weight > cap AS capped FROM caps
+), targets AS (
+  SELECT source, source_size,
+         CASE WHEN capped THEN cap ELSE least(cap, weight *
+           ((total - sum(CASE WHEN capped THEN cap ELSE 0.0 END) OVER ()) / sum(CASE WHEN NOT capped THEN weight::DOUBLE END) OVER ())) END AS target
+  FROM marked
+), passes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM targets
+), hashes AS (
+  SELECT source, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM sized GROUP BY source, h
+), taken AS (
+  SELECT x.source, h, (upto <= budget OR (upto - words <= budget AND upto - budget <= budget - (upto - words))) AS more
+  FROM hashes x JOIN (SELECT *, target - passes * source_size AS budget FROM passes) p ON x.source IS NOT DISTINCT FROM p.source
+)
+SELECT s.doc_id, s.size, p.source_size, p.target, CAST(s.size * (p.passes + CASE WHEN t.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sized s
+JOIN passes p ON s.source IS NOT DISTINCT FROM p.source
+JOIN taken t ON s.source IS NOT DISTINCT FROM t.source AND s.h = t.h
+"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import find_overlaps, overlap_report
 from .exact_dedup import group_copies
+from .mixing import mix_sources, repeating_weights
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +21,19 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return group_copies(docs).drop("rest")
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    mix = mix_sources(docs, repeating_weights(docs))
+    return mix.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return overlap_report(find_overlaps(docs, table(spark, folder, "benchmark"), keep_text=False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_mixing": op9_mixing,
+    "op10_decontamination": op10_decontamination,
 }
