@@ -2,8 +2,46 @@
 
 from __future__ import annotations
 
+from .licenses import COPYRIGHT_LINE, EQUIVALENT, KNOWN
+
 ORACLES: dict[str, str] = {}
 
+
+
+def _canonical(text: str) -> str:
+    """The canonical form of a licence text, as in ``licenses.canonical``."""
+    out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"regexp_replace({out}, '(?m){COPYRIGHT_LINE}', '', 'g')"
+    out = f"trim(regexp_replace({out}, '[\\x00-\\x2A\\x2C-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' ')"
+    for spelling, same in EQUIVALENT.items():
+        out = f"replace({out}, '{spelling}', '{same}')"
+    return out
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLES["op1_license_scan"] = f"""
+WITH known AS (
+  SELECT DISTINCT license, sha256({_canonical("text")}) AS digest
+  FROM (VALUES {", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)}) AS k(license, text)
+), texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text FROM documents
+), lines AS (
+  SELECT doc_id, unnest(split(text, chr(10))) AS line FROM texts
+), stated AS (
+  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS statements
+  FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM lines) JOIN known USING (digest) GROUP BY doc_id
+), whole AS (
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+  FROM (SELECT doc_id, sha256({_canonical("text")}) AS digest FROM texts) JOIN known USING (digest) GROUP BY doc_id
+)
+SELECT t.doc_id, sha256({_canonical("t.text")}) AS digest, coalesce(licenses, '') AS licenses, coalesce(statements, '') AS statements,
+       coalesce(n, 0) AS n_statements
+FROM texts t LEFT JOIN whole w ON t.doc_id = w.doc_id LEFT JOIN stated s ON t.doc_id = s.doc_id
+"""
+
 ORACLES["op4_exact_dedup"] = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import find_overlaps, overlap_report
 from .exact_dedup import group_copies
+from .licenses import known_digests, scan_licenses
 from .mixing import mix_sources, repeating_weights
 
 
@@ -16,6 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(table(spark, folder, "documents").select("doc_id", "text"), known_digests(spark))
+    return found.withColumns({name: F.array_join(name, ",") for name in ("licenses", "statements")})
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return group_copies(docs).drop("rest")
@@ -33,6 +39,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
