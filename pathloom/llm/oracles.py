@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licenses import COPYRIGHT_LINE, EQUIVALENT, KNOWN
+from .url_filter import DAMPING_PERCENT, LINK, STEPS, UNIT
 
 ORACLES: dict[str, str] = {}
 
@@ -51,6 +52,55 @@ SELECT doc_id,
 FROM documents
 """
 
+_STEP = f"""
+r{{now}} AS MATERIALIZED (
+  SELECT host, CAST(sum(trust) AS BIGINT) AS trust, CAST(sum(distrust) AS BIGINT) AS distrust FROM (
+    SELECT dst AS host, trust * {DAMPING_PERCENT} // (100 * n) AS trust, 0 AS distrust FROM ahead JOIN r{{before}} ON src = host
+    UNION ALL SELECT src, 0, distrust * {DAMPING_PERCENT} // (100 * n) FROM back JOIN r{{before}} ON dst = host
+    UNION ALL SELECT host, trust * {100 - DAMPING_PERCENT} // 100, distrust * {100 - DAMPING_PERCENT} // 100 FROM r0
+  ) GROUP BY host
+)"""
+
+ORACLES["op6_url_filter"] = f"""
+WITH RECURSIVE urls AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), ruled AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM urls
+), judged AS (
+  SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM ruled
+), links AS (
+  SELECT DISTINCT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{LINK.replace("'", "''")}', 1)),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+  FROM urls
+), up AS (
+  SELECT host FROM urls UNION SELECT dst FROM links
+  UNION SELECT regexp_replace(host, '^[^.]*[.]', '') FROM up WHERE len(string_split(host, '.')) > 2
+), family AS (
+  SELECT host AS src, regexp_replace(host, '^[^.]*[.]', '') AS dst FROM up WHERE len(string_split(host, '.')) > 2
+), edges AS (
+  SELECT src, dst FROM links WHERE src <> '' AND src <> dst UNION SELECT src, dst FROM family UNION SELECT dst, src FROM family
+), ahead AS (
+  SELECT src, dst, count(*) OVER (PARTITION BY src) AS n FROM edges
+), back AS (
+  SELECT src, dst, count(*) OVER (PARTITION BY dst) AS n FROM edges
+), r0 AS MATERIALIZED (
+  SELECT host, CAST(floor(allowed / greatest(sum(allowed) OVER (), 1)::DOUBLE * {UNIT}::DOUBLE) AS BIGINT) AS trust,
+         CAST(floor(blocked / greatest(sum(blocked) OVER (), 1)::DOUBLE * {UNIT}::DOUBLE) AS BIGINT) AS distrust
+  FROM (SELECT host, count(*) FILTER (said = 'allow') AS allowed, count(*) FILTER (said = 'block') AS blocked FROM judged GROUP BY host)
+  WHERE allowed > 0 OR blocked > 0
+), {",".join(_STEP.format(now=i, before=i - 1) for i in range(1, STEPS + 1))}
+SELECT page_id, j.host, path, rule, coalesce(said, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM judged j LEFT JOIN r{STEPS} r ON j.host = r.host
+"""
+
 ORACLES["op9_mixing"] = """
 WITH sized AS (
   SELECT doc_id, source, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) AS h,

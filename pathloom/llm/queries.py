@@ -11,6 +11,10 @@ from .decontamination import find_overlaps, overlap_report
 from .exact_dedup import group_copies
 from .licenses import known_digests, scan_licenses
 from .mixing import mix_sources, repeating_weights
+from .url_filter import Rule, filter_urls
+
+#: Which hosts and paths the registered query decides by rule.
+URL_RULES = [Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +31,10 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return group_copies(docs).drop("rest")
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_urls(table(spark, folder, "pages"), URL_RULES)
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     mix = mix_sources(docs, repeating_weights(docs))
@@ -41,6 +49,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_url_filter": op6_url_filter,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
