@@ -11,6 +11,7 @@ from .decontamination import find_overlaps, overlap_report
 from .exact_dedup import group_copies
 from .licenses import known_digests, scan_licenses
 from .mixing import mix_sources, repeating_weights
+from .near_dedup import NearDuplicates
 from .url_filter import Rule, filter_urls
 
 #: Which hosts and paths the registered query decides by rule.
@@ -26,6 +27,12 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({name: F.array_join(name, ",") for name in ("licenses", "statements")})
 
 
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = NearDuplicates(table(spark, folder, "documents"), size=4).classes()
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return group_copies(docs).drop("rest")
@@ -48,6 +55,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filter": op6_url_filter,
     "op9_mixing": op9_mixing,
