@@ -12,6 +12,7 @@ from .exact_dedup import group_copies
 from .licenses import known_digests, scan_licenses
 from .mixing import mix_sources, repeating_weights
 from .near_dedup import NearDuplicates
+from .suffix_dedup import as_digest, remove_repeats
 from .url_filter import Rule, filter_urls
 
 #: Which hosts and paths the registered query decides by rule.
@@ -27,6 +28,11 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({name: F.array_join(name, ",") for name in ("licenses", "statements")})
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeats(table(spark, folder, "documents"), finish=as_digest)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = NearDuplicates(table(spark, folder, "documents"), size=4).classes()
     kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
@@ -55,6 +61,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filter": op6_url_filter,
