@@ -13,6 +13,7 @@ from .licenses import known_digests, scan_licenses
 from .mixing import mix_sources, repeating_weights
 from .near_dedup import NearDuplicates
 from .suffix_dedup import as_digest, remove_repeats
+from .toxicity import THRESHOLD, score_documents, train
 from .url_filter import Rule, filter_urls
 
 #: Which hosts and paths the registered query decides by rule.
@@ -44,6 +45,12 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return group_copies(docs).drop("rest")
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = score_documents(docs, train(docs, table(spark, folder, "labels")))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(table(spark, folder, "pages"), URL_RULES)
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
