@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import format_chats
 from .decontamination import find_overlaps, overlap_report
 from .exact_dedup import group_copies
 from .licenses import known_digests, scan_licenses
@@ -55,6 +56,10 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return format_chats(table(spark, folder, "conversations"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     mix = mix_sources(docs, repeating_weights(docs))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
+    "op7_chat_format": op7_chat_format,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
