@@ -14,6 +14,7 @@ from .licenses import known_digests, scan_licenses
 from .mixing import mix_sources, repeating_weights
 from .near_dedup import NearDuplicates
 from .suffix_dedup import as_digest, remove_repeats
+from .token_counts import apply_edits, build_trees, three_edits
 from .toxicity import THRESHOLD, score_documents, train
 from .url_filter import Rule, filter_urls
 
@@ -60,6 +61,24 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return format_chats(table(spark, folder, "conversations"))
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of all documents before and after three edits of each."""
+    trees = build_trees(table(spark, folder, "documents").select("doc_id", "text"))
+    before = trees.withColumns({"edits": three_edits(F.col("id"), F.col("text")), "rest": F.struct("n_tokens", F.length("text").alias("n_chars"))})
+    after = apply_edits(before, keep_text=False)
+    leaves = (F.size("chars") / 2).cast("int")
+    return after.select(
+        F.col("id").alias("doc_id"),
+        F.col("rest.n_chars").alias("n_chars"),
+        F.col("rest.n_tokens").alias("n_tokens"),
+        F.col("n_tokens").alias("n_tokens_edited"),
+        "n_applied",
+        F.element_at("chars", 2).alias("n_chars_edited"),
+        "n_encoded",
+        leaves.alias("n_leaves"),
+    )
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     mix = mix_sources(docs, repeating_weights(docs))
@@ -79,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
+    "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
