@@ -6,8 +6,8 @@
    with the required overlap must share at least one of (a prefix filter). How often a value occurs is known only by
    bucket; any order that is the same for all documents is right, a good one makes the lists short. Equal sets are
    listed once, as the smallest id.
-3. Lists are kept apart by size class, and first each member is paired with the list's smallest id only. Verified pairs are
-   united; then all other pairs of a list whose ends are not yet connected, whose sizes allow a link and whose places in
+3. Lists are kept apart by size class, and first each member is paired with one only, the one with
+   the fewest rarer values. Verified pairs are united; then all other pairs of a list whose ends are not yet connected, whose sizes allow a link and whose places in
    the order still leave room for enough overlap are tried. So a large group of near copies costs one pair a member, not
    all pairs, and no link between two components is missed.
 4. The bottom-k of two sketches' union estimates the similarity and drops pairs far below the threshold.
@@ -90,21 +90,38 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64()))
 
 
+def _frequency(size: int):
+    """(bucket, n): how many retained values of a task fall into each bucket of their hashes."""
+
+    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_BUCKETS, np.int64)
+        for batch in batches:
+            for found in shingle_sets(batch.column(0), size):
+                np.add.at(counts, (found[:SKETCH] & np.uint64(_BUCKETS - 1)).astype(np.int64), 1)
+        filled = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(counts[filled])], names=["bucket", "n"])
+
+    return frequency
+
+
 def _listing(size: int, percent: int, sent):
     """(value, digest, id, n, place, kept, need) of the values of each document that are listed."""
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
+        often, seen = sent.value, set()
         for batch in batches:
             parts: list[list[np.ndarray]] = []
             held = 0
             for id, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
                 if id is None or not len(found):
                     continue
+                digest = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True)
+                if digest in seen:  # a copy in the same task
+                    continue
+                seen.add(digest)
                 sketch = found[:SKETCH]
                 need = _need(len(found), percent)
-                order = np.lexsort((sketch, often[sketch & np.uint64(_BUCKETS - 1)]))[: len(sketch) - need + 1]
-                digest = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True)
+                order = np.lexsort((sketch, often[(sketch & np.uint64(_BUCKETS - 1)).astype(np.int64)]))[: len(sketch) - need + 1]
                 same = lambda x, m=len(order): np.full(m, x, np.int64)
                 parts.append([sketch[order].view(np.int64), same(digest), same(id), same(len(found)), np.arange(len(order), dtype=np.int64)])
                 held += len(order)
@@ -161,16 +178,16 @@ class NearDuplicates:
         self.heads = cut_lineage(self.texts.mapInArrow(_heads(size), "id long, n long, digest long, estimate array<long>"))
 
     def _lists(self) -> DataFrame:
-        """(value, class, id, n, place): the inverted lists, equal sets once, and only where at least two sets meet."""
-        values = self.heads.select(F.explode("estimate").alias("value"))
-        counted = values.select(F.col("value").bitwiseAND(_BUCKETS - 1).alias("bucket")).groupBy("bucket").count()
+        """(value, id, n, place): the inverted lists, equal sets once, and only where at least two sets meet."""
+        counted = self.texts.select("text").mapInArrow(_frequency(self.size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
         often = np.zeros(_BUCKETS, np.int64)
-        for row in counted.toLocalIterator():  # at most _BUCKETS rows
-            often[row["bucket"]] = row["count"]
+        for row in counted.collect():  # at most _BUCKETS rows
+            often[row["bucket"]] = row["n"]
         sent = self.texts.sparkSession.sparkContext.broadcast(often)
         listed = self.texts.mapInArrow(_listing(self.size, self.percent, sent), "value long, digest long, id long, n long, place long")
-        once = listed.groupBy("value", "digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("place").alias("place"))
-        return once.drop("digest")
+        once = listed.repartition("value").groupBy("value", "digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("place").alias("place"))
+        shared = once.groupBy("value").agg(F.count("*").alias("sets")).filter("sets > 1")
+        return once.join(shared, "value").select("value", "id", "n", "place")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the candidate pairs (a, b) that are links."""
@@ -183,7 +200,7 @@ class NearDuplicates:
         )
         likely = cut_lineage(likely)
         bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(_TEXT_BUCKETS)).cast("int")
-        ids = likely.select(F.explode(F.array("a", "b")).alias("id"))
+        ids = likely.select(F.col("a").alias("id")).union(likely.select("b"))
         wanted = ids.select(bucket("id").alias("bucket")).distinct()  # at most _TEXT_BUCKETS rows, whatever the input
         some = self.texts.join(F.broadcast(wanted), bucket("id") == F.col("bucket"), "left_semi")
         return (
@@ -202,8 +219,10 @@ class NearDuplicates:
         # Sizes of a link differ by at most the threshold, so they lie in one class or in two that follow each other.
         step = float(np.log(100 / self.percent))
         classed = lists.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
-        lead = classed.groupBy("value", "class").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
-        stars = classed.join(lead, ["value", "class"]).filter("id <> a").select("a", F.col("id").alias("b"))
+        # The member with the fewest rarer values is nearest to what the others have in common.
+        nearest = F.min(F.struct("place", "id"))["id"]
+        lead = classed.groupBy("value", "class").agg(nearest.alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
+        stars = classed.join(lead, ["value", "class"]).filter("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
         links = cut_lineage(self._verified(stars.union(copies).distinct()))
         first = components(links)
         known = lists.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
