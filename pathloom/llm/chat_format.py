@@ -3,8 +3,8 @@
 A legal conversation is an automaton over roles: an optional system turn, then user and assistant in turn, beginning with
 user; it may end after either. A repair reads the turns in order and for each one
 
-* keeps it, or relabels it to another role (cost RELABEL, or RELABEL_UNKNOWN if its role is none of the three), as a turn of
-  its own, possibly with empty turns inserted before it (cost INSERT each), or
+* keeps it, or relabels it to another role (cost RELABEL, or RELABEL_UNKNOWN if its role is none of the three, plus SYSTEM
+  if one of the roles is system), as a turn of its own, possibly with empty turns inserted before it (cost INSERT each), or
 * merges it into the turn before it (cost MERGE, plus relabelling if the roles differ).
 
 Dynamic programming finds a repair of the least cost; of equally cheap ones a fixed order of choices decides. The cost of a run
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 MERGE, RELABEL, RELABEL_UNKNOWN, INSERT = 1, 3, 2, 4
+#: On top of relabelling, where one of the two roles is system.
+SYSTEM = 2
 #: Turns in a block: consecutive turn numbers divided by this.
 BLOCK_TURNS = 1024
 ROLES = ("system", "user", "assistant")
@@ -60,7 +62,7 @@ def choices(role: int | None) -> list[tuple[int, int, int, str, tuple[int, ...]]
     """(state before, state behind, cost, action, empty turns before) for one turn; role: its number, or None."""
     out = []
     for new in range(len(ROLES)):
-        change = 0 if new == role else RELABEL_UNKNOWN if role is None else RELABEL
+        change = 0 if new == role else (RELABEL_UNKNOWN if role is None else RELABEL) + SYSTEM * (0 in (new, role))
         for state in range(STATES):
             if (state, new) in BRIDGES:
                 bridge = BRIDGES[state, new]

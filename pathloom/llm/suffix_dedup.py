@@ -84,10 +84,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Units:
     found = []
     for low, high in slices(offsets, SLICE_BYTES):
         base, end = int(offsets[low]), int(offsets[high])
-        step = PIECE_BYTES if end - base > PIECE_BYTES else max(1, end - base)
+        long = high - low == 1 and end - base > PIECE_BYTES
+        step = PIECE_BYTES if long else max(1, end - base)
         for at in range(base, end, step):
             to = min(end, at + step + SPAN - 1)
-            units = _anchors(data[at:to], (offsets[low : high + 1] - base) if step != PIECE_BYTES else np.array([0, to - at]))
+            units = _anchors(data[at:to], np.array([0, to - at]) if long else offsets[low : high + 1] - base)
             found.append(Units(units.anchor + at, units.first + at, units.last + at, units.gram))
     join = lambda name: np.concatenate([np.zeros(0, np.uint64 if name == "gram" else np.int64), *(getattr(x, name) for x in found)])
     return Units(join("anchor"), join("first"), join("last"), join("gram"))
