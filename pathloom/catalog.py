@@ -14,7 +14,7 @@ from .functions.text import iso_text
 from .functions.urls import url_path
 from .operators import contents, fetchlog, graph, jobs, patterns, robots, sitemaps, urls
 from .plans.scale import rank_in_group
-from .session import shared_folder
+from .session import cut_lineage, shared_folder
 from .sinks import exports
 from .sources.pages import scan_pages, spread_out
 from .streaming import jobs as streams
@@ -193,7 +193,7 @@ def screen_targets(c):
         ).alias("raw_url"),
     )
     parsed = urls.canonical_url(targets, "raw_url", "url")
-    judged = robots.robots_allowed(parsed, c["robots_txt"])
+    judged = robots.robots_allowed(parsed, c["robots_by_origin"], by_origin=True)
     return judged.select("site", "seq", "raw_url", urls.target_error(F.col("url"), F.col("allowed")).alias("error"))
 
 
@@ -213,7 +213,7 @@ def site_scope_items(c):
         F.expr("CASE WHEN page_id % 11 = 5 THEN 'https://other.example.org/' || page_id WHEN page_id % 11 = 7 THEN 'no url' ELSE url || '#part' END").alias("url"),
         F.expr("CASE WHEN page_id % 3 = 0 THEN 'none' ELSE '/p/*' END").alias("pattern"),
     )
-    items, rejected = urls.site_scope_items(shaped, cap=10)
+    items, rejected = urls.site_scope_items(shaped)
     kept = items.select("job_id", "idx", "url", "pattern", F.lit(None).cast("string").alias("reject_reason"))
     return kept.unionByName(
         rejected.select("job_id", F.col("seq").alias("idx"), F.col("raw_url").alias("url"), F.lit(None).cast("string").alias("pattern"), "reject_reason")
@@ -236,7 +236,7 @@ def capture_slug(c):
 def first_seen_urls(c):
     twice = c["site_urls"].withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
     listed = twice.select("site", F.expr("seq + again * 1000000").alias("seq"), "url")
-    return urls.first_seen_urls(listed, cap=20).select("site", "position", "url", "truncated")
+    return urls.first_seen_urls(listed).select("site", "position", "url", "truncated")
 
 
 def fallback_origins(c) -> DataFrame:
@@ -437,7 +437,7 @@ def spread_sample(c):
 @query
 def title_template(c):
     titles = contents.page_meta(spread_out(c["site_pages"], "page_id")).select("page_id", "title")
-    return patterns.title_template(c["patterned"].join(titles, F.col("seq") == F.col("page_id")))
+    return patterns.title_template(c["patterned"].join(titles, F.col("seq") == F.col("page_id")), k=10)
 
 
 # ---- robots ------------------------------------------------------------------------------------
@@ -488,16 +488,13 @@ def sitemap_seeds(c):
     return sitemaps.sitemap_seeds(listed, c["robots_txt"].select("site", "origin"), served)
 
 
-def index_seeds(c) -> DataFrame:
-    """The index documents of the sites with an even first page; the others have no sitemap."""
-    served = c["robots_txt"].filter("first_id % 2 = 0").select("site")
-    rows = c["sitemap_rows"].join(served, "site", "left_semi")
+def index_seeds(rows: DataFrame) -> DataFrame:
     return rows.groupBy("site", F.col("index_url").alias("url")).agg(F.min("seq").alias("pos"))
 
 
 @query
 def expand_sitemaps(c):
-    listed, _, summary = graph.expand_sitemaps(index_seeds(c), c["sitemap_docs"])
+    listed, _, summary = graph.expand_sitemaps(index_seeds(c["sitemap_rows"]), c["sitemap_docs"])
     return patterns.attach(listed, summary.select("site", "sitemaps", "truncated"), ["site"], ["url"])
 
 
@@ -527,8 +524,12 @@ def resolve_redirects(c):
 
 @query
 def map_site(c):
-    listed, _, _ = graph.expand_sitemaps(index_seeds(c), c["sitemap_docs"])
-    crawled, _ = graph.crawl_frontier(*crawl_inputs(c))
+    """Sites with an even first page have a sitemap; only the others are crawled."""
+    served = c["robots_txt"].filter("first_id % 2 = 0").select("site")
+    rows = c["sitemap_rows"].join(served, "site", "left_semi")
+    listed, _, _ = graph.expand_sitemaps(index_seeds(rows), c["sitemap_docs"])
+    listed = cut_lineage(listed)
+    crawled, _ = graph.crawl_frontier(*[table.join(listed.select("site").distinct(), "site", "left_anti") for table in crawl_inputs(c)])
     return graph.map_site(listed, crawled).select("site", "source", "url")
 
 
@@ -548,8 +549,7 @@ def latest_results(c):
 
 @query
 def job_progress(c):
-    unread = c["job_results"].filter("off % 10 <> 4")
-    return jobs.job_progress(c["job_items"].select("job_id", "idx", "url"), unread)
+    return jobs.job_progress(c["job_items"].select("job_id", "idx", "url"), c["job_results"])
 
 
 @query
@@ -559,7 +559,7 @@ def restored_groups(c):
 
 def marked_results(c) -> DataFrame:
     last = jobs.latest_results(c["job_results"].select("job_id", "url", "off", "mark"))
-    return last.filter("off % 4 <> 2").select(F.col("job_id").alias("site"), "url", F.col("mark").isin("o", "s").alias("ok"))
+    return last.select(F.col("job_id").alias("site"), "url", F.col("mark").isin("o", "s").alias("ok"))
 
 
 @query
@@ -607,7 +607,7 @@ def capture_numbering(c):
 @query
 def job_targets(c):
     sample = patterns.spread_sample(c["patterned"], ["site", "pattern"], "seq", 10)
-    chosen, counts = jobs.job_targets(sample, marked_results(c), cap=6)
+    chosen, counts = jobs.job_targets(sample, marked_results(c))
     return chosen.join(counts, "site").select("site", "idx", "url", "targets", "skipped")
 
 

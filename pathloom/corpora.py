@@ -67,6 +67,10 @@ DERIVED: dict[str, str] = {
                           || 'Crawl-delay: 5'
                  ELSE '' END AS text
         FROM {site_pages} GROUP BY site""",
+    # The text of a site's https origin, and another one for its http origin. Other origins have none.
+    "robots_by_origin": """
+        SELECT origin, text FROM {robots_txt}
+        UNION ALL SELECT 'http://' || site, CASE WHEN first_id % 2 = 0 THEN 'User-agent: *' || chr(10) || 'Disallow: /' ELSE '' END FROM {robots_txt}""",
     "robots_responses": """
         SELECT site,
                CASE WHEN first_id % 5 = 3 THEN 404 ELSE 200 END AS status,
@@ -79,7 +83,17 @@ DERIVED: dict[str, str] = {
                url AS loc,
                CASE WHEN seq % 4 = 0 THEN NULL
                     WHEN seq % 3 = 1 THEN '2026-10-06T10:00:00+00:00'
-                    ELSE '2026-0' || CAST(1 + seq % 9 AS VARCHAR(20)) || '-15' END AS lastmod
+                    WHEN seq % 3 = 2 AND seq % 5 = 0 THEN '2026-0' || CAST(1 + seq % 9 AS VARCHAR(20)) || '-15T10:20+02:00'
+                    WHEN seq % 5 = 1 THEN '2026/0' || CAST(1 + seq % 9 AS VARCHAR(20)) || '/15'
+                    WHEN seq % 5 = 2 THEN 'March ' || CAST(1 + seq % 9 AS VARCHAR(20)) || ', 2026'
+                    WHEN seq % 5 = 3 THEN CAST(1 + seq % 9 AS VARCHAR(20)) || ' Apr 2026'
+                    ELSE '2026-0' || CAST(1 + seq % 9 AS VARCHAR(20)) || '-15' END AS lastmod,
+               CASE WHEN seq % 4 = 0 THEN NULL
+                    WHEN seq % 3 = 1 THEN '2026-10-06 10:00:00'
+                    WHEN seq % 3 = 2 AND seq % 5 = 0 THEN '2026-0' || CAST(1 + seq % 9 AS VARCHAR(20)) || '-15 08:20:00'
+                    WHEN seq % 5 = 2 THEN '2026-03-0' || CAST(1 + seq % 9 AS VARCHAR(20)) || ' 00:00:00'
+                    WHEN seq % 5 = 3 THEN '2026-04-0' || CAST(1 + seq % 9 AS VARCHAR(20)) || ' 00:00:00'
+                    ELSE '2026-0' || CAST(1 + seq % 9 AS VARCHAR(20)) || '-15 00:00:00' END AS stamp
         FROM {site_pages}""",
     "fetch_log": READ_LOG.format(rows="{site_pages}"),
     # The same log over the pages with all parts, body and page in one row.
@@ -91,7 +105,8 @@ DERIVED: dict[str, str] = {
                  || lpad(CAST(CAST(floor(seq / 60.0) AS BIGINT) % 60 AS VARCHAR(20)), 2, '0') || ':'
                  || lpad(CAST(seq % 60 AS VARCHAR(20)), 2, '0') || 'Z' AS written_text
         FROM (SELECT site, url, page_id, seq, 0 AS attempt FROM {site_pages}
-              UNION ALL SELECT site, url, page_id, seq, 1 AS attempt FROM {site_pages} WHERE page_id % 3 = 0) a""",
+              UNION ALL SELECT site, url, page_id, seq, 1 AS attempt FROM {site_pages} WHERE page_id % 3 = 0) a
+        WHERE page_id % 8 <> 5""",
     "redirect_hops": """
         SELECT a.url, 301 AS status, b.url AS location
         FROM {site_pages} a JOIN {site_pages} b ON b.page_id = a.page_id + 1
@@ -140,7 +155,7 @@ class Corpus:
     def dated_patterned(self) -> DataFrame:
         """The templates with the lastmod of the sitemap rows."""
         stamps = self["sitemap_rows"].select(
-            "site", "seq", F.col("lastmod").cast("timestamp").alias("lastmod")
+            "site", "seq", F.col("stamp").cast("timestamp").alias("lastmod")
         )
         return self["patterned"].join(stamps, ["site", "seq"], "left")
 

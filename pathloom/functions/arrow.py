@@ -5,7 +5,6 @@ Each takes NULL for the rows that do not need it, so ordinary rows cost a null b
 
 from __future__ import annotations
 
-import codecs
 import ipaddress
 import json
 import re
@@ -150,6 +149,27 @@ def _resolved(references: pd.Series, base: pd.Series) -> pd.Series:
 resolve_references = _resolved.asNondeterministic()
 
 
+# Labels of the web for text encodings other than UTF-8, UTF-16 and windows-1252, by the codec that reads
+# them. The web reads several of them as the larger set that Windows uses.
+CHARSETS = {
+    "gb18030": ["gb2312", "gbk", "gb18030", "chinese", "csgb2312", "gb_2312-80", "x-gbk"],
+    "cp932": ["shift_jis", "shift-jis", "sjis", "x-sjis", "ms_kanji", "csshiftjis", "windows-31j"],
+    "cp949": ["euc-kr", "korean", "ks_c_5601-1987", "ksc5601", "windows-949"],
+    "cp1254": ["iso-8859-9", "iso8859-9", "latin5", "l5", "windows-1254", "x-cp1254"],
+    "cp874": ["iso-8859-11", "tis-620", "windows-874", "dos-874"],
+    "big5hkscs": ["big5", "big5-hkscs", "cn-big5", "x-x-big5"],
+    "euc_jp": ["euc-jp", "x-euc-jp"],
+    "iso2022_jp": ["iso-2022-jp", "csiso2022jp"],
+    "koi8_r": ["koi8-r", "koi", "koi8", "koi8_r"],
+    "koi8_u": ["koi8-u", "koi8-ru"],
+    "cp866": ["ibm866", "cp866", "866"],
+    "mac_roman": ["macintosh", "mac", "x-mac-roman"],
+    **{f"cp{n}": [f"windows-{n}", f"cp{n}", f"x-cp{n}"] for n in (1250, 1251, 1253, 1255, 1256, 1257, 1258)},
+    **{f"iso8859_{n}": [f"iso-8859-{n}", f"iso8859-{n}", f"iso_8859-{n}"] for n in (2, 3, 4, 5, 6, 7, 8, 10, 13, 14, 15, 16)},
+}
+_CODECS = {label: codec for codec, labels in CHARSETS.items() for label in labels}
+
+
 @F.pandas_udf(STRING)
 def decode_charset(body: pd.Series, charset: pd.Series) -> pd.Series:
     """Bytes in one of the rarer encodings as text; unknown names are read as UTF-8."""
@@ -157,11 +177,7 @@ def decode_charset(body: pd.Series, charset: pd.Series) -> pd.Series:
     def text(raw, name):
         if raw is None or name is None:
             return None
-        try:
-            codecs.lookup(name)
-        except LookupError:
-            name = "utf-8"
-        return bytes(raw).decode(name, errors="replace")
+        return bytes(raw).decode(_CODECS.get(name, "utf-8"), errors="replace")
 
     return pd.Series([text(raw, name) for raw, name in zip(body, charset)], dtype=object)
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NO_WORD, S, collapsed, decoded_text, inline_text, let, trimmed
+from .text import NO_WORD, S, before_last, collapsed, decoded_text, inline_text, let, trimmed, without_tags
 
 # Elements that hold no readable text, in the order they are taken out.
 SILENT = ["script", "style", "noscript", "template", "svg", "iframe"]
@@ -16,30 +16,56 @@ BREAKING = (
     "p|div|section|article|li|ul|ol|tr|table|h[1-6]|blockquote|pre|dd|dt|figure|figcaption"
 )
 ATTRIBUTE = rf"""([a-zA-Z_:][-a-zA-Z0-9_:.]*){S}*={S}*(?:"([^"]*)"|'([^']*)'|([^{S[1:-1]}"'>]+))"""
-LONG_TEXT = 16_384
 MIN_MAIN_TEXT = 200
-MAX_TEXT = 32_000
-MAX_HEADINGS = 200
 SHELL_WORDS = 80
 
 
 def up_to_last(text: Column, closing: str) -> Column:
-    """A long text up to the last closing mark; short texts as they are.
+    """A text up to the last closing mark.
 
     Nothing behind the last closing mark can be part of an element, and in front of it every search for a
-    closing mark ends at one. So long pages with many unclosed tags take linear, not quadratic, time.
+    closing mark ends at one. So pages with many unclosed tags take linear, not quadratic, time.
     """
-    return F.when(F.length(text) <= LONG_TEXT, text).otherwise(F.regexp_extract(text, rf"(?is)^.*{closing}", 0))
+    return F.regexp_extract(text, rf"(?is)^.*{closing}", 0)
+
+
+def tag_body(name: str) -> str:
+    """The inside of an opening tag, as a pattern: no other tag of that name begins in it. Each search for its end stops
+    at the next one, so tags that never end take linear time."""
+    return f"(?:(?!<{name}{NO_WORD})[^>])*"
+
+
+# Opening tags of elements that never end are marked with this character while elements are searched for.
+_MARK = "\x01"
+
+
+def _marked(text: Column, names: Sequence[str]) -> Column:
+    """Opening tags behind the last closing tag of their name, where no element can begin, made unrecognisable."""
+    for name in names:
+        text = let(text, _marker(name))
+    return text
+
+
+def _marker(name: str) -> Callable[[Column], Column]:
+    def mark(whole: Column) -> Column:
+        behind = lambda front: F.substring(whole, F.length(front) + 1, F.length(whole))
+        opening = f"(?i)<(?={name}{NO_WORD})"
+        return let(up_to_last(whole, f"</{name}{S}*>"), lambda front: F.concat(front, F.regexp_replace(behind(front), opening, "<" + _MARK)))
+
+    return mark
+
+
+def _unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit("<" + _MARK), F.lit("<"))
 
 
 def _cut_out(text: Column, pattern: str, closing: str) -> Column:
     def cut(whole: Column) -> Column:
         blank = lambda part: F.regexp_replace(part, pattern, " ")
-        in_parts = let(
+        return let(
             up_to_last(whole, closing),
             lambda front: F.concat(blank(front), F.substring(whole, F.length(front) + 1, F.length(whole))),
         )
-        return F.when(F.length(whole) <= LONG_TEXT, blank(whole)).otherwise(in_parts)
 
     return let(text, cut)
 
@@ -59,12 +85,13 @@ def inner_texts(html: Column, name: str) -> Column:
     """Inner HTML of all elements of a name."""
     closing = f"</{name}{S}*>"
     return F.regexp_extract_all(
-        up_to_last(html, closing), F.lit(rf"(?is)<{name}{NO_WORD}[^>]*>(.*?){closing}"), F.lit(1)
+        up_to_last(html, closing), F.lit(rf"(?is)<{name}{NO_WORD}{tag_body(name)}>(.*?){closing}"), F.lit(1)
     )
 
 
 def opening_tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?i)<{name}{NO_WORD}[^>]*>"), F.lit(0))
+    front = let(html, lambda whole: F.when(whole.contains(">"), F.left(whole, F.length(whole) - F.length(F.substring_index(whole, ">", -1)))).otherwise(""))
+    return F.regexp_extract_all(front, F.lit(rf"(?i)<{name}{NO_WORD}[^>]*>"), F.lit(0))
 
 
 def _joined(left: Column, right: Column) -> Column:
@@ -122,16 +149,16 @@ def title_text(html: Column, entries: Column) -> Column:
 
 
 def page_language(html: Column) -> Column:
-    tag = F.regexp_extract(html, rf"(?i)<html{NO_WORD}[^>]*>", 0)
+    tag = F.regexp_extract(html, rf"(?i)<html{NO_WORD}{tag_body('html')}>", 0)
     return F.coalesce(attribute(attribute_pairs(tag), "lang"), F.lit(""))
 
 
 def heading_list(cleaned: Column) -> Column:
     """All headings with text, in order: array of (level, text)."""
-    cleaned = up_to_last(cleaned, f"</h[1-6]{S}*>")
-    pattern = F.lit(rf"(?is)<h([1-6]){NO_WORD}[^>]*>(.*?)</h\1{S}*>")
+    cleaned = _marked(up_to_last(cleaned, f"</h[1-6]{S}*>"), [f"h{level}" for level in range(1, 7)])
+    pattern = F.lit(rf"(?is)<h([1-6]){NO_WORD}{tag_body('h[1-6]')}>(.*?)</h\1{S}*>")
     levels = F.regexp_extract_all(cleaned, pattern, F.lit(1))
-    texts = F.transform(F.regexp_extract_all(cleaned, pattern, F.lit(2)), inline_text)
+    texts = F.transform(F.regexp_extract_all(cleaned, pattern, F.lit(2)), lambda text: inline_text(_unmarked(text)))
     both = F.zip_with(levels, texts, lambda level, text: F.struct(level.cast("int").alias("level"), text.alias("text")))
     return F.filter(both, lambda heading: heading["text"] != "")
 
@@ -140,8 +167,11 @@ def main_fragment(cleaned: Column) -> Column:
     """Inner HTML of the main element, else of the articles, else of the body without site chrome."""
     main = F.get(inner_texts(cleaned, "main"), F.lit(0))
     articles = inner_texts(cleaned, "article")
-    body_pattern = rf"(?is)<body{NO_WORD}[^>]*>(.*)</body{S}*>"
-    body = F.when(cleaned.rlike(body_pattern), F.regexp_extract(cleaned, body_pattern, 1)).otherwise(cleaned)
+    body_pattern = rf"(?is)<body{NO_WORD}{tag_body('body')}>(.*)</body{S}*>"
+    body = let(
+        up_to_last(cleaned, f"</body{S}*>"),
+        lambda front: F.when(front.rlike(body_pattern), F.regexp_extract(front, body_pattern, 1)).otherwise(cleaned),
+    )
     long_enough = lambda fragment: F.length(inline_text(fragment)) > MIN_MAIN_TEXT
     from_articles = let(
         articles, lambda found: F.when(long_enough(F.array_join(found, " ")), F.array_join(found, "\n"))
@@ -153,9 +183,9 @@ def main_fragment(cleaned: Column) -> Column:
 def readable_text(fragment: Column) -> Column:
     """Plain text with one line per block and no blank lines."""
     broken = F.regexp_replace(fragment, rf"(?i)<br{S}*/?>", "\n")
-    broken = F.regexp_replace(broken, rf"(?i)</?(?:{BREAKING}){NO_WORD}[^>]*>", "\n")
+    broken = before_last(broken, ">", lambda front: F.regexp_replace(front, rf"(?i)</?(?:{BREAKING}){NO_WORD}[^>]*>", "\n"))
     broken = F.regexp_replace(broken, rf"(?i)</t[dh]{S}*>", "\t")
-    broken = F.regexp_replace(broken, "<[^>]+>", " ")
+    broken = without_tags(broken)
     lines = F.transform(
         F.split(decoded_text(broken), "\n", -1),
         lambda line: trimmed(F.regexp_replace(line, r"[ \t\x{00A0}]+", " ")),
@@ -165,16 +195,16 @@ def readable_text(fragment: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """All text of the raw page but that of scripts, styles and drawings."""
-    hidden = "script|style|noscript|template|svg"
-    bare = _cut_out(html, rf"(?is)<({hidden}){NO_WORD}.*?</\1{S}*>", f"</(?:{hidden}){S}*>")
-    return decoded_text(F.regexp_replace(bare, "<[^>]+>", " "))
+    hidden = ["script", "style", "noscript", "template", "svg"]
+    elements = rf"(?is)<({'|'.join(hidden)}){NO_WORD}.*?</\1{S}*>"
+    return decoded_text(without_tags(_unmarked(F.regexp_replace(_marked(html, hidden), elements, " "))))
 
 
 def jsonld_scripts(html: Column) -> Column:
     """Texts of the structured-data scripts; NULL when there are none."""
     kind = rf"""type{S}*={S}*["']?application/ld\+json["']?"""
     bodies = F.regexp_extract_all(
-        up_to_last(html, f"</script{S}*>"), F.lit(rf"(?is)<script{NO_WORD}[^>]*{kind}[^>]*>(.*?)</script{S}*>"), F.lit(1)
+        up_to_last(html, f"</script{S}*>"), F.lit(rf"(?is)<script{NO_WORD}{tag_body('script')}{kind}{tag_body('script')}>(.*?)</script{S}*>"), F.lit(1)
     )
     bare = F.transform(bodies, lambda body: F.regexp_replace(body, rf"^{S}*<!\[CDATA\[|\]\]>{S}*\z", ""))
     return F.when(F.size(bare) > 0, bare)
@@ -191,7 +221,7 @@ def anchor_references(cleaned: Column) -> Column:
 def crawl_references(html: Column) -> Column:
     """href values a link crawl follows, from the raw page."""
     pattern = F.lit(
-        rf"""(?i)<a{S}[^>]*?href{S}*={S}*(?:"([^"]*)"|'([^']*)'|([^{S[1:-1]}"'>]+))"""
+        rf"""(?i)<a{S}{tag_body('a')}?href{S}*={S}*(?:"([^"]*)"|'([^']*)'|([^{S[1:-1]}"'>]+))"""
     )
     group = lambda index: F.regexp_extract_all(html, pattern, F.lit(index))
     joined = _joined(_joined(group(1), group(2)), group(3))
@@ -200,9 +230,9 @@ def crawl_references(html: Column) -> Column:
 
 
 def base_reference(html: Column) -> Column:
-    found = F.regexp_extract(html, rf"""(?i)<base{S}[^>]*href{S}*={S}*["']([^"']+)["']""", 1)
+    found = F.regexp_extract(html, rf"""(?i)<base{S}{tag_body('base')}href{S}*={S}*["']([^"']+)["']""", 1)
     return F.when(found != "", decoded_text(found))
 
 
 def has_script_source(html: Column) -> Column:
-    return html.rlike(rf"(?i)<script{NO_WORD}[^>]*(?<![0-9A-Za-z_])src{S}*=")
+    return html.rlike(rf"(?i)<script{NO_WORD}{tag_body('script')}(?<![0-9A-Za-z_])src{S}*=")

@@ -49,7 +49,7 @@ ENTITY = "(?i)&(?:#x[0-9a-f]+|#[0-9]+|[a-z][a-z0-9]*);"
 # SQL lambdas: the text of a character number, of an entity, and of a whole text with its entities.
 _CHARACTER = """n -> CASE WHEN n BETWEEN 1 AND 1114111 AND n NOT BETWEEN 55296 AND 57343
                           THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END"""
-_NUMBER = """CASE WHEN e RLIKE '^&#[xX]' THEN CASE WHEN length(e) <= 40 THEN CAST(conv(substring(e, 4, length(e) - 4), 16, 10) AS BIGINT) END
+_NUMBER = """CASE WHEN e RLIKE '^&#[xX]' THEN transform(array(ltrim('0', substring(e, 4, length(e) - 4))), h -> CASE WHEN length(h) <= 8 THEN CAST(conv(h, 16, 10) AS BIGINT) END)[0]
                   WHEN e LIKE '&#%' THEN try_cast(substring(e, 3, length(e) - 3) AS BIGINT) END"""
 _ENTITY_NAMES = "map({})".format(
     ", ".join("'{}', '{}'".format(name, char.replace("'", "\\'")) for name, char in NAMED_ENTITIES.items())
@@ -69,7 +69,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Strip every kind of white space, not only U+0020."""
-    return F.regexp_replace(text, rf"^{S}+|{S}+\z", "")
+    return F.regexp_replace(text, rf"^{S}+|(?<!{S}){S}+\z", "")
 
 
 def collapsed(text: Column) -> Column:
@@ -82,9 +82,24 @@ def decoded_text(text: Column) -> Column:
     return F.get(F.call_function("transform", F.array(text), F.expr(_DECODED)), F.lit(0))
 
 
+def before_last(text: Column, mark: str, change: Callable[[Column], Column]) -> Column:
+    """``text`` with ``change`` applied up to its last ``mark``. Behind that no search for the mark could end."""
+
+    def parted(whole: Column) -> Column:
+        behind = F.when(whole.contains(mark), F.substring_index(whole, mark, -1)).otherwise(whole)
+        return let(behind, lambda rest: F.concat(change(F.left(whole, F.length(whole) - F.length(rest))), rest))
+
+    return let(text, parted)
+
+
+def without_tags(fragment: Column) -> Column:
+    """A blank for each tag."""
+    return before_last(fragment, ">", lambda front: F.regexp_replace(front, "<[^>]+>", " "))
+
+
 def inline_text(fragment: Column) -> Column:
     """Visible text of an HTML fragment on one line."""
-    return collapsed(decoded_text(F.regexp_replace(fragment, "<[^>]+>", " ")))
+    return collapsed(decoded_text(without_tags(fragment)))
 
 
 def word_count(text: Column) -> Column:
@@ -116,18 +131,24 @@ def js_number(text: Column) -> Column:
 
 
 def parsed_date(text: Column) -> Column:
-    """ISO 8601 or RFC 2822 text as a UTC timestamp with milliseconds; anything else NULL."""
+    """ISO 8601, RFC 2822 or one of the common written dates as a UTC timestamp with milliseconds; anything else NULL."""
     iso = r"^[0-9]{4}(?:-[0-9]{2}(?:-[0-9]{2}(?:[T ][0-9:.]+(?:Z|[+-][0-9:]+)?)?)?)?\z"
+    minutes = r"^([0-9-]{10}[T ][0-9]{2}:[0-9]{2})(Z|[+-][0-9:]+)?\z"
     weekday = f"^[A-Za-z]{{3}},{S}*"
 
     def read(plain: Column) -> Column:
         mail = F.regexp_replace(plain, weekday, "")
-        return F.when(plain.rlike(iso), plain.try_cast("timestamp")).when(
-            plain.rlike("^[A-Za-z]{3},|^[0-9]{1,2} [A-Za-z]{3} "),
-            F.coalesce(
-                F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss z")),
-                F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")),
-            ),
+        known = lambda *shapes: F.coalesce(*[F.try_to_timestamp(mail, F.lit(shape)) for shape in shapes])
+        full = F.regexp_replace(F.regexp_replace(plain, minutes, "$1:00$2"), r"([+-][0-9]{2})([0-9]{2})\z", "$1:$2")
+        return (
+            F.when(plain.rlike(iso), F.when(plain.rlike(r"[T ]"), full).otherwise(plain).try_cast("timestamp"))
+            .when(plain.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\\z"), known("yyyy-M-d"))
+            .when(plain.rlike("^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\\z"), known("yyyy/M/d"))
+            .when(plain.rlike("^[A-Za-z]{3,9} [0-9]{1,2}, [0-9]{4}\\z"), known("MMMM d, yyyy", "MMM d, yyyy"))
+            .when(
+                plain.rlike("^[A-Za-z]{3},|^[0-9]{1,2} [A-Za-z]{3,9} "),
+                known("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm z", "d MMM yyyy HH:mm Z", "d MMM yyyy", "d MMMM yyyy"),
+            )
         )
 
     return F.date_trunc("millisecond", let(trimmed(text), read))

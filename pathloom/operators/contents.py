@@ -6,7 +6,7 @@ their own select so they are computed once per page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -51,10 +51,21 @@ def with_cleaned(pages: DataFrame) -> DataFrame:
     return pages.withColumn("cleaned", H.cleaned_html(F.col("html")))
 
 
-def page_headings(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, level, text): at most the first 200 per page."""
+def _first_ones(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
+def _cut(text: Column, most: int | None) -> tuple[Column, Column]:
+    """The text, up to ``most`` characters if given, and whether that is not all of it."""
+    if most is None:
+        return text.alias("text"), F.lit(False).alias("text_truncated")
+    return F.substring(text, 1, most).alias("text"), (F.length(text) > most).alias("text_truncated")
+
+
+def page_headings(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """(page_id, pos, level, text), all headings or the first ``most`` of each page."""
     cleaned = with_cleaned(pages).select("page_id", H.heading_list(F.col("cleaned")).alias("_headings"))
-    shown = F.posexplode(F.slice("_headings", 1, H.MAX_HEADINGS)).alias("pos", "_heading")
+    shown = F.posexplode(_first_ones(F.col("_headings"), most)).alias("pos", "_heading")
     return cleaned.select("page_id", shown).select("page_id", "pos", "_heading.level", "_heading.text")
 
 
@@ -90,13 +101,8 @@ def link_edges(pages: DataFrame, keep: tuple[str, ...] = ("site",)) -> DataFrame
     return links.select(*keep, "src", F.posexplode("_links").alias("pos", "dst")).filter(F.col("dst").isNotNull())
 
 
-def page_text(pages: DataFrame) -> DataFrame:
-    full = _main_text(with_cleaned(pages), "page_id")
-    return full.select(
-        "page_id",
-        F.substring("_text", 1, H.MAX_TEXT).alias("text"),
-        (F.length("_text") > H.MAX_TEXT).alias("text_truncated"),
-    )
+def page_text(pages: DataFrame, most: int | None = None) -> DataFrame:
+    return _main_text(with_cleaned(pages), "page_id").select("page_id", *_cut(F.col("_text"), most))
 
 
 def _main_text(cleaned: DataFrame, *keep: str) -> DataFrame:
@@ -137,8 +143,10 @@ def js_shell_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_contents(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The full record of a page: one row in, one row out, no shuffle."""
+def page_contents(
+    pages: DataFrame, keep: tuple[str, ...] = (), most_text: int | None = None, most_headings: int | None = None
+) -> DataFrame:
+    """The full record of a page: one row in, one row out, no shuffle. Whole texts unless limits are given."""
     source, cleaned = F.col("html"), F.col("cleaned")
     first = with_cleaned(pages).select(
         "page_id",
@@ -182,12 +190,11 @@ def page_contents(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "canonical",
         "robots",
         F.coalesce(level_one, F.lit("")).alias("h1"),
-        F.slice("_headings", 1, H.MAX_HEADINGS).alias("headings"),
+        _first_ones(F.col("_headings"), most_headings).alias("headings"),
         F.coalesce("_types", F.array().cast("array<string>")).alias("schema_types"),
         "word_count",
         "internal_links",
         "external_links",
-        F.substring("_text", 1, H.MAX_TEXT).alias("text"),
-        (F.length("_text") > H.MAX_TEXT).alias("text_truncated"),
+        *_cut(F.col("_text"), most_text),
         (F.col("_source") & (F.col("word_count") < H.SHELL_WORDS)).alias("needs_render"),
     )

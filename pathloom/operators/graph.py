@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +15,9 @@ from .robots import OWN_AGENT, robots_allowed
 from .sitemaps import document_kind, sitemap_entries
 from .urls import affiliate_path, asset_path, host_refusal
 
-MAX_SITEMAPS = 60
-MAX_URLS = 50_000
-MAX_CRAWL_PAGES = 300
-MAX_RENDER_CRAWL_PAGES = 40
-MAX_HOPS = 5
-
 
 def expand_sitemaps(
-    seeds: DataFrame, docs: DataFrame, max_sitemaps: int = MAX_SITEMAPS, max_urls: int = MAX_URLS, width: int | None = None
+    seeds: DataFrame, docs: DataFrame, max_sitemaps: int | None = None, max_urls: int | None = None, width: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From seed sitemaps (site, pos, url) and documents (site, sitemap_url, xml) to page URLs.
 
@@ -47,7 +43,8 @@ def expand_sitemaps(
     )
     extra = {"width": width} if width else {}
     ranked = rank_in_group(first, ["site"], "_place", "position", **extra)
-    urls = ranked.filter(F.col("position") <= max_urls).select("site", "position", "url", "lastmod")
+    kept = ranked if max_urls is None else ranked.filter(F.col("position") <= max_urls)
+    urls = kept.select("site", "position", "url", "lastmod")
     found = urls.groupBy("site").agg(F.count(F.lit(1)).alias("_urls"))
     summary = (
         read.groupBy("site")
@@ -62,9 +59,8 @@ def expand_sitemaps(
             (F.coalesce("left", F.lit(0)) > 0).alias("_cut"),
         )
     )
-    return urls, read, summary.select(
-        "site", "sitemaps", "skipped", "urls", (F.col("_cut") | (F.col("urls") >= max_urls)).alias("truncated")
-    )
+    full = F.lit(False) if max_urls is None else F.col("urls") >= max_urls
+    return urls, read, summary.select("site", "sitemaps", "skipped", "urls", (F.col("_cut") | full).alias("truncated"))
 
 
 def followable(edges: DataFrame, texts: DataFrame, agent: str = OWN_AGENT) -> DataFrame:
@@ -78,13 +74,13 @@ def followable(edges: DataFrame, texts: DataFrame, agent: str = OWN_AGENT) -> Da
 
 
 def crawl_frontier(
-    origins: DataFrame, reads: DataFrame, edges: DataFrame, texts: DataFrame, cap: int = MAX_CRAWL_PAGES, agent: str = OWN_AGENT
+    origins: DataFrame, reads: DataFrame, edges: DataFrame, texts: DataFrame, cap: int | None = None, agent: str = OWN_AGENT
 ) -> tuple[DataFrame, DataFrame]:
     """Pages reachable from each homepage by links.
 
     ``origins`` (site, origin), ``reads`` (site, url, final_url, ok), ``edges`` (site, src, pos, dst) with
     ``src`` the URL that was asked for, ``texts`` (site, text). Returns pages (site, position, url, depth) and per
-    site (site, attempted, truncated). The cap counts attempts; pages are the final URLs of good reads on the site.
+    site (site, attempted, truncated). A cap counts attempts; pages are the final URLs of good reads on the site.
     """
     good = reads.filter(F.col("ok") & (bare_host(url_host(F.col("final_url"))) == F.col("site")))
     allowed = followable(edges.join(good.select("site", F.col("url").alias("src")), ["site", "src"], "left_semi"), texts, agent)
@@ -109,47 +105,52 @@ def crawl_frontier(
     return pages, summary
 
 
-def resolve_redirects(starts: DataFrame, hops: DataFrame, stay_on_site: bool = False, max_hops: int = MAX_HOPS) -> DataFrame:
+def resolve_redirects(starts: DataFrame, hops: DataFrame, stay_on_site: bool = False, max_hops: int | None = None) -> DataFrame:
     """Follow (url, status, location) hops from each start (url): final URL, number of hops, chain and error.
 
-    Many URLs often lead to the same place, so each step is a skew-safe lookup, fixed by a checkpoint.
+    A chain ends where it comes back to a URL it has passed (``redirect-loop``), or after ``max_hops`` if given
+    (``too-many-redirects``). Each step is a salted lookup of the chains that still go on, and is written, so lineage stays
+    short; it ends when none goes on.
     """
     redirecting = hops.filter(F.col("status").between(300, 399) & F.col("location").isNotNull())
     redirecting = redirecting.groupBy("url").agg(F.min(F.struct("status", "location")).alias("_hop")).select("url", "_hop.*")
     targets = canonical_url(redirecting, "location", "_next", "url")
     host = url_host(F.col("_next"))
-    dim = targets.select(
-        F.col("url").alias("current"),
-        F.struct(
-            F.col("url").alias("url"), "status", F.coalesce("_next", "location").alias("location")
-        ).alias("hop"),
-        F.col("_next").alias("next"),
-        (host_refusal(host).isNotNull()).alias("private"),
+    hop = F.struct(F.col("url").alias("url"), "status", F.coalesce("_next", "location").alias("location"))
+    dim = cut_lineage(
+        targets.select(F.col("url").alias("current"), hop.alias("hop"), F.col("_next").alias("next"), host_refusal(host).isNotNull().alias("private"))
     )
-    empty = F.array().cast("array<struct<url:string,status:int,location:string>>")
-    walk = starts.select("url", F.col("url").alias("current"), F.col("url").alias("final_url"), empty.alias("chain"),
-                         F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("off_site"))
-    for step in range(1, max_hops + 1):
-        met = attach(walk, dim, ["current"], ["url"])
-        moved = F.col("hop").isNotNull()
-        leaves = F.lit(stay_on_site) & (bare_host(url_host(F.col("next"))) != bare_host(url_host(F.col("url"))))
+    shape = "struct<url:string,status:int,location:string>"
+    active = starts.select("url", F.col("url").alias("current"), F.array().cast(f"array<{shape}>").alias("chain"))
+    ended: list[DataFrame] = []
+    step = 0
+    while True:
+        step += 1
+        moved, next_ = F.col("hop").isNotNull(), F.col("next")
+        leaves = F.lit(stay_on_site) & (bare_host(url_host(next_)) != bare_host(url_host(F.col("url"))))
+        passed = (next_ == F.col("current")) | F.exists("chain", lambda h: h["url"] == next_)
+        last = F.lit(max_hops is not None and step >= max_hops)
         error = (
-            F.when(moved & F.col("next").isNull(), F.lit("invalid-url"))
-            .when(moved & ~leaves & F.lit(step >= max_hops), F.lit("too-many-redirects"))
+            F.when(moved & next_.isNull(), F.lit("invalid-url"))
+            .when(moved & ~leaves & last, F.lit("too-many-redirects"))
             .when(moved & ~leaves & F.col("private"), F.lit("private"))
+            .when(moved & ~leaves & passed, F.lit("redirect-loop"))
         )
-        goes_on = moved & F.col("next").isNotNull() & ~leaves & F.coalesce(error != "private", F.lit(True)) & F.lit(step < max_hops)
-        recorded = moved & F.col("next").isNotNull()
-        walk = met.select(
+        recorded = moved & next_.isNotNull()
+        met = attach(active, dim, ["current"], ["url"]).select(
             "url",
-            F.when(goes_on, F.col("next")).alias("current"),
-            F.when(goes_on, F.col("next")).otherwise(F.col("final_url")).alias("final_url"),
-            F.when(recorded, F.array_append("chain", F.col("hop").cast("struct<url:string,status:int,location:string>"))).otherwise(F.col("chain")).alias("chain"),
-            F.coalesce("error", error).alias("error"),
-            F.coalesce("off_site", F.when(recorded & leaves, F.col("next"))).alias("off_site"),
+            "current",
+            "next",
+            F.when(recorded, F.array_append("chain", F.col("hop").cast(shape))).otherwise(F.col("chain")).alias("chain"),
+            error.alias("error"),
+            F.when(recorded & leaves, next_).alias("off_site"),
         )
-        walk = cut_lineage(walk)
-    return walk.drop("current").withColumn("hops", F.size("chain").cast("long"))
+        met = cut_lineage(met.withColumn("_on", F.col("next").isNotNull() & F.col("error").isNull() & F.col("off_site").isNull()))
+        ended.append(met.filter("NOT _on").select("url", F.col("current").alias("final_url"), "chain", "error", "off_site"))
+        active = met.filter("_on").select("url", F.col("next").alias("current"), "chain")
+        if active.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, ended).withColumn("hops", F.size("chain").cast("long"))
 
 
 def map_site(sitemap_urls: DataFrame, crawled: DataFrame) -> DataFrame:

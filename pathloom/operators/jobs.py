@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..plans.scale import attach, rank_in_group
 from .urls import compact_url, slug_of
 
-MAX_JOB_PAGES = 5000
 RESULTS_PAGE = 50
 RETRY_ROUNDS = 2
 DEFAULT_WAIT = 10.0
@@ -75,19 +74,15 @@ def pending_pages(targets: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def job_targets(
-    sample: DataFrame, results: DataFrame, cap: int = MAX_JOB_PAGES, width: int | None = None
+    sample: DataFrame, results: DataFrame, cap: int | None = None, width: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Pages to read per site, the first ``cap`` still pending, and (site, targets, skipped)."""
+    """Pages to read per site, all or the first ``cap`` still pending, and (site, targets, skipped)."""
     pending = pending_pages(sample, results)
     extra = {"width": width} if width else {}
     ranked = rank_in_group(pending, ["site"], "seq", "_rn", "_n", **extra)
-    chosen = ranked.filter(F.col("_rn") <= cap).withColumn("idx", F.col("_rn") - 1).drop("_rn", "_n")
-    counts = pending.groupBy("site").agg(F.count(F.lit(1)).alias("_n")).select(
-        "site",
-        F.least(F.col("_n"), F.lit(cap)).alias("targets"),
-        F.greatest(F.col("_n") - cap, F.lit(0)).alias("skipped"),
-    )
-    return chosen, counts
+    kept = ranked if cap is None else ranked.filter(F.col("_rn") <= cap)
+    counts = kept.groupBy("site").agg(F.count(F.lit(1)).alias("targets"), (F.max("_n") - F.count(F.lit(1))).alias("skipped"))
+    return kept.withColumn("idx", F.col("_rn") - 1).drop("_rn", "_n"), counts
 
 
 def page_pattern_lookup(pages: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -152,12 +147,13 @@ def second_read_queue(items: DataFrame, log: DataFrame, rounds: int = RETRY_ROUN
     return rank_in_group(queued, ["job_id", "queue"], "idx", "position", **extra).select("job_id", "queue", "position", "url")
 
 
-def capture_numbering(captures: DataFrame, width: int | None = None) -> DataFrame:
-    """File names for good captures (site, seq, url, ok): number in list order, at least three digits, and a slug."""
+def capture_numbering(captures: DataFrame, width: int | None = None, most: int | None = None) -> DataFrame:
+    """File names for good captures (site, seq, url, ok): number in list order, at least three digits, and a slug,
+    whole or its first ``most`` characters."""
     extra = {"width": width} if width else {}
     numbered = rank_in_group(captures.filter("ok"), ["site"], "seq", "number", "_total", **extra)
     digits = F.greatest(F.lit(3), F.length(F.col("_total").cast("string")))
-    name = F.concat(F.lpad(F.col("number").cast("string"), digits, F.lit("0")), F.lit("-"), slug_of(F.col("url")), F.lit(".jpg"))
+    name = F.concat(F.lpad(F.col("number").cast("string"), digits, F.lit("0")), F.lit("-"), slug_of(F.col("url"), most), F.lit(".jpg"))
     return numbered.withColumn("file", name).drop("_total")
 
 

@@ -16,8 +16,6 @@ from ..plans.scale import attach, first_k, rank_by_order, rank_in_group
 MAX_LITERALS = 6
 MAX_LITERAL_LENGTH = 40
 MAX_LONE_WORDS = 3
-PLACEHOLDER_SAMPLE = 500
-LISTED_URLS = 200
 
 
 def _variable(part: Column) -> Column:
@@ -118,7 +116,7 @@ def ranked_groups(groups: DataFrame) -> DataFrame:
     return rank_by_order(groups, ["site"], [F.col("count").desc(), F.col("pattern").asc()], "rank")
 
 
-def group_preview(urls: DataFrame, k: int = LISTED_URLS) -> DataFrame:
+def group_preview(urls: DataFrame, k: int) -> DataFrame:
     """The first ``k`` URLs of each template and how many more there are."""
     sizes = urls.groupBy("site", "pattern").agg(F.count(F.lit(1)).alias("_count"))
     shown = first_k(urls, ["site", "pattern"], [F.col("seq")], k, rank="position")
@@ -176,44 +174,34 @@ def segment_kinds(df: DataFrame, value: str = "value", previous: str = "previous
 
 
 def pattern_placeholders(urls: DataFrame, width: int | None = None) -> DataFrame:
-    """Kind and up to three examples per ``*`` position, from an even sample of at most 500 URLs per template."""
+    """Kind and up to three examples (first, middle and last distinct value) per ``*`` position, from all URLs."""
     extra = {"width": width} if width else {}
-    ranked = rank_in_group(urls.select("site", "pattern", "seq", "url"), ["site", "pattern"], "seq", "_rn", "_n", **extra)
-    stride = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") / PLACEHOLDER_SAMPLE))
-    place = F.col("_rn") - 1
-    sampled = ranked.filter((place % stride == 0) & (F.floor(place / stride) < PLACEHOLDER_SAMPLE))
     names = F.split(F.substring("pattern", 2, 1 << 30), "/", -1)
     cells = (
-        sampled.select("site", "pattern", "_rn", names.alias("_names"), path_segments(url_path(F.col("url"))).alias("_parts"))
-        .select("site", "pattern", "_rn", "_names", F.posexplode("_parts").alias("position", "value"))
+        urls.select("site", "pattern", "seq", names.alias("_names"), path_segments(url_path(F.col("url"))).alias("_parts"))
+        .select("site", "pattern", "seq", "_names", F.posexplode("_parts").alias("position", "value"))
         .filter(F.get("_names", F.col("position")) == "*")
     )
+    place = ["site", "pattern", "position"]
     before = F.when(F.col("position") > 0, F.get("_names", F.col("position") - 1))
-    before = F.when(before != "*", before)
-    # At most 500 values per position, so these lists are bounded.
-    listed = cells.groupBy("site", "pattern", "position").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_rn", "value", segment_kind(F.col("value"), before).alias("kind")))),
-            lambda cell: F.struct(cell["value"].alias("value"), cell["kind"].alias("kind")),
-        ).alias("_cells")
+    # The value's kind depends on the template, not on the URL. Counts meet before the shuffle.
+    values = cells.groupBy(*place, "value").agg(
+        F.min("seq").alias("seq"), F.count(F.lit(1)).alias("_n"), F.first(F.when(before != "*", before), True).alias("_before")
     )
-    kinds = F.transform("_cells", lambda cell: cell["kind"])
-    main = F.filter(
-        F.array_distinct(kinds),
-        lambda kind: F.size(F.filter(kinds, lambda other: other == kind)) / F.size(kinds) >= 0.8,
-    )
-    values = F.array_distinct(F.transform("_cells", lambda cell: cell["value"]))
-    middle = F.floor(F.size(values) / 2).cast("int")
-    examples = F.when(F.size(values) <= 3, values).otherwise(
-        F.array(F.get(values, F.lit(0)), F.get(values, middle), F.element_at(values, -1))
-    )
-    return listed.select(
-        "site",
-        "pattern",
-        "position",
-        F.coalesce(F.get(main, F.lit(0)), F.lit("mixed")).alias("kind"),
-        examples.alias("examples"),
+    ranked = rank_in_group(values, place, "seq", "_rn", "_distinct", **extra)
+    ranked = ranked.withColumn("_kind", segment_kind(F.col("value"), F.col("_before")))
+    kinds = ranked.groupBy(*place, "_kind").agg(F.sum("_n").alias("_n"))
+    main = kinds.groupBy(*place).agg(F.sum("_n").alias("_all"), F.max_by("_kind", "_n").alias("_kind"), F.max("_n").alias("_most"))
+    shown = (
+        (F.col("_distinct") <= 3)
+        | (F.col("_rn") == 1)
+        | (F.col("_rn") == F.floor(F.col("_distinct") / 2) + 1)
+        | (F.col("_rn") == F.col("_distinct"))
     )
+    # Three values per position at most.
+    examples = ranked.filter(shown).groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("_rn", "value"))).alias("_shown"))
+    kind = F.when(F.col("_most") / F.col("_all") >= 0.8, F.col("_kind")).otherwise("mixed")
+    return main.join(examples, place).select(*place, kind.alias("kind"), F.transform("_shown", lambda cell: cell["value"]).alias("examples"))
 
 
 # ---- matching ----------------------------------------------------------------------------------
@@ -276,7 +264,7 @@ def spread_sample(df: DataFrame, by: list[str], seq: str, k: int | None, width:
     return ranked.filter(chosen).drop("_rn", "_size")
 
 
-def title_template(titles: DataFrame, k: int = 10) -> DataFrame:
+def title_template(titles: DataFrame, k: int) -> DataFrame:
     """Shared words of the titles per template, from an even sample of (site, pattern, seq, title).
 
     At most k short titles per group meet; the word comparison depends on their order.

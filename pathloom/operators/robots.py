@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import S, js_number, trimmed
-from ..functions.urls import resolved_urls, url_path, url_query
+from ..functions.urls import resolved_urls, url_origin, url_path, url_query
 from ..plans.scale import attach
 
 # The crawlers reported on. The agent that reads pages is a parameter everywhere.
 AI_CRAWLERS = ["GPTBot", "ClaudeBot", "CCBot", "Google-Extended", "PerplexityBot", "Bytespider"]
 OWN_AGENT = "pathloombot"
-MAX_ROBOTS_TEXT = 100_000
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -30,11 +29,12 @@ def _lines(texts: DataFrame) -> DataFrame:
     )
 
 
-def scan_robots(responses: DataFrame) -> DataFrame:
-    """Usable text per (site, status, content_type, body): empty for errors and HTML answers, else the first part."""
+def scan_robots(responses: DataFrame, most: int | None = None) -> DataFrame:
+    """Usable text per (site, status, content_type, body): empty for errors and HTML answers, else the whole text (or its
+    first ``most`` characters)."""
     usable = (F.col("status") < 400) & ~F.col("content_type").rlike("(?i)text/html")
     return responses.select(
-        "site", F.when(usable, F.substring("body", 1, MAX_ROBOTS_TEXT)).otherwise(F.lit("")).alias("text")
+        "site", F.when(usable, F.col("body") if most is None else F.substring("body", 1, most)).otherwise(F.lit("")).alias("text")
     )
 
 
@@ -49,7 +49,7 @@ def scan_robots_sitemaps(texts: DataFrame) -> DataFrame:
     )
     resolved = resolved_urls(found, "_refs", "_urls", "_base_url").withColumn("url", F.get("_urls", F.lit(0)))
     once = resolved.filter(F.col("url").isNotNull()).groupBy("site", "url").agg(F.min("line").alias("line"))
-    # A robots text is at most 100,000 characters, so a site has few of these lines.
+    # The lines of one robots text, which is one row of the input.
     place = F.row_number().over(Window.partitionBy("site").orderBy("line")) - 1
     return once.select("site", place.alias("pos"), "url")
 
@@ -160,9 +160,17 @@ def allowed_by(rules: Column, path: Column) -> Column:
     return (path == "/robots.txt") | F.coalesce(best["allow"], F.lit(True))
 
 
-def robots_allowed(urls: DataFrame, texts: DataFrame, agent: str = OWN_AGENT) -> DataFrame:
-    """Adds ``allowed`` to (site, seq, url). A URL row meets its site's rules once, as one array."""
-    attached = attach(urls, agent_rules(texts, agent), ["site"], ["seq"])
+def robots_allowed(urls: DataFrame, texts: DataFrame, agent: str = OWN_AGENT, by_origin: bool = False) -> DataFrame:
+    """Adds ``allowed`` to (site, seq, url). A URL row meets its rules once, as one array.
+
+    The rules are those of the URL's site in ``texts`` (site, text), or ``by_origin`` those of its own origin in ``texts``
+    (origin, text): then another scheme, port or subdomain has rules of its own, and none where it has no text.
+    """
+    if by_origin:
+        rules = agent_rules(texts.select(F.col("origin").alias("site"), "text"), agent).withColumnRenamed("site", "_origin")
+        attached = attach(urls.withColumn("_origin", url_origin(F.col("url"))), rules, ["_origin"], ["seq"]).drop("_origin")
+    else:
+        attached = attach(urls, agent_rules(texts, agent), ["site"], ["seq"])
     tested = attached.withColumn("_path", F.concat(url_path(F.col("url")), url_query(F.col("url"))))
     return tested.withColumn("allowed", allowed_by(F.col("rules"), F.col("_path"))).drop("rules", "_path")
 

@@ -42,8 +42,6 @@ PRIVATE_TARGET = "Private and local addresses can't be read."
 AFFILIATE_TARGET = "Affiliate redirect path: recorded, not requested."
 ROBOTS_TARGET = "Blocked by the site's robots.txt."
 
-PLACE_LIMIT = 500
-
 
 def private_ipv4(a: Column, b: Column, c: Column) -> Column:
     """Whether the first three numbers of an IPv4 address put it in a non-public range."""
@@ -144,14 +142,14 @@ def target_error(url: Column, robots_allowed: Column) -> Column:
     )
 
 
-def site_scope_items(df: DataFrame, cap: int = 5000, width: int | None = None) -> tuple[DataFrame, DataFrame]:
+def site_scope_items(df: DataFrame, cap: int | None = None, width: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Job items from (job_id, site, seq, url, pattern), and the rejected rows with a reason.
 
-    Kept: http(s) URLs on the job's own site, first occurrence, at most ``cap`` per job.
+    Kept: http(s) URLs on the job's own site, first occurrence, all or the first ``cap`` per job.
     """
     resolved = canonical_url(df.withColumnRenamed("url", "raw_url"), "raw_url", "url")
     off_site = bare_host(url_host(F.col("url"))) != bare_host(F.col("site"))
-    shown = F.substring("raw_url", 1, 200)
+    shown = F.col("raw_url")
     reason = F.when(F.col("url").isNull() & ~F.coalesce(F.col("raw_url").rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(False)),
                     F.concat(F.lit("Not a valid URL: "), shown)).when(
         F.col("url").isNull() | off_site,
@@ -159,7 +157,7 @@ def site_scope_items(df: DataFrame, cap: int = 5000, width: int | None = None) -
     )
     checked = resolved.withColumn("reject_reason", reason)
     rejected = checked.filter(F.col("reject_reason").isNotNull()).select("job_id", "seq", "raw_url", "reject_reason")
-    pattern = F.when(F.col("pattern").startswith("/"), F.substring("pattern", 1, PLACE_LIMIT)).otherwise("/")
+    pattern = F.when(F.col("pattern").startswith("/"), F.col("pattern")).otherwise("/")
     first = (
         checked.filter(F.col("reject_reason").isNull())
         .groupBy("job_id", "url")
@@ -168,7 +166,7 @@ def site_scope_items(df: DataFrame, cap: int = 5000, width: int | None = None) -
     extra = {"width": width} if width else {}
     items = (
         rank_in_group(first, ["job_id"], "seq", "_rn", **extra)
-        .filter(F.col("_rn") <= cap)
+        .filter(F.lit(True) if cap is None else F.col("_rn") <= cap)
         .select("job_id", (F.col("_rn") - 1).alias("idx"), "url", "pattern")
     )
     return items, rejected
@@ -190,26 +188,27 @@ def compact_urls(df: DataFrame, url: str = "url", origin: str = "site_origin") -
     )
 
 
-def slug_of(url: Column) -> Column:
-    """File name text from path and query: letters, digits and single dashes."""
+def slug_of(url: Column, most: int | None = None) -> Column:
+    """File name text from path and query: letters, digits and single dashes; whole, or its first ``most`` characters."""
     place = F.when(url.rlike("^https?://"), F.concat(url_path(url), url_query(url))).otherwise(url)
     dashed = F.regexp_replace(F.lower(place), "[^a-z0-9]+", "-")
-    cut = F.substring(F.regexp_replace(dashed, r"^-+|-+\z", ""), 1, 80)
+    whole = F.regexp_replace(dashed, r"^-+|-+\z", "")
+    cut = whole if most is None else F.substring(whole, 1, most)
     return F.when(cut == "", F.lit("home")).otherwise(cut)
 
 
-def capture_slug(df: DataFrame, url: str = "url") -> DataFrame:
-    return df.withColumn("slug", slug_of(F.col(url)))
+def capture_slug(df: DataFrame, url: str = "url", most: int | None = None) -> DataFrame:
+    return df.withColumn("slug", slug_of(F.col(url), most))
 
 
-def first_seen_urls(df: DataFrame, cap: int = 50_000, width: int | None = None) -> DataFrame:
-    """Distinct URLs of (site, seq, url) in first-seen order, ``cap`` per site; ``truncated`` once the cap is reached."""
+def first_seen_urls(df: DataFrame, cap: int | None = None, width: int | None = None) -> DataFrame:
+    """Distinct URLs of (site, seq, url) in first-seen order, all or ``cap`` per site; ``truncated`` once a cap is reached."""
     first = df.groupBy("site", "url").agg(F.min("seq").alias("seq"))
     extra = {"width": width} if width else {}
     ranked = rank_in_group(first, ["site"], "seq", "_rn", size="_size", **extra)
-    return ranked.filter(F.col("_rn") <= cap).select(
-        "site", "seq", "url", F.col("_rn").alias("position"), (F.col("_size") >= cap).alias("truncated")
-    )
+    full = F.lit(False) if cap is None else F.col("_size") >= cap
+    kept = ranked if cap is None else ranked.filter(F.col("_rn") <= cap)
+    return kept.select("site", "seq", "url", F.col("_rn").alias("position"), full.alias("truncated"))
 
 
 def common_origin(df: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Plan shapes that hold when one key owns a large part of the rows.
 
-``attach``      a left/inner lookup join whose hot keys never meet in one task
+``attach``      a left/inner lookup join with salted keys
 ``rank_in_group``  row numbers per group over an integer order, in bounded pieces
 ``rank_by_order``  row numbers per group over any order, by range partitioning
 ``first_k``     the first k rows of each group, cut down before the shuffle
@@ -16,82 +16,25 @@ from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 
-# A key is hot when it has more rows than one task handles with ease. The HOT_KEYS largest of them are
-# treated apart; any further key has at most 1 / HOT_KEYS of all rows.
-HOT_KEYS = 1000
-HOT_ROWS = 1_000_000
-SPREAD = 1 << 20
-# A lookup table up to this size, as counted in the stored rows, is sent to every executor.
-SMALL_BYTES = 64 << 20
-SMALL_ROWS = 1_000_000
 RANK_WIDTH = 1 << 17
-
-
-def hot_keys(fact: DataFrame, on: Sequence[str], rows: int = HOT_ROWS) -> list:
-    """The keys that would overload a task, at most HOT_KEYS rows: one pass with map-side combining."""
-    weights = fact.select(*on).dropna(subset=list(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    return weights.filter(F.col("_n") > rows).orderBy(F.desc("_n")).limit(HOT_KEYS).drop("_n").collect()
-
-
-def is_small(stored: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    """Whether a stored table is small enough to broadcast, by its counted rows and the length of their text."""
-    measured = stored.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")
-    ).first()
-    return measured["rows"] <= SMALL_ROWS and measured["bytes"] <= limit
+# Rows of one key meet their lookup row in so many places.
+SALTS = 8
 
 
 def attach(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    how: str = "left",
-    rows: int = HOT_ROWS,
-    small: int = SMALL_BYTES,
+    fact: DataFrame, dim: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:
-    """Join ``fact`` with ``dim`` (one row per key), keeping every fact row for ``left``.
+    """Join ``fact`` with ``dim`` (one row per key), keeping every fact row for ``left``. Nothing runs before an action.
 
-    The dim is worked out once and stored. If it is small, it is broadcast and the fact rows stay where
-    they are. If not, rows of hot keys meet their dim row in a broadcast join: there are at most HOT_KEYS
-    such keys whatever the size of the data. All other rows meet it in a shuffle join; rows with a hot or
-    a NULL key pass through that one with a salt from the ``spread`` columns and so stay evenly spread.
+    Each lookup row is repeated ``salts`` times, and a fact row picks one copy by its ``spread`` columns. So a hot key, or
+    the rows without a key, are spread over that many tasks at every size; adaptive execution splits them further or
+    broadcasts a small lookup table.
     """
     on = list(on)
+    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     values = [name for name in dim.columns if name not in on]
-    dim = cut_lineage(dim.select(*on, F.struct(*values).alias("_value")))
-    if is_small(dim, small):
-        result = fact.join(F.broadcast(dim), on, how)
-    else:
-        result = _attach_large(fact, dim, on, spread, how, rows)
-    return result.select(*fact.columns, *[F.col(f"_value.{name}").alias(name) for name in values])
-
-
-def _attach_large(fact: DataFrame, dim: DataFrame, on: list[str], spread: Sequence[str], how: str, rows: int) -> DataFrame:
-    found = hot_keys(fact, on, rows)
-    apart = F.lit(False)
-    for name in on:
-        apart = apart | F.col(name).isNull()
-    marked = fact
-    if found:
-        keys = fact.sparkSession.createDataFrame(found, fact.select(*on).schema)
-        hot_dim = dim.join(F.broadcast(keys), on, "left_semi").withColumnRenamed("_value", "_hot_value")
-        hot = keys.join(F.broadcast(hot_dim), on, "left").withColumn("_hot", F.lit(True))
-        marked = fact.join(F.broadcast(hot), on, "left")
-        apart = apart | F.col("_hot").isNotNull()
-    salt = F.when(apart, F.pmod(F.xxhash64(*spread), F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
-    left = marked.withColumn("_salt", salt).alias("f")
-    # Zero for every dim row, but no constant: a constant would be folded into a filter and the salt
-    # would drop out of the join's partitioning.
-    zero = F.pmod(F.xxhash64(*on), F.lit(1).cast("long"))
-    right = dim.withColumn("_salt", zero).alias("d")
-    same = F.col("f._salt") == F.col("d._salt")
-    for name in on:
-        same = same & (F.col(f"f.{name}") == F.col(f"d.{name}"))
-    joined = left.join(right, same, "left")
-    met = F.coalesce("_hot_value", "d._value") if found else F.col("d._value")
-    result = joined.select(*[F.col(f"f.{name}").alias(name) for name in fact.columns], met.alias("_value"))
-    return result.filter(F.col("_value").isNotNull()) if how == "inner" else result
+    return salted.join(copies, [*on, "_salt"], how).select(*fact.columns, *values)
 
 
 def rank_in_group(

@@ -1,4 +1,4 @@
-"""Breadth-first walks over per-site graphs, with a cap per site."""
+"""Breadth-first walks over per-site graphs."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, keep_placement
-from .scale import first_k
+from .scale import first_k, rank_by_order
 
 COMPACT_EVERY = 8
 
@@ -18,16 +18,16 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def capped_walk(
-    seeds: DataFrame, edges: DataFrame, cap: int, aliases: DataFrame | None = None
+    seeds: DataFrame, edges: DataFrame, cap: int | None, aliases: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Visit nodes level by level, at most ``cap`` per site, each once, in breadth-first order.
+    """Visit nodes level by level, all or at most ``cap`` per site, each once, in breadth-first order.
 
     ``seeds`` (site, pos, url), ``edges`` (site, src, pos, dst), ``aliases`` (site, url, alias): another
     name of a node that counts as seen once it is visited. Returns visited (site, position, url, level)
     and left (site, left): how many known nodes the cap kept out.
 
-    The edges are placed once by (site, src), so a level moves only its frontier (at most ``cap`` rows per
-    site) and what it reaches. Nodes that a full site leaves out are never needed again, so visited nodes
+    The edges are placed once by (site, src), so a level moves only its frontier and what it
+    reaches. Nodes that a full site leaves out are never needed again, so visited nodes
     are the only state. Each level is a written table; every few levels they are put together.
     """
     edges = keep_placement(
@@ -38,11 +38,15 @@ def capped_walk(
     levels: list[DataFrame] = []
     level = 0
     while True:
-        ranked = first_k(candidates, ["site"], [F.col("_from"), F.col("_at"), F.col("url")], cap, rank="_rank")
+        order = [F.col("_from"), F.col("_at"), F.col("url")]
+        if cap is None:
+            ranked = rank_by_order(candidates, ["site"], order, "_rank")
+        else:
+            ranked = first_k(candidates, ["site"], order, cap, rank="_rank")
         if levels:
             used = _all(levels).groupBy("site").agg(F.max("position").alias("_used"))
             ranked = ranked.join(used, "site", "left").withColumn("_rank", F.col("_rank") + F.coalesce("_used", F.lit(0)))
-        placed = ranked.filter(F.col("_rank") <= cap).select(
+        placed = (ranked if cap is None else ranked.filter(F.col("_rank") <= cap)).select(
             "site", F.col("_rank").cast("long").alias("position"), "url", F.lit(level).alias("level")
         )
         if aliases is None:
@@ -62,6 +66,8 @@ def capped_walk(
         empty = frontier.select("site", "position", "url", "level")
         return empty, empty.select("site", F.col("position").alias("left"))
     visited = _all(levels)
+    if cap is None:  # nothing is left out
+        return visited.drop("alias"), visited.select("site", F.lit(0).cast("long").alias("left")).limit(0)
     seen = visited.select("site", F.explode(F.array("url", "alias")).alias("url"))
     known = _reached(visited, edges).select("site", "url").unionByName(seeded).distinct()
     left = known.join(seen, ["site", "url"], "left_anti").groupBy("site").agg(F.count(F.lit(1)).alias("left"))

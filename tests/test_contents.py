@@ -74,11 +74,20 @@ def test_main_then_articles_then_body(spark):
     assert texts[2].split("\n")[-1] == "two" and texts[3] == "short\nrest"
 
 
-def test_long_texts_are_cut_and_counted_whole(spark):
+def test_long_texts_are_whole_unless_a_limit_is_given(spark):
     html = "<body>" + "ab " * 20_000 + "</body>"
     df = spark.createDataFrame([(1, "https://s.example/", html)], "page_id long, url string, html string")
     row = contents.page_contents(df).first()
+    assert row.text == ("ab " * 20_000).strip() and not row.text_truncated and row.word_count == 20_000
+    row = contents.page_contents(df, most_text=32_000).first()
     assert len(row.text) == 32_000 and row.text_truncated and row.word_count == 20_000
+    assert contents.page_text(df).first().text == ("ab " * 20_000).strip()
+
+
+def test_all_headings_are_kept(spark):
+    df = spark.createDataFrame([(1, "https://s.example/", "".join(f"<h2>t{i}</h2>" for i in range(450)))], "page_id long, url string, html string")
+    assert contents.page_headings(df).count() == 450 and contents.page_headings(df, most=3).count() == 3
+    assert len(contents.page_contents(df).first().headings) == 450
 
 
 def test_script_shells_by_both_rules(spark):
@@ -91,7 +100,8 @@ def test_script_shells_by_both_rules(spark):
 @pytest.mark.parametrize(
     "text,want",
     [("&amp;lt;", "&lt;"), ("&#38;lt;", "&lt;"), ("a&nbsp;b", "a b"), ("&#x1F600;&#128512;", "😀😀"), ("&AMP;&unknown;&#0;", "&&unknown;&#0;"),
-     ("&#1114112;", "&#1114112;"), ("&copy;&euro;&hellip;", "©€…"), ("&apos;", "'"), ("plain & simple", "plain & simple"), ("&#99999999999999999999;", "&#99999999999999999999;")],
+     ("&#1114112;", "&#1114112;"), ("&copy;&euro;&hellip;", "©€…"), ("&apos;", "'"), ("plain & simple", "plain & simple"), ("&#99999999999999999999;", "&#99999999999999999999;"),
+     ("&#x" + "0" * 60 + "41;", "A"), ("&#xFFFFFFFFFFFF;", "&#xFFFFFFFFFFFF;")],
 )
 def test_entities_are_decoded_once(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")

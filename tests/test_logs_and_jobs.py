@@ -72,8 +72,8 @@ def test_crawl_reads_are_judged_more_strictly(spark):
     assert got[2].detail == "it redirects to another site (other.example)"
 
 
-PRIVATE = ["::1", "::", "fc00::1", "fd12:3456::1", "fe80::1", "::ffff:127.0.0.1", "::ffff:10.0.0.1", "::ffff:7f00:1", "10.1.2.3", "0.1.2.3", "192.0.0.8", "198.19.0.1", "224.0.0.1", "fe80::1%eth0", "ff02::1"]
-PUBLIC = ["2606:4700::6810:84e5", "93.184.215.14", "::ffff:93.184.215.14", "172.32.0.1", "100.128.0.1", "192.0.2.1", "not an address", "1:2:3", "1::2::3", "256.1.1.1", "12345::1", "1:2:3:4:5:6:7:8"]
+PRIVATE = ["::1", "::", "fc12::9", "fdab:c::7", "fe9f::2", "::ffff:127.44.0.9", "::ffff:10.8.8.8", "::ffff:7f00:9", "10.200.0.7", "0.9.9.9", "192.0.0.77", "198.18.5.5", "239.1.1.1", "fe80::77%en1", "ff05::3"]
+PUBLIC = ["2001:4860::8844", "8.8.4.4", "::ffff:8.8.4.4", "172.15.9.9", "100.63.0.1", "192.0.1.9", "not an address", "1:2:3", "1::2::3", "256.1.1.1", "12345::1", "1:2:3:4:5:6:7:8"]
 
 
 @pytest.mark.parametrize("addresses,private", [(PRIVATE, True), (PUBLIC, False)])
@@ -83,9 +83,9 @@ def test_addresses(spark, addresses, private):
 
 
 def test_any_private_answer_refuses_the_host(spark):
-    rows = [("sneaky.example", "93.184.215.14"), ("sneaky.example", "10.1.2.3"), ("example.com", "93.184.215.14"), ("silent.example", None)]
+    rows = [("two-faced.example", "8.8.4.4"), ("two-faced.example", "10.200.0.7"), ("mill.example", "8.8.4.4"), ("silent.example", None)]
     got = fetchlog.dns_screen(spark.createDataFrame(rows, "host string, address string")).collect()
-    assert {r.host: r.refused for r in got} == {"sneaky.example": True, "example.com": False, "silent.example": False}
+    assert {r.host: r.refused for r in got} == {"two-faced.example": True, "mill.example": False, "silent.example": False}
 
 
 def test_a_whole_job(spark):
