@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .operators.patterns import url_patterns
 from .operators.urls import url_dimension
 from .plans.scale import attach, rank_in_group
-from .session import pin_utc
+from .session import pin_utc, ship_package
 from .sources.pages import table
 
 RICH_HEAD = (
@@ -131,6 +131,7 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, folder: str):
         pin_utc(spark)
+        ship_package(spark)
         self.spark, self.folder, self._built = spark, folder, {}
 
     def __getitem__(self, name: str) -> DataFrame:

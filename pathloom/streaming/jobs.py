@@ -5,12 +5,10 @@ State is kept per (job, page) or as one running maximum per key, never as a whol
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.contents import page_contents
 from ..operators.jobs import latest_results, pause_end
@@ -51,44 +49,18 @@ def read_latest(spark: SparkSession, folder: str) -> DataFrame:
     return latest_results(spark.read.parquet(folder).drop("batch"))
 
 
-# ---- progress with retraction ------------------------------------------------------------------
-
-
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = state.getOption
-    before = known
-    for rows in batches:
-        last = rows.loc[rows["off"].idxmax()]
-        if known is None or last["off"] > known[0]:
-            known = (int(last["off"]), last["mark"])
-    state.update(known)
-    out = []
-    if before is None or before[1] != known[1]:
-        out.append((key[0], known[1], 1))
-        if before is not None:
-            out.append((key[0], before[1], -1))
-    yield pd.DataFrame(out, columns=["job_id", "mark", "change"])
-
-
-def mark_changes(log: DataFrame) -> DataFrame:
-    """(job_id, mark, change): plus one for a page's new mark, minus one for the mark it takes the place of."""
-    return (
-        log.select("job_id", "url", "off", "mark")
-        .groupBy("job_id", "url")
-        .applyInPandasWithState(
-            _changes, "job_id string, mark string, change long", "off long, mark string", "append", GroupStateTimeout.NoTimeout
-        )
-    )
+# ---- progress ----------------------------------------------------------------------------------
 
 
 def stream_progress(log: DataFrame, folder: str, checkpoint: str) -> None:
-    run_available(mark_changes(log), checkpoint, to_folder(folder))
+    """Keeps the last mark per (job_id, url) as state; each micro-batch saves the pages whose mark it changed."""
+    last = log.groupBy("job_id", "url").agg(F.max(F.struct("off", "mark")).alias("_last"))
+    run_available(last.select("job_id", "url", "_last.off", "_last.mark"), checkpoint, per_batch(folder), mode="update")
 
 
 def read_progress(spark: SparkSession, folder: str) -> DataFrame:
     """Pages per job and mark as of the last micro-batch."""
-    counts = spark.read.parquet(folder).groupBy("job_id", "mark").agg(F.sum("change").alias("pages"))
-    return counts.filter(F.col("pages") > 0)
+    return batch_progress(spark.read.parquet(folder).drop("batch"))
 
 
 def batch_progress(log: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def test_latest(spark, log_folder, tmp_path):
 def test_progress_takes_marks_back(spark, log_folder, tmp_path):
     streams.stream_progress(stream(spark, log_folder), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert rows(streams.read_progress(spark, str(tmp_path / "out"))) == rows(streams.batch_progress(spark.read.parquet(log_folder)))
-    assert spark.read.parquet(str(tmp_path / "out")).filter("change < 0").count() > 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 12  # pages whose mark changed are saved again
 
 
 @pytest.mark.parametrize("gap", [streams.STALL, "30001 milliseconds"])
