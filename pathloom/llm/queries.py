@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .chat_format import format_chats
 from .decontamination import find_overlaps, overlap_report
 from .exact_dedup import group_copies
@@ -23,6 +24,7 @@ URL_RULES = [Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("b
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
