@@ -3,13 +3,13 @@
 1. Every text becomes its set of word shingles, hashed to 64 bits. The sketch keeps the SKETCH smallest hashes of a set, so
    up to that size the sketch is the set.
 2. Inverted lists of retained values propose pairs. Of each sketch only the rarest values are listed, as many as a pair
-   with the required overlap must share at least one of (a prefix filter). How often a value occurs is known only by
-   bucket; any order that is the same for all documents is right, a good one makes the lists short. Equal sets are
-   listed once, as the smallest id.
-3. Lists are kept apart by size class, and first each member is paired with one only, the one with
-   the fewest rarer values. Verified pairs are united; then all other pairs of a list whose ends are not yet connected, whose sizes allow a link and whose places in
-   the order still leave room for enough overlap are tried. So a large group of near copies costs one pair a member, not
-   all pairs, and no link between two components is missed.
+   with the required overlap must share at least one of, or COMMON for large sets (a prefix filter). How often a value
+   occurs is known only by bucket; any order that is the same for all documents is right, a good one makes the lists short.
+   Equal sets are listed once, as the smallest id.
+3. Lists are kept apart by size class, and first each member is paired with one only, the one with the fewest rarer values.
+   Verified pairs are united; then all other pairs of a list are tried whose ends are not yet connected, whose sizes allow
+   a link and whose places in the order still leave room for enough overlap. So a large group of near copies costs about
+   one pair a member and list, and no link between two components is missed.
 4. The bottom-k of two sketches' union estimates the similarity and drops pairs far below the threshold.
 5. What remains is verified on the full sets made again from the texts.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -33,12 +33,14 @@ from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-SKETCH = 256
-#: Share of a full sketch that two documents at the threshold have in common, but for a probability of 3e-9.
-LISTED_SHARE = 0.62
+SKETCH = 512
+#: Share of a full sketch that two documents at the threshold have in common, but for a probability of 2e-9.
+LISTED_SHARE = 0.68
 #: Values of the union that the estimate looks at, and the share of them that a pair needs to be verified: 6.2 standard deviations below.
 ESTIMATE = 64
 ESTIMATE_SHARE = 0.49
+#: Listed values that a pair must have in common where its sets are larger than their sketches; a star must have as many.
+COMMON = 3
 _BUCKETS = 1 << 16
 #: Ids of texts to verify are told apart by so many buckets; texts in no bucket aren't moved. This bounds the broadcast.
 _TEXT_BUCKETS = 1 << 18
@@ -69,6 +71,11 @@ def _need(n: int, percent: int) -> int:
     return max(1, whole if n * 100 <= SKETCH * percent else int(min(n, SKETCH) * LISTED_SHARE * percent / PERCENT))
 
 
+def _common(n: int, percent: int) -> int:
+    """How many listed values a pair has in common at least, by the size of one of its sets; the smaller number counts."""
+    return min(COMMON, _need(n, percent)) if n * 100 > SKETCH * percent else 1
+
+
 def _heads(size: int):
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +128,7 @@ def _listing(size: int, percent: int, sent):
                 seen.add(digest)
                 sketch = found[:SKETCH]
                 need = _need(len(found), percent)
-                order = np.lexsort((sketch, often[(sketch & np.uint64(_BUCKETS - 1)).astype(np.int64)]))[: len(sketch) - need + 1]
+                order = np.lexsort((sketch, often[(sketch & np.uint64(_BUCKETS - 1)).astype(np.int64)]))[: len(sketch) - need + _common(len(found), percent)]
                 same = lambda x, m=len(order): np.full(m, x, np.int64)
                 parts.append([sketch[order].view(np.int64), same(digest), same(id), same(len(found)), np.arange(len(order), dtype=np.int64)])
                 held += len(order)
@@ -186,8 +193,8 @@ class NearDuplicates:
         sent = self.texts.sparkSession.sparkContext.broadcast(often)
         listed = self.texts.mapInArrow(_listing(self.size, self.percent, sent), "value long, digest long, id long, n long, place long")
         once = listed.repartition("value").groupBy("value", "digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("place").alias("place"))
-        shared = once.groupBy("value").agg(F.count("*").alias("sets")).filter("sets > 1")
-        return once.join(shared, "value").select("value", "id", "n", "place")
+        sets = F.count("*").over(Window.partitionBy("value"))
+        return once.withColumn("sets", sets).filter("sets > 1").select("value", "id", "n", "place")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the candidate pairs (a, b) that are links."""
@@ -222,7 +229,11 @@ class NearDuplicates:
         # The member with the fewest rarer values is nearest to what the others have in common.
         nearest = F.min(F.struct("place", "id"))["id"]
         lead = classed.groupBy("value", "class").agg(nearest.alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
-        stars = classed.join(lead, ["value", "class"]).filter("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+        met = classed.join(lead, ["value", "class"]).filter("id <> a").groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+        # Stars only save work for the next step, so pairs that meet in few lists can wait for it.
+        large = F.col("n") * 100 > SKETCH * self.percent
+        met = met.agg(F.count("*").alias("m"), F.min(F.when(large, F.lit(COMMON)).otherwise(F.lit(1))).alias("least"))
+        stars = met.filter("m >= least").select("a", "b")
         links = cut_lineage(self._verified(stars.union(copies).distinct()))
         first = components(links)
         known = lists.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -235,14 +246,16 @@ class NearDuplicates:
         common = F.ceil((F.col("x.n") + F.col("y.n")) * self.percent / F.lit(100.0 + self.percent))
         left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
         whole = high <= SKETCH
+        least_common = F.when(low * 100 > SKETCH * self.percent, F.lit(COMMON)).otherwise(F.lit(1))
         possible = (
             (F.col("x.value") == F.col("y.value"))
             & (F.col("x.id") < F.col("y.id"))
             & (F.col("x.component") != F.col("y.component"))
             & (low * 100 >= high * self.percent)
-            & (~whole | (left >= common))
+            & (~whole | (left >= common - least_common + 1))
         )
-        more = x.join(y, possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        met = x.join(y, possible).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        more = met.agg(F.count("*").alias("m"), F.first(least_common).alias("least")).filter("m >= least").select("a", "b")
         found = components(links.union(self._verified(more)))
         return self.heads.select("id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
