@@ -22,7 +22,6 @@ EQUIVALENT = {
     "cancelled": "canceled",
     "catalogue": "catalog",
     "centre": "center",
-    "copyright holder": "copyright owner",
     "favour": "favor",
     "fulfilment": "fulfillment",
     "initialise": "initialize",
@@ -30,19 +29,23 @@ EQUIVALENT = {
     "labour": "labor",
     "licence": "license",
     "merchantibility": "merchantability",
-    "non commercial": "noncommercial",
     "organisation": "organization",
-    "per cent": "percent",
     "practise": "practice",
     "programme": "program",
     "recognise": "recognize",
-    "sub license": "sublicense",
     "utilisation": "utilization",
     "whilst": "while",
     "wilful": "willful",
     "http": "https",
     "httpss": "https",
 }
+#: The same for phrases. They are brought together after the words, as a line break may part them.
+EQUIVALENT_PHRASES = {
+    "copyright holder": "copyright owner",
+    "non commercial": "noncommercial",
+    "per cent": "percent",
+    "sub license": "sublicense",
+}
 #: A line that only names who holds the copyright and when.
 COPYRIGHT_LINE = r"^[^A-Za-z0-9\n©]*(?:copyright|\(c\)|©)(?:[^\n]*(?:[0-9]{4}|\(c\)|©|<year>|\[year\])[^\n]*| by [^\n]*)$|^[^A-Za-z0-9\n]*all rights reserved[. ]*$"
 #: How often a known digest is repeated, and the document side split, so that a frequent statement spreads over tasks.
@@ -100,17 +103,37 @@ KNOWN: list[tuple[str, str]] = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """The form that is hashed. Letters beyond ASCII are kept as they are, so that no two of them are made equal."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    lowered = F.translate(out, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.regexp_replace(lowered, "(?md)" + COPYRIGHT_LINE, "")
+def _spelled(line: Column) -> Column:
+    """A line in lower case, without punctuation, its words in one spelling; empty if it is a copyright line. Letters beyond
+    ASCII are kept as they are, so that no two of them are made equal."""
+    out = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = F.regexp_replace(out, "(?md)" + COPYRIGHT_LINE, "")
     out = F.trim(F.regexp_replace(out, r"[\x00-\x2A\x2C-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     for spelling, same in EQUIVALENT.items():
         out = F.replace(out, F.lit(spelling), F.lit(same))
     return out
 
 
+def _phrased(text: Column) -> Column:
+    for phrase, same in EQUIVALENT_PHRASES.items():
+        text = F.replace(text, F.lit(phrase), F.lit(same))
+    return text
+
+
+def spelled_lines(text: Column) -> Column:
+    """The lines of a text, each worked on once; a null is an empty text."""
+    return F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n"), _spelled)
+
+
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
+
+
+def canonical(text: Column) -> Column:
+    """The form of a whole text that is hashed."""
+    return _phrased(_joined(spelled_lines(text)))
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
     """(license, digest), one row per licence and canonical form; empty forms are left out."""
     given = known if isinstance(known, DataFrame) else spark.createDataFrame(known, "license string, text string")
@@ -126,10 +149,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id: str = "doc_id", text: s
     empty texts match nothing, and their digest is that of the empty form; rows that repeat are judged each. Texts are
     not shuffled, only digests are joined: by broadcast if Spark finds the known ones small, else by a salted key.
     """
-    whole = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n")
-    rows = docs.select(F.col(id).alias("id"), F.monotonically_increasing_id().alias("row"), whole.alias("text"))
-    parts = F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("at", "part")
-    units = rows.select("id", "row", parts).select("id", "row", "at", canonical(F.col("part")).alias("form"))
+    rows = docs.select(F.col(id).alias("id"), F.monotonically_increasing_id().alias("row"), spelled_lines(F.col(text)).alias("lines"))
+    parts = F.posexplode(F.concat(F.array(_joined(F.col("lines"))), F.col("lines"))).alias("at", "part")
+    units = rows.select("id", "row", parts).select("id", "row", "at", _phrased(F.col("part")).alias("form"))
     units = units.filter((F.col("form") != "") | (F.col("at") == 0)).select("id", "row", "at", F.sha2("form", 256).alias("digest"))
     units = units.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import COPYRIGHT_LINE, EQUIVALENT, KNOWN
+from .licenses import COPYRIGHT_LINE, EQUIVALENT, EQUIVALENT_PHRASES, KNOWN
 from .url_filter import DAMPING_PERCENT, LINK, STEPS, UNIT
 
 ORACLES: dict[str, str] = {}
@@ -14,7 +14,7 @@ def _canonical(text: str) -> str:
     out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     out = f"regexp_replace({out}, '(?m){COPYRIGHT_LINE}', '', 'g')"
     out = f"trim(regexp_replace({out}, '[\\x00-\\x2A\\x2C-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' ')"
-    for spelling, same in EQUIVALENT.items():
+    for spelling, same in (EQUIVALENT | EQUIVALENT_PHRASES).items():
         out = f"replace({out}, '{spelling}', '{same}')"
     return out
 
