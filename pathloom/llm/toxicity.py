@@ -34,7 +34,7 @@ LEAST_DOCUMENTS = 5
 ROUNDS = 6
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.7
-#: Lengths of word beginnings in characters.
+#: Lengths of word beginnings in characters, the shortest first.
 BEGINNINGS = (3, 4, 5, 6)
 #: Common insults by language.
 LEXICONS: dict[str, tuple[str, ...]] = {
@@ -68,6 +68,8 @@ class Features:
         for i, name in enumerate(typical, len(_FIXED)):
             self.index[name].append(i)
         self.index = dict(self.index)
+        # Whatever starts otherwise has none of the features.
+        self.starts = {name.rstrip("*")[: BEGINNINGS[0]] for name in self.index}
         self.patterns = [(i, re.compile(p)) for i, p in enumerate(PATTERNS.values(), len(LEXICONS))]
         self.cache: dict[str, tuple[int, ...]] = {}
 
@@ -75,7 +77,8 @@ class Features:
         if not text:
             return []
         found: set[int] = set()
-        for word in set(_WORD.findall(text.lower())):
+        starts, least = self.starts, BEGINNINGS[0]
+        for word in {word for word in _WORD.findall(text.lower()) if word[:least] in starts}:
             known = self.cache.get(word)
             if known is None:
                 if len(self.cache) > 200_000:
