@@ -43,15 +43,23 @@ LEXICONS: dict[str, tuple[str, ...]] = {
     "fr": ("abruti", "bouffon", "connard", "crétin", "dégoûtant", "idiot", "imbécile", "minable", "ordure", "pathétique", "raclure", "stupide"),
     "es": ("asqueroso", "basura", "escoria", "estúpido", "idiota", "imbécil", "inútil", "patético", "payaso", "perdedor", "tonto"),
 }
-PATTERNS: dict[str, str] = {
-    "masked word": r"\b[A-Za-z][*@#$%]{2,}[A-Za-z]*\b",
-    "shouting": r"\b[A-Z]{4,}(?:[ ,]+[A-Z]{4,}){2,}\b",
-    "outcry": r"[!?]*!{3}|!\?!|\?!\?",
+#: Each with a simpler pattern that has to occur first.
+PATTERNS: dict[str, tuple[str, str]] = {
+    "masked word": ("[*@#$%]{2}", r"\b[A-Za-z][*@#$%]{2,}[A-Za-z]*\b"),
+    "shouting": ("[A-Z]{4}", r"\b[A-Z]{4,}(?:[ ,]+[A-Z]{4,}){2,}\b"),
+    "outcry": ("[!?]{3}", r"!!!|!\?!|\?!\?"),
 }
 _WORD = re.compile(r"[^\W\d_]+")
 _FIXED = [f"lexicon {name}" for name in LEXICONS] + [f"pattern {name}" for name in PATTERNS]
 
 
+def words_of(text: str) -> set[str]:
+    """The distinct runs of letters of a lower-cased text."""
+    tokens = set(text.lower().split())
+    plain = {token for token in tokens if token.isalpha()}
+    return plain.union(*map(_WORD.findall, tokens - plain))
+
+
 def features_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
@@ -70,7 +78,7 @@ class Features:
         self.index = dict(self.index)
         # Whatever starts otherwise has none of the features.
         self.starts = {name.rstrip("*")[: BEGINNINGS[0]] for name in self.index}
-        self.patterns = [(i, re.compile(p)) for i, p in enumerate(PATTERNS.values(), len(LEXICONS))]
+        self.patterns = [(i, re.compile(first), re.compile(p)) for i, (first, p) in enumerate(PATTERNS.values(), len(LEXICONS))]
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def of(self, text: str | None) -> list[int]:
@@ -78,14 +86,14 @@ class Features:
             return []
         found: set[int] = set()
         starts, least = self.starts, BEGINNINGS[0]
-        for word in {word for word in _WORD.findall(text.lower()) if word[:least] in starts}:
+        for word in {word for word in words_of(text) if word[:least] in starts}:
             known = self.cache.get(word)
             if known is None:
                 if len(self.cache) > 200_000:
                     self.cache.clear()
                 known = self.cache[word] = tuple(i for f in features_of(word) for i in self.index.get(f, ()))
             found.update(known)
-        found.update(i for i, pattern in self.patterns if pattern.search(text))
+        found.update(i for i, first, pattern in self.patterns if first.search(text) and pattern.search(text))
         return sorted(found)
 
 
@@ -133,7 +141,7 @@ def _typical(sample: DataFrame, toxic: int, other: int) -> list[tuple[str, float
         for batch in batches:
             counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for name in {f for word in set(_WORD.findall(text.lower())) for f in features_of(word)}:
+                for name in {f for word in words_of(text) for f in features_of(word)}:
                     counts[name][y] += 1
             names = list(counts)
             yield pa.RecordBatch.from_arrays(
