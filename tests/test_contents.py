@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,20 @@ def test_long_pages_give_what_short_ones_give(spark):
     row = contents.page_contents(df).first()
     lines = row.text.split("\n")
     assert len(html) > 16_384 and lines[:600] == [f"{i} word" for i in range(600)] and lines[600] == "First <b>"
+
+
+@pytest.mark.parametrize("html", ["<h1>a " * 40_000 + "</h2>", "<script>x " * 24_000 + "</style>", "<" * 240_000, "<a " * 80_000, "<title " * 30_000 + "</title>", "<p>a" + " " * 240_000 + "b"])
+def test_tags_that_never_end_take_linear_time(spark, html):
+    df = spark.createDataFrame([(1, "https://s.example/", html)], "page_id long, url string, html string")
+    started = time.time()
+    assert contents.page_contents(df).first().title == ""
+    contents.page_visible_words(df).collect()
+    contents.link_edges(df, keep=()).count()
+    assert time.time() - started < 60  # quadratic search takes many minutes
+
+
+def test_unclosed_elements_hide_nothing(spark):
+    html = "<h1>one<h2>two</h2><h1>three</h1><h1>four<style>a</style>x<script>y<style>z"
+    df = spark.createDataFrame([(1, "https://s.example/", html)], "page_id long, url string, html string")
+    assert [(r.level, r.text) for r in contents.page_headings(df).orderBy("pos").collect()] == [(1, "one two three")]
+    assert contents.page_visible_words(df).first().visible_words == 7
