@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_digests import KNOWN_DIGESTS
+
 #: Words that licence texts spell in several ways, and the spelling they are brought to.
 EQUIVALENT = {
     "acknowledgment": "acknowledgement",
@@ -77,7 +79,7 @@ _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
-#: Licence texts, notices and statements in use, with the identifier they stand for.
+#: Short licence texts, notices and statements in use, with the identifier they stand for. Long texts are in KNOWN_DIGESTS.
 KNOWN: list[tuple[str, str]] = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
@@ -134,11 +136,14 @@ def canonical(text: Column) -> Column:
     return _phrased(_joined(spelled_lines(text)))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
-    """(license, digest), one row per licence and canonical form; empty forms are left out."""
-    given = known if isinstance(known, DataFrame) else spark.createDataFrame(known, "license string, text string")
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """(license, digest), one row per licence and canonical form; empty forms are left out. Without ``known``: KNOWN and KNOWN_DIGESTS."""
+    given = known if isinstance(known, DataFrame) else spark.createDataFrame(KNOWN if known is None else known, "license string, text string")
     form = canonical(F.col("text"))
-    return given.filter(form != "").select("license", F.sha2(form, 256).alias("digest")).distinct()
+    digests = given.filter(form != "").select("license", F.sha2(form, 256).alias("digest"))
+    if known is None:
+        digests = digests.union(spark.createDataFrame(KNOWN_DIGESTS, "license string, digest string"))
+    return digests.distinct()
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

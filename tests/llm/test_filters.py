@@ -1,5 +1,7 @@
 """Licences, toxicity, URL filters, decontamination."""
 
+from pathlib import Path
+
 import pytest
 from brute import overlaps
 
@@ -39,6 +41,16 @@ def test_licences_where_the_known_ones_are_not_broadcast(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+@pytest.mark.parametrize("license, file", [("Apache-2.0", "Apache-2.0"), ("CC0-1.0", "CC0-1.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0")])
+def test_whole_standard_licences(spark, license, file):
+    whole = (Path("/usr/share/common-licenses") / file).read_text("utf-8")
+    rows = [(1, whole), (2, whole.upper().replace("\n", "\r\n")), (3, whole[: len(whole) // 2])]
+    if "END OF TERMS AND CONDITIONS" in whole:
+        rows.append((4, whole.split("END OF TERMS AND CONDITIONS")[0]))
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), known_digests(spark)).collect()
+    assert {r["doc_id"]: r["licenses"] for r in found} == {i: [] if i == 3 else [license] for i, _ in rows}
+
+
 def test_overlaps_match_brute_force(spark):
     read = lambda name: [tuple(r) for r in spark.read.parquet(f"{FOLDER}/{name}.parquet").select(*(("doc_id", "text") if name == "documents" else ("item_id", "text"))).collect()]
     found = sorted(map(tuple, QUERIES["op10_decontamination"](spark, FOLDER).collect()))
