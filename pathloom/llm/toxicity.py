@@ -1,18 +1,20 @@
 """Toxicity by weak supervision: many voters, a generative model of them, and a linear classifier on its posterior labels.
 
-1. Words and word beginnings that are typical of toxic texts are counted on a bounded sample of labelled rows.
+1. Words and word beginnings that are typical of toxic texts are counted over all labelled training rows.
 2. Voters: the most typical ones, public lexicons of insults in four languages, and patterns of style. A voter fires or
    abstains on a text.
 3. Label model: how often each voter fires on toxic and on other texts is estimated by expectation-maximisation over the
-   votes on all documents; labels only give the start. Voters that fire together on toxic texts beyond chance share
+   votes on all documents; all training labels only give the start. Voters that fire together on toxic texts beyond chance share
    their weight.
-4. The classifier is fitted on the sample, to the posterior of the votes and of the row's own label, which counts as one more
-   voter of limited accuracy. Its features are the typical words and beginnings, the lexicons and the patterns. Its bias is
-   set so that THRESHOLD is the best cut on the sample.
+4. The classifier is fitted on a bounded sample, to the posterior of the votes and of the row's own label, which counts as one
+   more voter of limited accuracy. Its features are the typical words and beginnings, the lexicons and the patterns. A typical
+   feature that is rare in the sample gets its weight from its log odds over all training rows. The bias is set so that
+   THRESHOLD is the best cut on all training rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -26,8 +28,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: Labelled rows that the classifier is fitted on, at most: those with the smallest hashes of their ids.
+#: Labelled rows that the weights are fitted on, at most: those with the smallest hashes. Nothing else is sampled.
 SAMPLE_ROWS = 20_000
+#: Names that a task counts before it passes them on.
+MOST_COUNTED = 200_000
+#: Logits are counted in bins of this width, up to LAST_BIN on both sides.
+BIN = 1 / 1024
+LAST_BIN = 1 << 18
 MOST_FEATURES = 4096
 MOST_VOTERS = 48
 LEAST_DOCUMENTS = 5
@@ -126,30 +133,37 @@ def is_training(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str) -> DataFrame:
-    """(text, y): at most SAMPLE_ROWS labelled training rows."""
+def _labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str) -> DataFrame:
+    """(hash, text, y): all labelled training rows."""
     known = labels.filter(is_training(F.col(id)) & F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y"))
-    few = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    rows = docs.select(F.col(id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return cut_lineage(rows.join(F.broadcast(few), F.col("doc") == F.col("id")).select("text", "y"))  # SAMPLE_ROWS ids
+    known = known.groupBy("id").agg(F.max("y").alias("y"))
+    rows = docs.filter(is_training(F.col(id))).select(F.col(id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return cut_lineage(rows.join(known, F.col("doc") == F.col("id")).select(F.xxhash64("doc", "text").alias("hash"), "text", "y"))
 
 
-def _typical(sample: DataFrame, toxic: int, other: int) -> list[tuple[str, float, int]]:
+def _typical(labelled: DataFrame, toxic: int, other: int) -> list[tuple[str, float, int]]:
     """Features with their log odds and number of toxic texts, the most telling first."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
+
+        def batch_of() -> pa.RecordBatch:
+            columns = [pa.array(list(counts), pa.string()), *(pa.array([x[y] for x in counts.values()], pa.int64()) for y in (0, 1))]
+            return pa.RecordBatch.from_arrays(columns, names=["name", "other", "toxic"])
+
         for batch in batches:
-            counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for name in {f for word in words_of(text) for f in features_of(word)}:
-                    counts[name][y] += 1
-            names = list(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([counts[x][0] for x in names], pa.int64()), pa.array([counts[x][1] for x in names], pa.int64())],
-                names=["name", "other", "toxic"],
-            )
-
-    counted = sample.mapInArrow(emit, "name string, other long, toxic long").groupBy("name").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+                    if name in counts:
+                        counts[name][y] += 1
+                    else:
+                        counts[name] = [1 - y, y]
+                if len(counts) > MOST_COUNTED:
+                    yield batch_of()
+                    counts.clear()
+        yield batch_of()
+
+    counted = labelled.select("text", "y").mapInArrow(emit, "name string, other long, toxic long").groupBy("name").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("other") + 0.5) / (other + 1.0))
     best = counted.filter(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("odds", F.round(odds, 6)).filter("odds > 1.5")
     best = best.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "name").limit(MOST_FEATURES)
@@ -187,6 +201,21 @@ def _votes(docs: DataFrame, text: str, typical: list[str], voters: list[int]) ->
     return cut_lineage(found.groupBy("votes").agg(F.sum("n").alias("n")))
 
 
+def _fired(labelled: DataFrame, typical: list[str], voters: list[int]) -> DataFrame:
+    """(hash, y, fired, votes): the features of each labelled row, and its votes as bits."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(typical)
+        bit = {feature: 1 << i for i, feature in enumerate(voters)}
+        for batch in batches:
+            fired = [features.of(x) for x in batch.column(2).to_pylist()]
+            votes = [sum(bit.get(i, 0) for i in x) for x in fired]
+            columns = [batch.column(0), batch.column(1), pa.array(fired, pa.list_(pa.int32())), pa.array(votes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "y", "fired", "votes"])
+
+    return cut_lineage(labelled.select("hash", "y", "text").mapInArrow(emit, "hash long, y int, fired array<int>, votes long"))
+
+
 def _bits(votes: np.ndarray, n: int) -> np.ndarray:
     return ((votes[:, None] >> np.arange(n)) & 1).astype(float)
 
@@ -252,53 +281,77 @@ def _fit(rows: list[list[int]], target: np.ndarray, n: int, penalty: float = 0.0
     return np.round(w * scale, 6), round(float(b), 6)
 
 
-def _threshold(logits: np.ndarray, gold: np.ndarray) -> float:
-    """Where to cut the sample's logits for the best F1 against the labels: the middle of the widest best gap."""
-    order = np.argsort(-logits, kind="stable")
-    right = np.cumsum(gold[order])
-    f1 = 2 * right / (np.arange(1, len(order) + 1) + gold.sum())
-    gap = logits[order] - np.append(logits[order][1:], logits[order][-1] - 1e-9)
-    f1[gap <= 0] = -1  # no cut between equal logits
+def _backed_off(weights: np.ndarray, seen: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Weights of typical features, those seen too rarely for a fit by their log odds on the scale of the fitted ones."""
+    fitted = seen >= LEAST_DOCUMENTS
+    scale = odds[fitted] @ weights[fitted] / (odds[fitted] @ odds[fitted]) if fitted.any() else 1 / (len(BEGINNINGS) + 1)
+    return np.where(fitted, weights, np.round(max(scale, 0.0) * odds, 6))
+
+
+def _histogram(fired: DataFrame, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of the labelled rows in descending order, in steps of BIN, with how many rows have them: toxic, all."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logits = np.array([bias + weights[x].sum() if x else bias for x in batch.column(0).to_pylist()], float)
+            at = np.clip(np.round(logits / BIN), -LAST_BIN, LAST_BIN).astype(np.int64)
+            bins, place = np.unique(at, return_inverse=True)
+            y = batch.column(1).to_numpy().astype(float)
+            toxic = np.bincount(place, y, minlength=len(bins)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(toxic), pa.array(np.bincount(place, minlength=len(bins)))], names=["bin", "toxic", "n"])
+
+    found = fired.select("fired", "y").mapInArrow(emit, "bin long, toxic long, n long").groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    rows = sorted(map(tuple, found.collect()), reverse=True)  # at most one row per bin
+    bins, toxic, n = (np.array(x) for x in zip(*rows, strict=True))
+    return bins * BIN, toxic, n
+
+
+def _threshold(logits: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> float:
+    """Where to cut descending logits for the best F1 against the labels: the middle of the widest best gap."""
+    f1 = 2 * np.cumsum(toxic) / (np.cumsum(n) + toxic.sum())
+    gap = logits - np.append(logits[1:], logits[-1] - 1e-9)
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     at = best[np.argmax(gap[best])]
-    return float(logits[order][at] - gap[at] / 2)
+    return float(logits[at] - gap[at] / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from the training rows of ``labels`` and the votes on all of ``docs``.
+def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = SAMPLE_ROWS) -> Model:
+    """A model from all training rows of ``labels`` and the votes on all of ``docs``; only the fit reads at most ``fit_rows`` of them.
 
     Rows of ``labels`` with a null id or a label other than 0 and 1 are left out, and an id with several labels is toxic if one
     is. Without both a toxic and another labelled text there is nothing to learn: the score is then high exactly where a
     lexicon fires.
     """
-    sample = _sample(docs, labels, id, text, label)
-    counted = {row["y"]: row["n"] for row in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    labelled = _labelled(docs, labels, id, text, label)
+    counted = {row["y"]: row["n"] for row in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     if not counted.get(0) or not counted.get(1):
         weights = np.array([4.0] * len(LEXICONS) + [0.0] * len(PATTERNS))
         return Model([], weights, -3.0)
-    typical = _typical(sample, counted[1], counted[0])
+    total = counted[0] + counted[1]
+    typical = _typical(labelled, counted[1], counted[0])
     names, voters = [x[0] for x in typical], _voters(typical)
-    features = Features(names)
-    fired = F.pandas_udf(lambda part: pd.Series([features.of(x) for x in part]), "array<int>")
-    known = sample.select("y", fired("text").alias("fired")).collect()  # SAMPLE_ROWS lists of fired features
-    gold = np.array([row["y"] for row in known])
     width = len(voters)
-    bit = {feature: i for i, feature in enumerate(voters)}
-    bits = np.zeros((len(known), width))
-    for i, row in enumerate(known):
-        for feature in row["fired"]:
-            if feature in bit:
-                bits[i, bit[feature]] = 1
-    start = np.stack([(bits[gold == y].sum(axis=0) + 0.5) / ((gold == y).sum() + 1) for y in (0, 1)])
-    votes = _votes(docs, text, names, voters)
-    prior, rates, shares = _label_model(votes, width, float(np.clip(gold.mean(), 1e-4, 0.5)), start)
-    posterior = _posterior(bits, prior, rates, shares)
-    accuracy = float(np.clip(((posterior > 0.5) == gold).mean(), 0.6, 0.97))
+    fired = _fired(labelled, names, voters)
+    known = [fired.filter(F.col("y") == y).groupBy("votes").agg(F.count("*").alias("n")) for y in (0, 1)]
+    sums = [_expected(known[y], width, lambda bits, y=y: np.full(len(bits), float(y)))[y] for y in (0, 1)]
+    start = np.stack([(np.diag(x[:-1].reshape(width, width)) + 0.5) / (x[-1] + 1) for x in sums])
+    prior, rates, shares = _label_model(_votes(docs, text, names, voters), width, float(np.clip(counted[1] / total, 1e-4, 0.5)), start)
+    right = sum(_expected(known[y], width, lambda bits: (_posterior(bits, prior, rates, shares) > 0.5).astype(float))[y, -1] for y in (0, 1))
+    accuracy = float(np.clip(right / total, 0.6, 0.97))
+    # The hash leaves about twice the rows to sort, not all of them.
+    part = fired.filter(F.pmod("hash", F.lit(1 << 20)) < math.ceil(min(1.0, 2 * fit_rows / total) * (1 << 20)))
+    if part.count() < min(fit_rows, total):  # rows that repeat have one hash
+        part = fired
+    sample = part.orderBy("hash", "y", "fired").limit(fit_rows).collect()
+    gold = np.array([row["y"] for row in sample])
+    posterior = _posterior(_bits(np.array([row["votes"] for row in sample], np.int64), width), prior, rates, shares)
     logit = np.log(np.clip(posterior, 1e-9, 1 - 1e-9) / np.clip(1 - posterior, 1e-9, 1)) + (2 * gold - 1) * np.log(accuracy / (1 - accuracy))
-    weights, bias = _fit([row["fired"] for row in known], 1 / (1 + np.exp(-logit)), len(features.names))
-    logits = bias + np.array([weights[row["fired"]].sum() for row in known])
-    # The best cut on the sample gets the score that a row has to reach.
-    bias = round(bias - _threshold(logits, gold) + float(np.log(THRESHOLD / (1 - THRESHOLD))), 6)
+    size = len(_FIXED) + len(names)
+    weights, bias = _fit([row["fired"] for row in sample], 1 / (1 + np.exp(-logit)), size)
+    seen = np.bincount(np.array([i for row in sample for i in row["fired"]], int), minlength=size)
+    weights[len(_FIXED) :] = _backed_off(weights[len(_FIXED) :], seen[len(_FIXED) :], np.array([x[1] for x in typical]))
+    # The best cut on all training rows gets the score that a row has to reach.
+    bias = round(bias - _threshold(*_histogram(fired, weights, bias)) + float(np.log(THRESHOLD / (1 - THRESHOLD))), 6)
     return Model(names, weights, bias, voters, rates, shares)
 
 

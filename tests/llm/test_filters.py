@@ -110,6 +110,17 @@ def test_toxicity_learns_from_training_labels_only(spark):
     assert model.rates.shape == (2, len(model.voters)) and all(0 < x <= 1 for x in model.shares)
 
 
+def test_toxicity_counts_labels_beyond_the_fitted_rows(spark):
+    """"wumblefit" is in 24 toxic texts of 3,000, and the fit reads 100 rows."""
+    rude = lambda i: " wumblefit" if i % 125 == 0 else " grobulent" if i % 10 == 0 else ""
+    docs = spark.createDataFrame([(i, f"plain words number here{rude(i)}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(rude(i) != "")) for i in range(3000)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, fit_rows=100)
+    assert {"wumblefit", "grobulent"} <= set(model.typical)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, model).collect()}
+    assert all((score >= 0.7) == (rude(i) != "") for i, score in scores.items())
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "you pathetic person"), (2, "you nice person"), (3, "")], "doc_id long, text string")
     for labels in ([], [(2, 0)]):
