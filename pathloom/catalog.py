@@ -624,6 +624,10 @@ def arriving(c: Corpus, name: str) -> DataFrame:
     return live[name]
 
 
+#: The stored pages come in one micro-batch, so no row is late.
+AT_ONCE = "0 seconds"
+
+
 def stream_place(c: Corpus) -> tuple[str, str]:
     place = f"{shared_folder(c.spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
     return f"{place}/rows", f"{place}/checkpoint"
@@ -650,7 +654,7 @@ def stream_progress(c):
 @query
 def stream_stalled(c):
     rows, checkpoint = stream_place(c)
-    streams.stream_quiet(timed(arriving(c, "job_results")), streams.STALL, rows, checkpoint)
+    streams.stream_spells(timed(arriving(c, "job_results")), streams.STALL, AT_ONCE, rows, checkpoint)
     return c.spark.read.parquet(rows)
 
 
@@ -659,7 +663,7 @@ def stream_expiry(c):
     rows, checkpoint = stream_place(c)
     log = timed(arriving(c, "job_results"))
     later = log.withColumn("written_at", F.expr("written_at + make_dt_interval(CAST(attempt * 7 AS INT), 0, CAST(attempt * 2 AS INT))"))
-    streams.stream_quiet(later, streams.KEPT, rows, checkpoint)
+    streams.stream_spells(later, streams.KEPT, AT_ONCE, rows, checkpoint)
     return c.spark.read.parquet(rows)
 
 

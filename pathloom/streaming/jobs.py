@@ -70,8 +70,10 @@ def batch_progress(log: DataFrame) -> DataFrame:
 # ---- jobs without news -------------------------------------------------------------------------
 
 
-def quiet_spells(log: DataFrame, gap: str, delay: str | None = "0 seconds") -> DataFrame:
-    """(job_id, last_write, writes) once a job has written nothing for ``gap``; works on streams and tables."""
+def quiet_spells(log: DataFrame, gap: str, delay: str | None = None) -> DataFrame:
+    """(job_id, last_write, writes) once a job has written nothing for ``gap``; works on streams, which need a delay, and tables."""
+    if log.isStreaming and delay is None:
+        raise ValueError("a stream needs the delay up to which late rows are waited for")
     timed = log.withWatermark("written_at", delay) if log.isStreaming else log
     spells = timed.groupBy("job_id", F.session_window("written_at", gap).alias("_spell")).agg(
         F.max("written_at").alias("last_write"), F.count(F.lit(1)).alias("writes")
@@ -79,16 +81,33 @@ def quiet_spells(log: DataFrame, gap: str, delay: str | None = "0 seconds") -> D
     return spells.select("job_id", "last_write", "writes", F.col("_spell.end").alias("_end"))
 
 
-def closed_spells(log: DataFrame, gap: str) -> DataFrame:
+def not_ended(spells: DataFrame, ended: DataFrame | None) -> DataFrame:
+    """Without the spells in which the job had ended before the gap was over. ``ended``: (job_id, ended_at) of jobs that don't run any more."""
+    if ended is None:
+        return spells
+    gone = ended.select(F.col("job_id").alias("_job"), F.col("ended_at").alias("_ended"))
+    return spells.join(gone, (F.col("job_id") == F.col("_job")) & F.coalesce(F.col("_ended") < F.col("_end"), F.lit(True)), "left_anti")
+
+
+def closed_spells(log: DataFrame, gap: str, ended: DataFrame | None = None) -> DataFrame:
     """Batch twin: the spells over by the time of the last write of all."""
     now = log.agg(F.max("written_at").alias("_now"))
-    spells = quiet_spells(log, gap).crossJoin(F.broadcast(now))
+    spells = not_ended(quiet_spells(log, gap), ended).crossJoin(F.broadcast(now))
     return spells.filter(F.col("_end") <= F.col("_now")).select("job_id", "last_write", "writes")
 
 
+def stream_spells(log: DataFrame, gap: str, delay: str, folder: str, checkpoint: str, ended: DataFrame | None = None) -> None:
+    """Writes each spell when the watermark passes its end: stalled jobs, or results past their keep time.
+
+    Rows that come up to ``delay`` after newer rows of an earlier micro-batch are counted, later ones may be lost, and a spell is written that
+    much later. For stalled jobs ``ended`` leaves out those that are done, stopped or failed (see ``not_ended``).
+    """
+    run_available(not_ended(quiet_spells(log, gap, delay), ended).drop("_end"), checkpoint, to_folder(folder))
+
+
 def stream_quiet(log: DataFrame, gap: str, folder: str, checkpoint: str) -> None:
-    """Writes each spell when the watermark passes its end: stalled jobs, or results past their keep time."""
-    run_available(quiet_spells(log, gap).drop("_end"), checkpoint, to_folder(folder))
+    """``stream_spells`` without a delay: for logs that come in order or in one micro-batch; others lose late rows."""
+    stream_spells(log, gap, "0 seconds", folder, checkpoint)
 
 
 def expired_results(log: DataFrame, now, days: int = 7) -> DataFrame:

@@ -57,6 +57,27 @@ def test_quiet_jobs(spark, log_folder, tmp_path, gap):
     assert streams.closed_spells(log, gap).count() > 0
 
 
+def test_late_rows_count_and_ended_jobs_do_not_stall(spark, tmp_path):
+    """The second file holds older rows than the first; the third moves the watermark past all spells."""
+    at = lambda s: START + timedelta(seconds=s)
+    arrivals = [[("a", 0), ("a", 400), ("b", 400), ("c", 400)], [("a", 50), ("a", 350), ("b", 0), ("c", 60)], [("z", 5000)]]
+    schema = "job_id string, written_at timestamp"
+    for rows_in in arrivals:
+        spark.createDataFrame([(job, at(s)) for job, s in rows_in], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    # b ended within its last gap, c long after its last stall.
+    ended = spark.createDataFrame([("b", at(410)), ("c", at(4000))], "job_id string, ended_at timestamp")
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.stream_spells(live, streams.STALL, "10 minutes", str(tmp_path / "out"), str(tmp_path / "cp"), ended)
+    got = rows(spark.read.parquet(str(tmp_path / "out")))
+    assert got == [("a", at(50), 2), ("a", at(400), 2), ("b", at(0), 1), ("c", at(60), 1), ("c", at(400), 1)]
+    assert got == rows(streams.closed_spells(spark.read.parquet(str(tmp_path / "in")), streams.STALL, ended))
+
+
+def test_a_stream_needs_a_delay(spark, log_folder):
+    with pytest.raises(ValueError, match="delay"):
+        streams.quiet_spells(stream(spark, log_folder), streams.STALL)
+
+
 def test_a_gap_of_exactly_90_seconds_is_not_a_stall(spark):
     at = lambda s: START + timedelta(seconds=s)
     log = spark.createDataFrame([("j", at(0)), ("j", at(90)), ("k", at(0)), ("k", at(91)), ("z", at(5000))], "job_id string, written_at timestamp")
