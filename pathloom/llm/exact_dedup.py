@@ -6,7 +6,8 @@ Copies are combined in three steps, and every step compares the whole content, n
 2. the groups of one salt are merged. The salt is the number of the input partition modulo ``SALTS``, so a
    group that holds a third of all rows is spread over up to ``SALTS`` keys, and copies in one task meet before
    anything is sent;
-3. the winners of the salts, at most ``SALTS`` per content, are combined into the final winner.
+3. the winner and the number of each salt, at most ``SALTS`` per content, are combined into the final ones, and those of contents
+   with several salts are joined back by digest, salt and content. The members of a group stay under their salt.
 
 The digest only orders the work: rows that have it in common but differ in content stay apart.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys over which one content is spread. At 100 TB a third of 3e10 rows gives 2.4 million ids per key.
@@ -41,7 +42,7 @@ def group_copies(
     content = F.coalesce(normalise(F.coalesce(F.col(text), F.lit(""))), F.lit(""))
     rows = docs.select(
         content.alias("content"),
-        F.unhex(F.sha2(content, 256)).alias("digest"),
+        F.coalesce(F.unhex(F.sha2(content, 256)), F.lit(b"")).alias("digest"),  # never null, which spares a filter in one use only
         F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"),
         F.struct(F.col(id).alias("id"), F.monotonically_increasing_id().alias("row")).alias("key"),
         F.struct(rest.alias("rest"), (F.col(text) if keep_text else F.lit(None).cast("string")).alias("text")).alias("more"),
@@ -49,15 +50,16 @@ def group_copies(
     # The input text is only carried where it differs from the content.
     same = F.col("more.text") == F.col("content")
     rows = rows.withColumn("more", F.struct("more.rest", F.when(~same, F.col("more.text")).alias("text"), same.alias("same")))
-    salted = rows.groupBy("digest", "salt", "content").agg(
-        F.max("key").alias("winner"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("key", "more")).alias("members")
-    )
-    content_group = Window.partitionBy("digest", "content")
-    merged = salted.select(
+    # Both uses below take all of ``members``, so that Spark computes and moves them once; the row numbers have to agree.
+    salted = rows.groupBy("digest", "salt", "content").agg(F.collect_list(F.struct("key", "more")).alias("members"))
+    winners = salted.select("digest", "salt", "content", F.array_max("members.key").alias("winner"), F.size("members").cast("long").alias("n"))
+    totals = winners.groupBy("digest", "content").agg(F.max("winner").alias("keep"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts"))
+    spread = totals.filter(F.size("salts") > 1).select("digest", F.explode("salts").alias("salt"), "content", "keep", "group_size")
+    merged = salted.join(spread, ["digest", "salt", "content"], "left").select(
         "digest",
         "content",
-        F.max("winner").over(content_group).alias("keep"),
-        F.sum("n").over(content_group).alias("group_size"),
+        F.coalesce("keep", F.array_max("members.key")).alias("keep"),
+        F.coalesce("group_size", F.size("members").cast("long")).alias("group_size"),
         "members",
     )
     every = merged.select("digest", "content", "keep", "group_size", F.explode("members").alias("member"))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from brute import near, repeats
+from pyspark.sql import functions as F
 
 from pathloom.llm import suffix_dedup
 from pathloom.llm.components import components
@@ -50,6 +51,24 @@ def test_large_group_over_many_partitions(spark):
     assert len(found) == 1667 and {r["keep_id"] for r in found} == {4998} and sum(r["kept"] for r in found) == 1
 
 
+def test_members_of_one_content_stay_in_several_tasks(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text")).repartition(8)
+    old = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for threshold in ("-1", old["spark.sql.autoBroadcastJoinThreshold"]):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            found = group_copies(rows)
+            tasks = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept"), F.min("group_size"), F.min("keep_id")).collect()
+            assert len(tasks) > 1 and sum(r["n"] for r in tasks) == 4000 and sum(r["kept"] for r in tasks) == 1
+            assert {(r["min(group_size)"], r["min(keep_id)"]) for r in tasks} == {(4000, 3999)}
+            found.collect()
+            assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
 def test_near_copies_match_brute_force(spark):
     found = sorted(map(tuple, QUERIES["op3_near_dedup"](spark, FOLDER).collect()))
     assert found == near(documents(spark))
