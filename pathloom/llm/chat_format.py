@@ -10,7 +10,8 @@ user; it may end after either. A repair reads the turns in order and for each on
 Dynamic programming finds a repair of the least cost; of equally cheap ones a fixed order of choices decides. The cost of a run
 of turns is a matrix from the state before it to the state behind it, and such matrices combine in any grouping. So a
 conversation is cut into blocks: each block's matrix is worked out alone, the few blocks of a conversation are combined in
-order, and each block is then repaired between known states. No task needs a whole conversation.
+order, and each block is then repaired between known states. Only these small matrices of a conversation meet in one task, never
+its turns.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scale import rank_by_order
 from ..session import cut_lineage
 
 MERGE, RELABEL, RELABEL_UNKNOWN, INSERT = 1, 3, 2, 4
 #: On top of relabelling, where one of the two roles is system.
 SYSTEM = 2
-#: Turns in a block: consecutive turn numbers divided by this.
+#: Turns in a block: consecutive turn numbers divided by this. If turn numbers repeat, so that a block has more rows, it is cut by rank.
 BLOCK_TURNS = 1024
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, or the role of the last turn.
@@ -117,24 +119,21 @@ def head(role: int, first: bool) -> str:
     return f"{'' if first else CLOSE + chr(10)}{OPEN}{ROLES[role]}\n"
 
 
-_TURNS = "conv long, block long, at long, role string, text string"
-
-
 def _blocks(turns: DataFrame) -> DataFrame:
-    """One row per block: conv, block, and its matrix as a list."""
+    """One row per block: conv, block, piece, and its matrix as a list."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows of a block come together and in order; the last block of a batch may go on in the next.
         key, matrix = None, None
         rows: list[tuple] = []
-        schema = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("costs", pa.list_(pa.int64()))])
+        schema = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("piece", pa.int64()), ("costs", pa.list_(pa.int64()))])
         pack = lambda: pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
         for batch in batches:
-            for conv, block, role in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if (conv, block) != key:
+            for *at, role in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if tuple(at) != key:
                     if key is not None:
                         rows.append((*key, matrix.ravel().tolist()))
-                    key, matrix = (conv, block), _COSTS[_number(role)]
+                    key, matrix = tuple(at), _COSTS[_number(role)]
                 else:
                     matrix = chain(matrix, _COSTS[_number(role)])
             yield pack()
@@ -143,14 +142,14 @@ def _blocks(turns: DataFrame) -> DataFrame:
             rows.append((*key, matrix.ravel().tolist()))
         yield pack()
 
-    return turns.select("conv", "block", "role").mapInArrow(emit, "conv long, block long, costs array<long>")
+    return turns.select("conv", "block", "piece", "role").mapInArrow(emit, "conv long, block long, piece long, costs array<long>")
 
 
 def _borders(blocks: DataFrame) -> DataFrame:
     """The state before and behind each block, and the whole conversation's cost: one row per block is read, not its turns."""
 
     def emit(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("block")
+        rows = rows.sort_by([("block", "ascending"), ("piece", "ascending")])
         costs = [np.array(x.as_py(), np.int64).reshape(STATES, STATES) for x in rows.column("costs")]
         ahead = [np.zeros(STATES, np.int64)]
         for matrix in reversed(costs):
@@ -164,6 +163,7 @@ def _borders(blocks: DataFrame) -> DataFrame:
             {
                 "conv": rows.column("conv"),
                 "block": rows.column("block"),
+                "piece": rows.column("piece"),
                 "before": pa.array(states[:-1], pa.int32()),
                 "behind": pa.array(states[1:], pa.int32()),
                 "last": pa.array([i == size - 1 for i in range(size)], pa.bool_()),
@@ -171,7 +171,7 @@ def _borders(blocks: DataFrame) -> DataFrame:
             }
         )
 
-    return blocks.groupBy("conv").applyInArrow(emit, "conv long, block long, before int, behind int, last boolean, cost long")
+    return blocks.groupBy("conv").applyInArrow(emit, "conv long, block long, piece long, before int, behind int, last boolean, cost long")
 
 
 _OUT = pa.schema(
@@ -202,6 +202,21 @@ def _rendered(group: list[dict]) -> list[dict]:
     return out
 
 
+def _in_pieces(rows: DataFrame) -> DataFrame:
+    """The rows with ``piece``: 0, or in blocks of more than BLOCK_TURNS rows their rank in the block divided by that."""
+    whole = rows.withColumn("piece", F.lit(0).cast("long"))
+    large = cut_lineage(rows.groupBy("conv", "block").count().filter(F.col("count") > BLOCK_TURNS).select(F.col("conv").alias("c"), F.col("block").alias("k")))
+    if large.isEmpty():
+        return whole
+    same = F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("k"))
+    # A null conversation has to meet itself; rows that are equal in all are told apart, so that they don't end in one task.
+    named = rows.join(large, same, "left_semi").select("*", F.coalesce("conv", F.lit(0)).alias("key"), F.col("conv").isNull().alias("none"))
+    tied = named.withColumn("tie", F.monotonically_increasing_id())
+    ranked = rank_by_order(tied, ["none", "key", "block"], [F.col(name) for name in ("at", "role", "text", "tie")])
+    cut = ranked.withColumn("piece", F.floor((F.col("rn") - 1) / BLOCK_TURNS).cast("long")).select(*whole.columns)
+    return whole.join(large, same, "left_anti").unionByName(cut)
+
+
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per turn: conv, turn, ``old_role``, ``new_role``, ``action``, ``inserted``, ``rendered``, ``cost``.
 
@@ -220,19 +235,20 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         F.col(role).alias("role"),
         F.col(text).alias("text"),
     )
-    order = ("conv", "block", "at", "role", "text")
-    blocks = rows.repartition("conv", "block").sortWithinPartitions(*order)
+    rows = _in_pieces(rows)
+    block = ("conv", "block", "piece")
+    blocks = rows.select(*block, "at", "role").repartition(*block).sortWithinPartitions(*block, "at", "role")
     borders = cut_lineage(_borders(_blocks(blocks)))
-    b = borders.select(F.col("conv").alias("c"), F.col("block").alias("k"), "before", "behind", "last", "cost")
-    known = rows.join(b, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("k"))).drop("c", "k")
-    known = known.repartition("conv", "block").sortWithinPartitions(*order)
+    b = borders.select(F.col("conv").alias("c"), F.col("block").alias("k"), F.col("piece").alias("p"), "before", "behind", "last", "cost")
+    known = rows.join(b, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("k")) & (F.col("piece") == F.col("p"))).drop("c", "k", "p")
+    known = known.repartition(*block).sortWithinPartitions(*block, "at", "role", "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[dict] = []
         for batch in batches:
             out: list[dict] = []
             for x in batch.to_pylist():
-                if group and (group[0]["conv"], group[0]["block"]) != (x["conv"], x["block"]):
+                if group and any(group[0][name] != x[name] for name in block):
                     out += _rendered(group)
                     group = []
                 group.append(x)

@@ -134,6 +134,28 @@ def test_long_conversations_are_repaired_in_blocks(spark, monkeypatch):
     assert costs[8] == costs[1024] == {c: cheapest([chat_format._number(r[2]) for r in rows if r[0] == c]) for c in range(3)}
 
 
+def test_repeated_turn_numbers_are_cut_into_blocks(spark, monkeypatch):
+    """Also of the null conversation, null turns, and rows that are equal in all."""
+    rng = random.Random(5)
+    names = ["system", "user", "assistant", None]
+    turn = {0: lambda t: 7, 1: lambda t: t // 30, 2: lambda t: t, None: lambda t: None}
+    rows = [(c, at(t), rng.choice(names), f"t{rng.randrange(4)}", 0) for c, at in turn.items() for t in range(150)]
+    rows += [(3, 1, "user", "same", 0)] * 100
+    table, found = spark.createDataFrame(rows, TURNS).repartition(3), {}
+    seen, cut = [], chat_format._in_pieces
+    monkeypatch.setattr(chat_format, "_in_pieces", lambda rows: seen.append(cut(rows)) or seen[-1])
+    for size in (8, 1024):
+        monkeypatch.setattr(chat_format, "BLOCK_TURNS", size)
+        found[size] = chat_format.format_chats(table).collect()
+        assert seen[-1].groupBy("conv", "block", "piece").count().agg({"count": "max"}).first()[0] <= size
+        assert sorted((str(r["conv_id"]), str(r["turn"]), str(r["old_role"])) for r in found[size]) == sorted((str(r[0]), str(r[1]), str(r[2])) for r in rows)
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3])
+    right = {c: cheapest([chat_format._number(r[2]) for r in sorted((r for r in rows if r[0] == c), key=order)]) for c in (0, 1, 2, 3, None)}
+    for size in found:
+        assert {r["conv_id"]: r["cost"] for r in found[size]} == right
+        assert all(sum(r["rendered"].endswith("<|im_end|>\n") for r in found[size] if r["conv_id"] == c) == 1 for c in right)
+
+
 def test_trees_after_random_edits():
     count = lambda text: len(encoding(open(VOCABULARY, "rb").read()).encode_ordinary(text))
     rng = random.Random(1)
