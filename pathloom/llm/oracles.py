@@ -134,3 +134,89 @@ FROM sized s
 JOIN passes p ON s.source IS NOT DISTINCT FROM p.source
 JOIN taken t ON s.source IS NOT DISTINCT FROM t.source AND s.h = t.h
 """
+
+
+def _coded(name: str) -> str:
+    value = f"CAST({name} AS VARCHAR)"
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE CAST(octet_length(encode({value})) AS VARCHAR) || ':' || {value} END"
+
+
+def _merkle(part_levels: int = 9, top_levels: int = 4) -> str:
+    """Levels are written out; ``part_levels`` of them reach 8**9 documents a part, ``top_levels`` 8**4 parts."""
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    leaf = lambda text: "sha256(" + " || ".join([*map(_coded, fields), _coded(text)]) + ")"
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        # CRC-32 with the reflected polynomial, by table, over the id's decimal digits.
+        "WITH crc_table AS (SELECT list(list_reduce([CAST(i AS BIGINT)] || [CAST(0 AS BIGINT) FOR j IN range(8)], "
+        "lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))",
+        f"""leaves AS (SELECT doc_id, lang, {leaf("text")} AS leaf,
+  CASE WHEN xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')],
+    lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), CAST(4294967295 AS BIGINT)) % 3 = 0 THEN {leaf(small)} ELSE {leaf("text")} END AS seen
+  FROM documents, crc_table)""",
+        """b0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, '' AS siblings, seen AS folded, leaf AS node FROM leaves)""",
+    ]
+    previous = "b0"
+    for level in range(part_levels):
+        name = f"b{level + 1}"
+        steps.append(_level(name, previous, "lang"))
+        previous = name
+    steps.append(
+        f"""s0 AS (SELECT d.doc_id, d.leaf, d.node AS subroot, d.siblings, d.folded, d.node, CAST(p.pos AS BIGINT) AS pos FROM {previous} d
+  JOIN (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM (SELECT DISTINCT lang FROM leaves)) p ON d.lang IS NOT DISTINCT FROM p.lang)"""
+    )
+    previous = "s0"
+    for level in range(top_levels):
+        name = f"s{level + 1}"
+        steps.append(_level(name, previous, None))
+        previous = name
+    return (
+        ",\n".join(steps)
+        + f"\nSELECT doc_id, leaf, subroot, node AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = node AS verified FROM {previous}"
+    )
+
+
+def _level(name: str, previous: str, part: str | None) -> str:
+    """One level up for every row: the node of its run, the siblings seen on the way and what the row folds to."""
+    same = f"d.{part} IS NOT DISTINCT FROM n.{part} AND " if part else ""
+    by, of = (f"{part}, ", f"PARTITION BY {part}") if part else ("", "")
+    keep = "d.lang, " if part else "d.subroot, "
+    return f"""{name}n AS (SELECT *, count(*) OVER ({of}) AS nodes FROM (SELECT DISTINCT {by}pos, node FROM {previous})),
+{name}r AS (SELECT {by}pos // 8 AS run, any_value(nodes) AS nodes, list(node ORDER BY pos) AS members FROM {name}n GROUP BY {by}pos // 8),
+{name} AS (SELECT d.doc_id, d.leaf, {keep}
+  CASE WHEN n.nodes = 1 THEN d.pos ELSE d.pos // 8 END AS pos,
+  CASE WHEN n.nodes = 1 THEN d.node ELSE sha256(array_to_string(n.members, '')) END AS node,
+  CASE WHEN n.nodes = 1 THEN d.siblings ELSE d.siblings || array_to_string(n.members[1:d.pos % 8] || n.members[d.pos % 8 + 2:], '') END AS siblings,
+  CASE WHEN n.nodes = 1 THEN d.folded
+    ELSE sha256(array_to_string(n.members[1:d.pos % 8], '') || d.folded || array_to_string(n.members[d.pos % 8 + 2:], '')) END AS folded
+  FROM {previous} d JOIN {name}r n ON {same}d.pos // 8 = n.run)"""
+
+
+ORACLES["op12_merkle_manifest"] = _merkle()
+
+ORACLES["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, sum(len(words)) AS n FROM split GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(words[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM split, range(1, 6) l(m) WHERE len(words) >= m)),
+counts AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT *, string_split(phrase, ' ') AS words FROM counts WHERE m >= 2),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.m = k AND l.phrase = array_to_string(c.words[1:k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.m = c.m - k AND r.phrase = array_to_string(c.words[k + 1:], ' ')
+  JOIN totals t ON t.lang = c.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cuts),
+inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM candidates s
+  JOIN candidates b ON b.lang = s.lang AND b.m > s.m AND 100 * b.a >= 100 * s.a AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+  FROM best b WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from . import merkle, packing
 from .chat_format import format_chats
+from .collocations import mine_phrases
 from .decontamination import find_overlaps, overlap_report
 from .exact_dedup import group_copies
 from .licenses import known_digests, scan_licenses
@@ -92,6 +94,25 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(find_overlaps(docs, table(spark, folder, "benchmark"), keep_text=False))
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = packing.pack_documents(docs, finish=packing.as_crc32, finish_type="long")
+    return pieces.select("doc_id", "start", "length", F.col("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose id's CRC-32 is divisible by 3 are read again with A-Z lower-cased."""
+    docs = table(spark, folder, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    smaller = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    manifest = merkle.build_manifest(docs, changed=changed, now={"text": smaller}, proof=merkle.as_digest, proof_type="string")
+    return manifest.withColumnRenamed("proof", "proof_sha256")
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return mine_phrases(table(spark, folder, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -103,4 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_packing": op11_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_collocations": op13_collocations,
 }
