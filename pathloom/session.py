@@ -44,6 +44,20 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: Rows and bytes of a batch that a Python worker gets at a time.
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller batches for Python workers where the session has Spark's own bounds, which are high for long texts."""
+    for name, standard, value in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES),
+    ):
+        if spark.conf.get(name, standard) == standard:
+            spark.conf.set(name, str(value))
+
+
 def pin_utc(spark: SparkSession) -> None:
     """Timestamps are read and written as UTC, whatever the session came with."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
