@@ -17,7 +17,7 @@ from pathloom.llm.exact_dedup import drop_copies
 from pathloom.llm.mixing import mix_sources, repeating_weights
 from pathloom.llm.near_dedup import drop_near_copies
 from pathloom.llm.toxicity import drop_toxic, train
-from pathloom.session import cut_lineage, ship_package
+from pathloom.session import bound_batches, cut_lineage, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -61,6 +61,7 @@ STAGES: list[tuple[str, Stage]] = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each result is written as Parquet and read again."""
     ship_package(spark)
+    bound_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir))
