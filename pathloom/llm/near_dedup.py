@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,11 @@ ESTIMATE = 64
 ESTIMATE_SHARE = 0.49
 #: Listed values that a pair must have in common where its sets are larger than their sketches; a star must have as many.
 COMMON = 3
-_BUCKETS = 1 << 16
+#: How often a value occurs is counted by bucket of its hash, about one for eight retained values. A task sends its counts in blocks of _BLOCK
+#: buckets, a byte each; all counts come to the driver as one byte each, on a scale of eighths of an octave.
+_LEAST_BUCKETS, _MOST_BUCKETS, _BLOCK = 1 << 16, 1 << 22, 1 << 12
+#: Tasks whose blocks are added up first.
+_TOGETHER = 256
 #: Ids of texts to verify are told apart by so many buckets; texts in no bucket aren't moved. This bounds the broadcast.
 _TEXT_BUCKETS = 1 << 18
 
@@ -97,20 +102,51 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64()))
 
 
-def _frequency(size: int):
-    """(bucket, n): how many retained values of a task fall into each bucket of their hashes."""
+def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
+    return (values & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def _frequency(size: int, buckets: int):
+    """(block, task, counts): how many retained values of a task fall into each bucket of their hashes, 255 at most per row."""
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(_BUCKETS, np.int64)
+        counts = np.zeros(buckets, np.uint32)
         for batch in batches:
-            for found in shingle_sets(batch.column(0), size):
-                np.add.at(counts, (found[:SKETCH] & np.uint64(_BUCKETS - 1)).astype(np.int64), 1)
-        filled = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(counts[filled])], names=["bucket", "n"])
+            held, n = [], 0
+            for found in [*shingle_sets(batch.column(0), size), None]:
+                if found is not None:
+                    held.append(found[:SKETCH])
+                    n += len(held[-1])
+                if held and (found is None or n > 500_000):
+                    at, often = np.unique(_bucket(np.concatenate(held), buckets), return_counts=True)
+                    counts[at] += often.astype(np.uint32)
+                    held, n = [], 0
+        task = TaskContext.get().partitionId() % _TOGETHER
+        while counts.any():  # more than 255 in a bucket are sent as several rows
+            low = np.minimum(counts, 255)
+            counts -= low
+            blocks = low.astype(np.uint8).reshape(-1, _BLOCK)
+            filled = np.flatnonzero(blocks.any(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(filled), pa.array([task] * len(filled), pa.int64()), pa.array([blocks[i].tobytes() for i in filled], pa.binary())],
+                names=["block", "task", "counts"],
+            )
 
     return frequency
 
 
+def _added(kind: type):
+    """The sum of the rows of one block, as unsigned 32-bit counts."""
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = np.zeros(_BLOCK, np.uint32)
+        for content in rows.column("counts").to_pylist():
+            total += np.frombuffer(content, kind)
+        return pa.table({"block": rows.column("block").slice(0, 1).cast(pa.int64()), "task": rows.column("task").slice(0, 1).cast(pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    return added
+
+
 def _listing(size: int, percent: int, sent):
     """(value, digest, id, n, place, kept, need) of the values of each document that are listed."""
 
@@ -128,7 +164,7 @@ def _listing(size: int, percent: int, sent):
                 seen.add(digest)
                 sketch = found[:SKETCH]
                 need = _need(len(found), percent)
-                order = np.lexsort((sketch, often[(sketch & np.uint64(_BUCKETS - 1)).astype(np.int64)]))[: len(sketch) - need + _common(len(found), percent)]
+                order = np.lexsort((sketch, often[_bucket(sketch, len(often))]))[: len(sketch) - need + _common(len(found), percent)]
                 same = lambda x, m=len(order): np.full(m, x, np.int64)
                 parts.append([sketch[order].view(np.int64), same(digest), same(id), same(len(found)), np.arange(len(order), dtype=np.int64)])
                 held += len(order)
@@ -186,10 +222,16 @@ class NearDuplicates:
 
     def _lists(self) -> DataFrame:
         """(value, id, n, place): the inverted lists, equal sets once, and only where at least two sets meet."""
-        counted = self.texts.select("text").mapInArrow(_frequency(self.size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-        often = np.zeros(_BUCKETS, np.int64)
-        for row in counted.collect():  # at most _BUCKETS rows
-            often[row["bucket"]] = row["n"]
+        retained = self.heads.agg(F.sum(F.least("n", F.lit(SKETCH)))).first()[0] or 0
+        buckets = min(_MOST_BUCKETS, max(_LEAST_BUCKETS, 1 << (retained // 8).bit_length()))
+        schema = "block long, task long, counts binary"
+        counted = self.texts.select("text").mapInArrow(_frequency(self.size, buckets), schema)
+        some = counted.groupBy("block", "task").applyInArrow(_added(np.uint8), schema)
+        every = some.groupBy("block").applyInArrow(_added(np.uint32), schema)
+        scale = F.udf(lambda counts: bytearray(np.round(8 * np.log2(1 + np.frombuffer(counts, np.uint32).astype(float))).clip(0, 255).astype(np.uint8).tobytes()), "binary")
+        often = np.zeros(buckets, np.uint8)
+        for row in every.select("block", scale("counts").alias("counts")).collect():  # one byte for each bucket
+            often[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["counts"], np.uint8)
         sent = self.texts.sparkSession.sparkContext.broadcast(often)
         listed = self.texts.mapInArrow(_listing(self.size, self.percent, sent), "value long, digest long, id long, n long, place long")
         once = listed.repartition("value").groupBy("value", "digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("place").alias("place"))
