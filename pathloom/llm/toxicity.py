@@ -104,6 +104,10 @@ class Features:
         return sorted(found)
 
 
+#: Ids of labelled rows are told apart by so many buckets, which bounds the broadcast.
+_ID_BUCKETS = 1 << 19
+
+
 @dataclass
 class Model:
     typical: list[str]
@@ -137,8 +141,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str
     """(hash, text, y): all labelled training rows."""
     known = labels.filter(is_training(F.col(id)) & F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
+    known = cut_lineage(known)
     rows = docs.filter(is_training(F.col(id))).select(F.col(id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return cut_lineage(rows.join(known, F.col("doc") == F.col("id")).select(F.xxhash64("doc", "text").alias("hash"), "text", "y"))
+    # Texts in no bucket of a labelled id stay where they are; the rest meet their labels by one kind of join at every size.
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(_ID_BUCKETS)).cast("int")
+    wanted = known.select(bucket("id").alias("bucket")).distinct()
+    rows = rows.join(F.broadcast(wanted), bucket("doc") == F.col("bucket"), "left_semi")
+    joined = rows.join(known.hint("merge"), F.col("doc") == F.col("id"))
+    return cut_lineage(joined.select(F.xxhash64("doc", "text").alias("hash"), "text", "y"))
 
 
 def _typical(labelled: DataFrame, toxic: int, other: int) -> list[tuple[str, float, int]]:
