@@ -15,6 +15,7 @@ partition, are looked up beforehand and sent. No counts are joined by hash.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,13 @@ _TABLE = bytes.maketrans(bytes(range(0x41, 0x5B)) + b".,;:!?\x0b\x0c\r\t", bytes
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=4096)
+def _seed(part: str) -> int:
+    return xxhash.xxh32_intdigest(part)
+
+
 def _word_hash(part: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed=xxhash.xxh32_intdigest(part))
+    return xxhash.xxh3_64_intdigest(word, seed=_seed(part))
 
 
 def _chained(hashes: list[np.ndarray]) -> np.ndarray:
@@ -120,12 +126,13 @@ def _numbered(parts: list[str], texts: list[bytes]) -> tuple[np.ndarray, list[tu
 
 
 def _emitted(names: list[tuple[str, bytes]], phrases: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """(part, words, n): each phrase (a row of word numbers) with its words joined by blanks."""
+    """(phrase, n): each phrase (a row of word numbers) as its part, a line feed, and its words joined by blanks."""
     words = pa.array([word for _, word in names], pa.binary()).cast(pa.string())
     parts = pa.array([part for part, _ in names], pa.string())
     columns = [words.take(pa.array(phrases[:, i])) for i in range(phrases.shape[1])]
+    columns[0] = pc.binary_join_element_wise(parts.take(pa.array(phrases[:, 0])), columns[0], "\n")
     joined = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " ")
-    return pa.RecordBatch.from_arrays([parts.take(pa.array(phrases[:, 0])), joined, pa.array(counts, pa.int64())], names=["part", "phrase", "n"])
+    return pa.RecordBatch.from_arrays([joined, pa.array(counts, pa.int64())], names=["phrase", "n"])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +147,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals: dict[str, int] = {}
             for (part, _), n in zip(names, counts.tolist(), strict=True):
                 totals[part] = totals.get(part, 0) + n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(totals.keys(), pa.string()), pa.array([""] * len(totals)), pa.array(totals.values(), pa.int64())], names=["part", "phrase", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([f"{part}\n" for part in totals]), pa.array(totals.values(), pa.int64())], names=["phrase", "n"])
 
 
 def _phrase_counts(lengths: list[int], sent_words, sent_shorter):
@@ -187,12 +192,14 @@ def frequent_phrases(texts: DataFrame, longest: int = MOST_WORDS, least: int = L
     ``texts`` has (part, text as binary). An empty list of words has the number of all words of the part.
     """
     send = texts.sparkSession.sparkContext.broadcast
-    schema = "part string, phrase string, n long"
-    words = F.when(F.col("phrase") == "", F.array().cast("array<string>")).otherwise(F.split("phrase", " "))
+    schema = "phrase string, n long"
+    joined = F.substring_index("phrase", "\n", -1)  # words have no line feed, parts may
+    part = F.substring("phrase", F.lit(1), F.length("phrase") - F.length(joined) - 1)
+    words = F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
 
     def summed(counted: DataFrame) -> DataFrame:
-        found = counted.groupBy("part", "phrase").agg(F.sum("n").alias("a")).filter(f"a >= {least} OR phrase = ''")
-        return cut_lineage(found.select("part", words.alias("words"), "a"))
+        found = counted.groupBy("phrase").agg(F.sum("n").alias("a")).filter((F.col("a") >= least) | F.col("phrase").endswith("\n"))
+        return cut_lineage(found.select(part.alias("part"), words.alias("words"), "a"))
 
     found = [summed(texts.mapInArrow(_word_counts, schema))]
     single = send(_bits_of(found[0].filter("size(words) > 0")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import bound_batches, ship_package
 from . import merkle, packing
 from .chat_format import format_chats
 from .collocations import mine_phrases
@@ -27,6 +27,7 @@ URL_RULES = [Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("b
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship_package(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
