@@ -16,8 +16,11 @@ The plan's size depends on the capacity, not on the number of documents, so it c
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,31 +42,74 @@ MOST_ROUNDS = 300
 #: Of the lower bound that the duals give, by how much the program's value may exceed it.
 TOLERANCE = 1e-3
 #: Words whose ids a task remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 1_000_000
 #: Ids of full sequences start here, then the partition, then the place in it.
 _FULL_BITS = 40
 
 
+#: A word of small letters of ASCII and Latin-1, with at most one mark after it: the tokenizer takes the two apart and each as a whole.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]?)")
+
+
 class Vocabulary:
     """Ids of texts as little-endian unsigned 32-bit bytes. Words between white space are encoded once and remembered."""
 
     def __init__(self, content: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.known: dict[bytes, bytes] = {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        for token, id in self.tokenizer.get_vocab().items():
+            self.last[id] = token.endswith("</w>")
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are one unit each, from one text of them all: each ends with an id that ends a word."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            return self._each(words)
+        content, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
+        return [content[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The vocabulary drops white space and treats each word by itself, so a text's ids are those of its words."""
-        if len(self.known) > _REMEMBERED:
-            self.known = {}
-        known, split = self.known, [text.split() for text in texts]
-        new = list({word for words in split for word in words if word not in known})
-        for low in range(0, len(new), 4096):
-            part = new[low : low + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        """The vocabulary drops white space and the case of A-Z and treats each word by itself, so a text's ids are those of its words."""
+        known, split = self.known, [text.lower().split() for text in texts]
+        new = set().union(*split).difference(known)
+        marked, wanted, odd, apart = [], set(), [], _PLAIN.fullmatch
+        for word in new:
+            found = apart(word)
+            if found is None:
+                odd.append(word)
+                continue
+            stem, mark = found.groups()
+            if mark:
+                marked.append((word, stem, mark))
+                wanted.add(mark)
+            wanted.add(stem)
+        stems = list(wanted.difference(known))
+        for low in range(0, len(stems), 1024):
+            known.update(zip(stems[low : low + 1024], self._plain(stems[low : low + 1024]), strict=True))
+        for word, stem, mark in marked:
+            known[word] = known[stem] + known[mark]
+        known.update(zip(odd, self._each(odd), strict=True))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        # The words met first stay, among them the frequent ones; later ones are forgotten at once when there is no more room.
+        if len(known) > _REMEMBERED:
+            for word in new.union(stems):
+                del known[word]
+        return out
+
+
+@lru_cache(maxsize=1)
+def _vocabulary(content: bytes) -> Vocabulary:
+    """Read once per worker process, not per task."""
+    return Vocabulary(content)
 
 
 def as_bytes(ids: bytes) -> bytes:
@@ -318,13 +364,13 @@ def _tokenised(docs: DataFrame, vocabulary, capacity: int, end_id: int, finish:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(vocabulary.value)
+        words = _vocabulary(vocabulary.value)
         part = TaskContext.get().partitionId()
         ranks = [0] * capacity
         full = 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                some = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, 1024):
+                some = batch.slice(low, 1024)
                 rows: list[list] = [[] for _ in range(7)]
                 for ids in words.encode([x or b"" for x in some.column(1).to_pylist()]):
                     ids += end
