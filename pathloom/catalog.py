@@ -436,8 +436,11 @@ def spread_sample(c):
 
 @query
 def title_template(c):
-    titles = contents.page_meta(spread_out(c["site_pages"], "page_id")).select("page_id", "title")
-    return patterns.title_template(c["patterned"].join(titles, F.col("seq") == F.col("page_id")), k=10)
+    """Only pages of the sample have their titles read."""
+    sample = cut_lineage(patterns.spread_sample(c["patterned"], ["site", "pattern"], "seq", 10).select("site", "pattern", "seq"))
+    pages = c["site_pages"].join(sample.select(F.col("seq").alias("page_id")), "page_id", "left_semi")
+    titles = contents.page_meta(spread_out(pages, "page_id")).select(F.col("page_id").alias("seq"), "title")
+    return patterns.template_of_sample(sample.join(titles, "seq"))
 
 
 # ---- robots ------------------------------------------------------------------------------------
@@ -637,17 +640,25 @@ def timed(log: DataFrame) -> DataFrame:
     return log.withColumn("written_at", F.col("written_text").cast("timestamp"))
 
 
+def in_files(c: Corpus, name: str, columns: list[str], files: int = 5) -> DataFrame:
+    """A derived table as a stream of several files, one a micro-batch; its rows lie in them without any order, so many are late."""
+    table = c[name].select(*columns)
+    place = f"{shared_folder(c.spark).rstrip('/')}/streams/{uuid.uuid4().hex}/log"
+    table.repartition(files, F.pmod(F.xxhash64("off"), F.lit(files))).write.parquet(place)
+    return c.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(place)
+
+
 @query
 def stream_latest(c):
     rows, checkpoint = stream_place(c)
-    streams.stream_latest(arriving(c, "job_results").select("job_id", "url", "off", "mark"), rows, checkpoint)
+    streams.stream_latest(in_files(c, "job_results", ["job_id", "url", "off", "mark"]), rows, checkpoint)
     return streams.read_latest(c.spark, rows)
 
 
 @query
 def stream_progress(c):
     rows, checkpoint = stream_place(c)
-    streams.stream_progress(arriving(c, "job_results"), rows, checkpoint)
+    streams.stream_progress(in_files(c, "job_results", ["job_id", "url", "off", "mark"]), rows, checkpoint)
     return streams.read_progress(c.spark, rows)
 
 

@@ -214,54 +214,3 @@ def jsonld_types(documents: pd.Series) -> pd.Series:
         return list(seen)
 
     return documents.map(per_page)
-
-
-def shared_words(left: list[str], right: list[str]) -> list[str]:
-    """Longest common word sequence, without regard to case, in the casing of ``left``."""
-    low_left, low_right = [word.lower() for word in left], [word.lower() for word in right]
-    best = [[0] * (len(right) + 1)]
-    for word in reversed(low_left):
-        below, row = best[-1], [0] * (len(right) + 1)
-        for j in range(len(right) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if word == low_right[j] else max(below[j], row[j + 1])
-        best.append(row)
-    best.reverse()
-    kept, i, j = [], 0, 0
-    while i < len(left) and j < len(right):
-        if low_left[i] == low_right[j]:
-            kept.append(left[i])
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return kept
-
-
-def template_of(titles: list[str]) -> str | None:
-    """The words all titles share, with a mark wherever some title has other text."""
-    rows = [words for words in (title.split() for title in titles if title) if words]
-    if len(rows) < 2:
-        return None
-    common = rows[0]
-    for words in rows[1:]:
-        common = shared_words(common, words)
-    if not common:
-        return None
-    marked = set()
-    for words in rows:
-        at = 0
-        for word in words:
-            if at < len(common) and word.lower() == common[at].lower():
-                at += 1
-            else:
-                marked.add(at)
-    out = []
-    for at, word in enumerate(common):
-        out += ["{…}", word] if at in marked else [word]
-    return " ".join(out + (["{…}"] if len(common) in marked else []))
-
-
-@F.pandas_udf(STRING)
-def title_templates(titles: pd.Series) -> pd.Series:
-    return titles.map(lambda items: None if items is None else template_of(list(items)))

@@ -156,3 +156,55 @@ def parsed_date(text: Column) -> Column:
 
 def iso_text(stamp: Column) -> Column:
     return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+# ---- word sequences ----------------------------------------------------------------------------
+
+GAP = "{…}"
+
+
+def word_list(text: Column) -> Column:
+    """The words between white space; none for a NULL."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{S}+"), lambda word: word != "")
+
+
+def shared_sequence(words: Column, others: Column) -> Column:
+    """The longest sequence of words that both arrays have in this order, without regard to case, as ``words`` spells it.
+
+    ``ends[j]`` is the sequence shared by what is left of ``words`` and by ``others`` from place j on. Folding ``words`` from its last word
+    on gives each word a new ``ends``, built from its last place on. Of equally long ones the one that does without the word stays.
+    """
+    none = F.array().cast("array<string>")
+    places = F.reverse(F.transform(others, lambda word, j: F.struct(F.lower(word).alias("word"), j.alias("j"))))
+
+    def with_word(ends: Column, word: Column) -> Column:
+        def with_place(done: Column, place: Column) -> Column:
+            without, later = F.get(ends, place["j"]), F.get(done, F.lit(0))
+            matched = F.concat(F.array(word), F.get(ends, place["j"] + 1))
+            longer = F.when(F.size(without) >= F.size(later), without).otherwise(later)
+            return F.concat(F.array(F.when(F.lower(word) == place["word"], matched).otherwise(longer)), done)
+
+        return F.aggregate(places, F.array(none), with_place)
+
+    return F.get(F.aggregate(F.reverse(words), F.array_repeat(none, F.size(others) + 1), with_word), F.lit(0))
+
+
+def filled_places(words: Column, shared: Column) -> Column:
+    """Between which of the shared words (0: before the first one) an array has words of its own."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("filled"))
+
+    def step(state: Column, word: Column) -> Column:
+        met = F.lower(word) == F.lower(F.get(shared, state["at"]))
+        return F.when(met, F.struct((state["at"] + 1).alias("at"), state["filled"].alias("filled"))).otherwise(
+            F.struct(state["at"].alias("at"), F.array_append(state["filled"], state["at"]).alias("filled"))
+        )
+
+    return F.aggregate(words, start, step, lambda state: state["filled"])
+
+
+def sequence_template(rows: Column, shared: Column) -> Column:
+    """The shared words of several word arrays, with a mark where one of them has other words; NULL without shared ones."""
+    filled = F.flatten(F.transform(rows, lambda words: filled_places(words, shared)))
+    places = F.sequence(F.lit(0), F.size(shared))
+    parts = F.transform(places, lambda at: F.array(F.when(F.array_contains(filled, at), F.lit(GAP)), F.get(shared, at)))
+    return F.when(F.size(shared) > 0, F.array_join(F.flatten(parts), " "))

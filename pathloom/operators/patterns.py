@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import title_templates
-from ..functions.text import percent_decoded
+from ..functions.text import percent_decoded, sequence_template, shared_sequence, word_list
 from ..functions.urls import path_segments, url_path
 from ..plans.scale import attach, first_k, rank_by_order, rank_in_group
 
@@ -267,10 +266,18 @@ def spread_sample(df: DataFrame, by: list[str], seq: str, k: int | None, width:
 def title_template(titles: DataFrame, k: int) -> DataFrame:
     """Shared words of the titles per template, from an even sample of (site, pattern, seq, title).
 
-    At most k short titles per group meet; the word comparison depends on their order.
+    At most k titles per group meet; the first one's words are folded with those of the others in order. NULL if fewer than two have words.
     """
     sample = spread_sample(titles.select("site", "pattern", "seq", "title"), ["site", "pattern"], "seq", k)
-    listed = sample.groupBy("site", "pattern").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "title"))), lambda row: row["title"]).alias("_titles")
+    return template_of_sample(sample)
+
+
+def template_of_sample(sample: DataFrame) -> DataFrame:
+    """``title_template`` of rows that are the sample already."""
+    listed = sample.groupBy("site", "pattern").agg(F.array_sort(F.collect_list(F.struct("seq", "title"))).alias("_sample"))
+    words = F.filter(F.transform("_sample", lambda row: word_list(row["title"])), lambda row: F.size(row) > 0)
+    folded = listed.withColumn("_words", words).withColumn(
+        "_shared", F.aggregate(F.slice("_words", F.lit(2), F.size("_words")), F.get("_words", F.lit(0)), shared_sequence)
     )
-    return listed.select("site", "pattern", title_templates("_titles").alias("template"))
+    template = F.when(F.size("_words") >= 2, sequence_template(F.col("_words"), F.col("_shared")))
+    return folded.select("site", "pattern", template.alias("template"))

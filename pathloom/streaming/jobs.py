@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.contents import page_contents
 from ..operators.jobs import latest_results, pause_end
+from .snapshot import Snapshot
 
 # A gap of more than 90 seconds; session windows are half open, hence the extra millisecond.
 STALL = "90001 milliseconds"
@@ -39,28 +40,61 @@ def per_batch(folder: str, shape: Callable[[DataFrame], DataFrame] = lambda df:
 
 # ---- latest reading ----------------------------------------------------------------------------
 
+READINGS = "job_id string, url string, off long, mark string"
+COUNTS = "job_id string, mark string, pages long"
+
+
+def _readings(spark: SparkSession, folder: str) -> Snapshot:
+    return Snapshot(spark, folder, ["job_id", "url"], latest_results)
+
 
 def stream_latest(log: DataFrame, folder: str, checkpoint: str) -> None:
-    """Keeps the last reading per (job_id, url) of each micro-batch; ``read_latest`` merges them."""
-    run_available(log, checkpoint, per_batch(folder, latest_results))
+    """Keeps the last reading per (job_id, url) as a table of one row per key, merged by every micro-batch."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        _readings(batch.sparkSession, folder).apply(latest_results(batch), number)
+
+    run_available(log.select("job_id", "url", "off", "mark"), checkpoint, lambda writer: writer.foreachBatch(merge))
 
 
 def read_latest(spark: SparkSession, folder: str) -> DataFrame:
-    return latest_results(spark.read.parquet(folder).drop("batch"))
+    return _readings(spark, folder).read(READINGS)
 
 
 # ---- progress ----------------------------------------------------------------------------------
 
 
+def _counts(spark: SparkSession, folder: str) -> Snapshot:
+    summed = lambda rows: rows.groupBy("job_id", "mark").agg(F.sum("pages").alias("pages")).filter("pages <> 0")
+    return Snapshot(spark, f"{folder}/counts", ["job_id", "mark"], summed)
+
+
 def stream_progress(log: DataFrame, folder: str, checkpoint: str) -> None:
-    """Keeps the last mark per (job_id, url) as state; each micro-batch saves the pages whose mark it changed."""
-    last = log.groupBy("job_id", "url").agg(F.max(F.struct("off", "mark")).alias("_last"))
-    run_available(last.select("job_id", "url", "_last.off", "_last.mark"), checkpoint, per_batch(folder), mode="update")
+    """Keeps pages per (job_id, mark). A page read again takes its old mark back: each micro-batch adds +1 for a page's new mark and -1
+    for the one it had, summed per job and mark before they reach the counts.
+
+    The counts are written before the marks they follow from; a batch that failed in between is taken up there.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        marks, counts = _readings(spark, f"{folder}/marks"), _counts(spark, folder)
+        new = latest_results(batch).persist()
+        if number not in counts.batches():
+            old = marks.before(number, new)
+            touched = old.join(new.select("job_id", "url"), ["job_id", "url"], "left_semi")
+            sign = lambda rows, n: rows.select("job_id", "mark", F.lit(n).cast("long").alias("pages"))
+            changes = sign(touched, -1).unionByName(sign(latest_results(touched.unionByName(new)), 1))
+            counts.apply(changes.groupBy("job_id", "mark").agg(F.sum("pages").alias("pages")).filter("pages <> 0"), number)
+        marks.apply(new, number)
+        new.unpersist()
+
+    run_available(log.select("job_id", "url", "off", "mark"), checkpoint, lambda writer: writer.foreachBatch(merge))
 
 
 def read_progress(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages per job and mark as of the last micro-batch."""
-    return batch_progress(spark.read.parquet(folder).drop("batch"))
+    """Pages per job and mark as of the last micro-batch; one row per job and mark is stored."""
+    return _counts(spark, folder).read(COUNTS)
 
 
 def batch_progress(log: DataFrame) -> DataFrame:
@@ -105,11 +139,6 @@ def stream_spells(log: DataFrame, gap: str, delay: str, folder: str, checkpoint:
     run_available(not_ended(quiet_spells(log, gap, delay), ended).drop("_end"), checkpoint, to_folder(folder))
 
 
-def stream_quiet(log: DataFrame, gap: str, folder: str, checkpoint: str) -> None:
-    """``stream_spells`` without a delay: for logs that come in order or in one micro-batch; others lose late rows."""
-    stream_spells(log, gap, "0 seconds", folder, checkpoint)
-
-
 def expired_results(log: DataFrame, now, days: int = 7) -> DataFrame:
     """Rows of jobs whose last write is more than ``days`` before ``now``."""
     last = log.groupBy("job_id").agg(F.max("written_at").alias("_last"))

@@ -20,4 +20,4 @@ def test_same_rows(spark, other, name):
 
 
 def test_each_operator_has_a_query():
-    assert set(ORACLES) == set(QUERIES) - {"title_template"}
+    assert set(ORACLES) == set(QUERIES)

@@ -45,14 +45,54 @@ def test_latest(spark, log_folder, tmp_path):
 
 def test_progress_takes_marks_back(spark, log_folder, tmp_path):
     streams.stream_progress(stream(spark, log_folder), str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert rows(streams.read_progress(spark, str(tmp_path / "out"))) == rows(streams.batch_progress(spark.read.parquet(log_folder)))
-    assert spark.read.parquet(str(tmp_path / "out")).count() > 12  # pages whose mark changed are saved again
+    got = streams.read_progress(spark, str(tmp_path / "out"))
+    assert rows(got) == rows(streams.batch_progress(spark.read.parquet(log_folder)).select(got.columns))
+    stored = spark.read.parquet(*map(str, (tmp_path / "out" / "counts" / "rows").glob("version=*/bucket=*")))
+    assert stored.count() == got.count()  # as many rows as jobs and marks, whatever was read
+
+
+def test_snapshot_holds_one_row_per_key(spark, tmp_path):
+    """20 batches with re-reads and late rows, each of them given twice; the fifth one fails between its two tables and is repeated."""
+    folder, every = str(tmp_path / "s"), []
+    snapshot = streams._readings(spark, folder)
+    for number in range(20):
+        batch = [(f"j{i % 3}", f"u{(i * 7 + number) % 40}", (number * 13 + i * 5) % 97 * 100 + number, "orb"[(i + number) % 3]) for i in range(12)]
+        every += batch
+        frame = streams.latest_results(spark.createDataFrame(batch, streams.READINGS))
+        snapshot.apply(frame, number)
+        if number % 5 == 0:
+            snapshot.apply(frame, number)
+    got = snapshot.read(streams.READINGS)
+    want = {}
+    for job, url, off, mark in every:
+        want[job, url] = max(want.get((job, url), (-1, "")), (off, mark))
+    assert rows(got) == sorted((*key, *value) for key, value in want.items())
+    stored = spark.read.parquet(*map(str, (tmp_path / "s" / "rows").glob("version=*/bucket=*")))
+    assert stored.count() == len(want) and snapshot.batches() == [19]
+
+
+def test_progress_survives_a_failure_between_counts_and_marks(spark, log_folder, tmp_path, monkeypatch):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    apply, failed = streams.Snapshot.apply, []
+
+    def failing(self, frame, number):
+        if number == 1 and self.folder.endswith("/marks") and not failed:
+            failed.append(number)
+            raise RuntimeError("lost")
+        return apply(self, frame, number)
+
+    monkeypatch.setattr(streams.Snapshot, "apply", failing)
+    with pytest.raises(Exception, match="lost"):
+        streams.stream_progress(stream(spark, log_folder), out, checkpoint)
+    streams.stream_progress(stream(spark, log_folder), out, checkpoint)
+    got = streams.read_progress(spark, out)
+    assert failed and rows(got) == rows(streams.batch_progress(spark.read.parquet(log_folder)).select(got.columns))
 
 
 @pytest.mark.parametrize("gap", [streams.STALL, "30001 milliseconds"])
 def test_quiet_jobs(spark, log_folder, tmp_path, gap):
     log = spark.read.parquet(log_folder)
-    streams.stream_quiet(stream(spark, log_folder), gap, str(tmp_path / "out"), str(tmp_path / "cp"))
+    streams.stream_spells(stream(spark, log_folder), gap, "0 seconds", str(tmp_path / "out"), str(tmp_path / "cp"))
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(streams.closed_spells(log, gap))
     assert streams.closed_spells(log, gap).count() > 0
 
