@@ -155,12 +155,15 @@ def page_language(html: Column) -> Column:
 
 def heading_list(cleaned: Column) -> Column:
     """All headings with text, in order: array of (level, text)."""
-    cleaned = _marked(up_to_last(cleaned, f"</h[1-6]{S}*>"), [f"h{level}" for level in range(1, 7)])
+    marked = _marked(up_to_last(cleaned, f"</h[1-6]{S}*>"), [f"h{level}" for level in range(1, 7)])
     pattern = F.lit(rf"(?is)<h([1-6]){NO_WORD}{tag_body('h[1-6]')}>(.*?)</h\1{S}*>")
-    levels = F.regexp_extract_all(cleaned, pattern, F.lit(1))
-    texts = F.transform(F.regexp_extract_all(cleaned, pattern, F.lit(2)), lambda text: inline_text(_unmarked(text)))
-    both = F.zip_with(levels, texts, lambda level, text: F.struct(level.cast("int").alias("level"), text.alias("text")))
-    return F.filter(both, lambda heading: heading["text"] != "")
+
+    def listed(page: Column) -> Column:
+        levels = F.regexp_extract_all(page, pattern, F.lit(1))
+        texts = F.transform(F.regexp_extract_all(page, pattern, F.lit(2)), lambda text: inline_text(_unmarked(text)))
+        return F.zip_with(levels, texts, lambda level, text: F.struct(level.cast("int").alias("level"), text.alias("text")))
+
+    return F.filter(let(marked, listed), lambda heading: heading["text"] != "")
 
 
 def main_fragment(cleaned: Column) -> Column:

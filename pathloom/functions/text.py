@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space in the sense of ECMAScript, as a character-class body: the five control
@@ -158,6 +158,15 @@ def iso_text(stamp: Column) -> Column:
     return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+# ---- arrays as rows ----------------------------------------------------------------------------
+
+
+def each(df: DataFrame, items: Column | str, pos: str, value: str, *keep: Column | str) -> DataFrame:
+    """One row per item of an array, with its place. As ``posexplode``, but Spark infers no filter from it, which would be moved below the
+    steps that make the array and so work it out several times."""
+    return df.select(*keep, F.posexplode_outer(items).alias(pos, value)).filter(F.col(pos).isNotNull())
+
+
 # ---- word sequences ----------------------------------------------------------------------------
 
 GAP = "{…}"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.arrow import jsonld_types
-from ..functions.text import word_count
+from ..functions.text import each, word_count
 from ..functions.urls import canonical_url, resolved_urls, url_host
 
 
@@ -65,8 +65,8 @@ def _cut(text: Column, most: int | None) -> tuple[Column, Column]:
 def page_headings(pages: DataFrame, most: int | None = None) -> DataFrame:
     """(page_id, pos, level, text), all headings or the first ``most`` of each page."""
     cleaned = with_cleaned(pages).select("page_id", H.heading_list(F.col("cleaned")).alias("_headings"))
-    shown = F.posexplode(_first_ones(F.col("_headings"), most)).alias("pos", "_heading")
-    return cleaned.select("page_id", shown).select("page_id", "pos", "_heading.level", "_heading.text")
+    shown = each(cleaned, _first_ones(F.col("_headings"), most), "pos", "_heading", "page_id")
+    return shown.select("page_id", "pos", "_heading.level", "_heading.text")
 
 
 def with_link_counts(df: DataFrame, references: str) -> DataFrame:
@@ -98,7 +98,7 @@ def link_edges(pages: DataFrame, keep: tuple[str, ...] = ("site",)) -> DataFrame
     )
     based = canonical_url(raw, "_base_ref", "_base_url", "src").withColumn("_against", F.coalesce("_base_url", "src"))
     links = resolved_urls(based, "_refs", "_links", "_against")
-    return links.select(*keep, "src", F.posexplode("_links").alias("pos", "dst")).filter(F.col("dst").isNotNull())
+    return each(links, "_links", "pos", "dst", *keep, "src").filter(F.col("dst").isNotNull())
 
 
 def page_text(pages: DataFrame, most: int | None = None) -> DataFrame:

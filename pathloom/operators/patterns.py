@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import percent_decoded, sequence_template, shared_sequence, word_list
+from ..functions.text import each, percent_decoded, sequence_template, shared_sequence, word_list
 from ..functions.urls import path_segments, url_path
 from ..plans.scale import attach, first_k, rank_by_order, rank_in_group
 
@@ -57,7 +57,7 @@ def url_patterns(urls: DataFrame) -> DataFrame:
     shape = ["site", "_head", "_depth"]
     counted = (
         parted.filter(F.col("_depth") > 1)
-        .select(*shape, F.posexplode(F.slice("_parts", F.lit(2), F.col("_depth"))).alias("_pos", "_value"))
+        .transform(each, F.slice("_parts", F.lit(2), F.col("_depth")), "_pos", "_value", *shape)
         .groupBy(*shape, "_pos", "_value")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -178,7 +178,7 @@ def pattern_placeholders(urls: DataFrame, width: int | None = None) -> DataFrame
     names = F.split(F.substring("pattern", 2, 1 << 30), "/", -1)
     cells = (
         urls.select("site", "pattern", "seq", names.alias("_names"), path_segments(url_path(F.col("url"))).alias("_parts"))
-        .select("site", "pattern", "seq", "_names", F.posexplode("_parts").alias("position", "value"))
+        .transform(each, "_parts", "position", "value", "site", "pattern", "seq", "_names")
         .filter(F.get("_names", F.col("position")) == "*")
     )
     place = ["site", "pattern", "position"]

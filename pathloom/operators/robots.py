@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import S, js_number, trimmed
+from ..functions.text import S, each, js_number, trimmed
 from ..functions.urls import resolved_urls, url_origin, url_path, url_query
 from ..plans.scale import attach
 
@@ -17,7 +17,7 @@ OWN_AGENT = "pathloombot"
 
 def _lines(texts: DataFrame) -> DataFrame:
     """(site, line, field, value) of all ``field: value`` lines."""
-    rows = texts.select("site", F.posexplode(F.split("text", "\r?\n", -1)).alias("line", "_raw"))
+    rows = each(texts, F.split("text", "\r?\n", -1), "line", "_raw", "site")
     bare = trimmed(F.regexp_replace("_raw", "#.*$", ""))
     shape = rf"^([A-Za-z-]+){S}*:{S}*(.*)\z"
     parsed = rows.withColumn("_bare", bare).filter(F.col("_bare").rlike(shape))
@@ -41,7 +41,7 @@ def scan_robots(responses: DataFrame, most: int | None = None) -> DataFrame:
 def scan_robots_sitemaps(texts: DataFrame) -> DataFrame:
     """(site, pos, url) of the sitemap lines, resolved on (site, origin, text), each URL once in order."""
     found = (
-        texts.select("site", "origin", F.posexplode(F.split("text", "\r?\n", -1)).alias("line", "_raw"))
+        each(texts, F.split("text", "\r?\n", -1), "line", "_raw", "site", "origin")
         .withColumn("_value", F.regexp_extract(trimmed(F.regexp_replace("_raw", "#.*$", "")), rf"(?i)^sitemap{S}*:{S}*(.*)\z", 1))
         .filter(trimmed(F.regexp_replace("_raw", "#.*$", "")).rlike(rf"(?i)^sitemap{S}*:"))
         .withColumn("_base_url", F.concat("origin", F.lit("/")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import S, decoded_text, parsed_date, trimmed
+from ..functions.text import S, decoded_text, each, parsed_date, trimmed
 from ..functions.urls import resolved_urls, url_host
 from .urls import host_refusal
 
@@ -15,16 +15,27 @@ AUTO_MIN_DATED = 5
 AUTO_SHARE = 0.9
 
 
-def _inner(tag: str) -> str:
-    return rf"(?is)<{tag}(?:{S}[^>]*)?>(.*?)</{tag}{S}*>"
+def inner_texts(text: Column, tag: str) -> Column:
+    """The text of each element, from its first opening tag to the first closing tag after it.
+
+    The text is cut once at the closing tags, and a piece looked through once, so unclosed tags take linear time. What follows the last
+    closing tag is no element.
+    """
+    opening = rf"(?is)<{tag}(?:{S}[^<>]*)?>"
+    pieces = F.split(text, rf"(?i)</{tag}{S}*>", -1)
+    closed = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.transform(F.filter(closed, lambda piece: piece.rlike(opening)), lambda piece: F.regexp_extract(piece, opening + "(.*)", 1))
 
 
 def _without_cdata(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+    """CDATA sections as their contents. A section that never ends stays as it is, and is not looked for behind the last end."""
+    rest = F.substring_index(text, "]]>", -1)
+    front = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
+    return F.concat(F.regexp_replace(front, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), rest)
 
 
 def _first(block: Column, tag: str) -> Column:
-    return trimmed(decoded_text(_without_cdata(F.regexp_extract(block, _inner(tag), 1))))
+    return trimmed(decoded_text(_without_cdata(F.coalesce(F.get(inner_texts(block, tag), F.lit(0)), F.lit("")))))
 
 
 def document_kind(xml: Column) -> Column:
@@ -37,9 +48,7 @@ def document_kind(xml: Column) -> Column:
 def parsed_documents(docs: DataFrame) -> DataFrame:
     """(site, sitemap_url, kind, entries) with the array of (loc, lastmod); a projection, one row per sitemap."""
     kinds = docs.withColumn("kind", document_kind(F.col("xml"))).filter(F.col("kind").isNotNull())
-    blocks = F.when(
-        F.col("kind") == "index", F.regexp_extract_all("xml", F.lit(_inner("sitemap")), F.lit(1))
-    ).otherwise(F.regexp_extract_all("xml", F.lit(_inner("url")), F.lit(1)))
+    blocks = F.when(F.col("kind") == "index", inner_texts(F.col("xml"), "sitemap")).otherwise(inner_texts(F.col("xml"), "url"))
     cut = kinds.withColumn("_blocks", blocks)
     raw = cut.withColumn("_locs", F.transform("_blocks", lambda block: _first(block, "loc"))).withColumn(
         "_dates", F.transform("_blocks", lambda block: parsed_date(_first(block, "lastmod")))
@@ -50,10 +59,7 @@ def parsed_documents(docs: DataFrame) -> DataFrame:
         "_entries", F.filter(F.zip_with("_urls", "_dates", pair), lambda entry: entry["loc"].isNotNull())
     ).drop("_urls", "_dates", "_locs")
     # Malformed documents: bare loc tags, wherever they stand.
-    bare = F.transform(
-        F.regexp_extract_all("xml", F.lit(_inner("loc")), F.lit(1)),
-        lambda text: decoded_text(trimmed(_without_cdata(text))),
-    )
+    bare = F.transform(inner_texts(F.col("xml"), "loc"), lambda text: decoded_text(trimmed(_without_cdata(text))))
     needing = usable.withColumn("_bare", F.when(F.size("_entries") == 0, bare))
     fallback = resolved_urls(needing, "_bare", "_bare_urls")
     bare_entries = F.transform(
@@ -65,11 +71,8 @@ def parsed_documents(docs: DataFrame) -> DataFrame:
 
 def sitemap_entries(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(site, sitemap_url, kind, pos, loc, lastmod) from (site, sitemap_url, xml); ``keep`` columns pass through."""
-    return (
-        parsed_documents(docs)
-        .select("site", "sitemap_url", *keep, "kind", F.posexplode("entries").alias("pos", "_entry"))
-        .select("site", "sitemap_url", *keep, "kind", "pos", "_entry.loc", "_entry.lastmod")
-    )
+    entries = each(parsed_documents(docs), "entries", "pos", "_entry", "site", "sitemap_url", *keep, "kind")
+    return entries.select("site", "sitemap_url", *keep, "kind", "pos", "_entry.loc", "_entry.lastmod")
 
 
 def sitemap_stats(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,10 @@
 """robots texts, sitemaps, crawls and redirects."""
 
+import random
+import re
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions.text import iso_text
@@ -110,6 +115,22 @@ def test_sitemap_documents(spark):
     assert (stats["same"].distinct_lastmod, stats["same"].auto_lastmod) == (2, True)
 
 
+def test_element_texts_as_the_plain_pattern_finds_them(spark):
+    rng = random.Random(5)
+    bits = ["<url>", "<URL a='1'>", "</url>", "</url >", "<urlset>", "<loc>", "</loc>", "x", " ", "\n", "<", ">", "url", "</urlset>"]
+    cases = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(cases)), "i int, xml string").select("i", sitemaps.inner_texts(F.col("xml"), "url").alias("found"))
+    assert {r.i: r.found for r in frame.collect()} == {i: re.findall(r"(?is)<url(?:\s[^<>]*)?>(.*?)</url\s*>", text) for i, text in enumerate(cases)}
+
+
+@pytest.mark.parametrize("broken", ["<url><loc>", "<url ", "<loc><![CDATA[", "<url><loc></loc><lastmod>", "</url "])
+def test_unclosed_tags_take_linear_time(spark, broken):
+    given = docs(spark, ("s", "u", "<urlset>" + broken * (3_000_000 // len(broken))), ("s", "v", "<urlset><url>" + broken * 100_000 + "</url>"))
+    begin = time.monotonic()
+    sitemaps.sitemap_entries(given).collect()
+    assert time.monotonic() - begin < 10
+
+
 def test_sitemaps_from_robots_and_index(spark):
     o = "https://mill.example"
     text = f"Sitemap: {o}/map/all.xml\nSitemap: https://store.internal/x.xml\nUser-agent: *\nDisallow: /attic"
