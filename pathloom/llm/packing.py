@@ -40,9 +40,9 @@ LEAST_GAP = 8
 #: Rounds of pricing at most; each may add many patterns. The bound only limits the driver's time, the plan stays valid.
 MOST_ROUNDS = 300
 #: Of the lower bound that the duals give, by how much the program's value may exceed it.
-TOLERANCE = 1e-3
+TOLERANCE = 2e-3
 #: Words whose ids a task remembers.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 1_300_000
 #: Ids of full sequences start here, then the partition, then the place in it.
 _FULL_BITS = 40
 
