@@ -6,7 +6,9 @@ They only propose equality; callers compare the bytes themselves before they act
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -114,3 +116,24 @@ def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     at = np.arange(len(hashes) - length + 1)
     return mixed(range_hash(prefix_hash(hashes), at, at + length))
+
+
+def release() -> None:
+    """Gives freed memory back to the system. A worker process serves many tasks of many stages, and would else keep the most it ever held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def freed(work: Callable) -> Callable:
+    """``work`` on batches, with ``release`` at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .batches import LOWER, NOT_SPACE, mixed, run_hashes, slices, text_bytes, word_hashes, words
+from .batches import LOWER, NOT_SPACE, freed, mixed, run_hashes, slices, text_bytes, word_hashes, words
 from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union.
@@ -135,14 +135,17 @@ def _frequency(size: int, buckets: int):
     return frequency
 
 
-def _added(kind: type):
-    """The sum of the rows of one block, as unsigned 32-bit counts."""
+def _added(kind: type, scaled: bool = False):
+    """The sum of the rows of one block, as unsigned 32-bit counts, or on the scale of eighths of an octave, a byte each."""
 
     def added(rows: pa.Table) -> pa.Table:
         total = np.zeros(_BLOCK, np.uint32)
         for content in rows.column("counts").to_pylist():
             total += np.frombuffer(content, kind)
-        return pa.table({"block": rows.column("block").slice(0, 1).cast(pa.int64()), "task": rows.column("task").slice(0, 1).cast(pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+        if scaled:
+            total = np.round(8 * np.log2(1.0 + total)).clip(0, 255).astype(np.uint8)
+        first = {name: rows.column(name).slice(0, 1).combine_chunks() for name in ("block", "task")}
+        return pa.table({**first, "counts": pa.array([total.tobytes()], pa.binary())})
 
     return added
 
@@ -218,22 +221,21 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = PERCENT):
         self.size, self.percent = size, percent
         self.texts = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        self.heads = cut_lineage(self.texts.mapInArrow(_heads(size), "id long, n long, digest long, estimate array<long>"))
+        self.heads = cut_lineage(self.texts.mapInArrow(freed(_heads(size)), "id long, n long, digest long, estimate array<long>"))
 
     def _lists(self) -> DataFrame:
         """(value, id, n, place): the inverted lists, equal sets once, and only where at least two sets meet."""
         retained = self.heads.agg(F.sum(F.least("n", F.lit(SKETCH)))).first()[0] or 0
         buckets = min(_MOST_BUCKETS, max(_LEAST_BUCKETS, 1 << (retained // 8).bit_length()))
         schema = "block long, task long, counts binary"
-        counted = self.texts.select("text").mapInArrow(_frequency(self.size, buckets), schema)
+        counted = self.texts.select("text").mapInArrow(freed(_frequency(self.size, buckets)), schema)
         some = counted.groupBy("block", "task").applyInArrow(_added(np.uint8), schema)
-        every = some.groupBy("block").applyInArrow(_added(np.uint32), schema)
-        scale = F.udf(lambda counts: bytearray(np.round(8 * np.log2(1 + np.frombuffer(counts, np.uint32).astype(float))).clip(0, 255).astype(np.uint8).tobytes()), "binary")
+        every = some.groupBy("block").applyInArrow(_added(np.uint32, scaled=True), schema)
         often = np.zeros(buckets, np.uint8)
-        for row in every.select("block", scale("counts").alias("counts")).collect():  # one byte for each bucket
+        for row in every.select("block", "counts").collect():  # one byte for each bucket
             often[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["counts"], np.uint8)
         sent = self.texts.sparkSession.sparkContext.broadcast(often)
-        listed = self.texts.mapInArrow(_listing(self.size, self.percent, sent), "value long, digest long, id long, n long, place long")
+        listed = self.texts.mapInArrow(freed(_listing(self.size, self.percent, sent)), "value long, digest long, id long, n long, place long")
         once = listed.repartition("value").groupBy("value", "digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("place").alias("place"))
         sets = F.count("*").over(Window.partitionBy("value"))
         return once.withColumn("sets", sets).filter("sets > 1").select("value", "id", "n", "place")
@@ -245,7 +247,7 @@ class NearDuplicates:
             pairs.join(heads.select(F.col("id").alias("a"), F.col("estimate").alias("x")), "a")
             .join(heads.select(F.col("id").alias("b"), F.col("estimate").alias("y")), "b")
             .select("a", "b", "x", "y")
-            .mapInArrow(_likely, "a long, b long")
+            .mapInArrow(freed(_likely), "a long, b long")
         )
         likely = cut_lineage(likely)
         bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(_TEXT_BUCKETS)).cast("int")
@@ -256,7 +258,7 @@ class NearDuplicates:
             likely.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
             .join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
             .select("a", "b", "x", "y")
-            .mapInArrow(_linked(self.size, self.percent), "a long, b long")
+            .mapInArrow(freed(_linked(self.size, self.percent)), "a long, b long")
         )
 
     def classes(self) -> DataFrame:

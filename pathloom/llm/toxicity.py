@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .batches import freed, release
 
 #: Labelled rows that the weights are fitted on, at most: those with the smallest hashes. Nothing else is sampled.
 SAMPLE_ROWS = 20_000
@@ -124,9 +125,13 @@ class Model:
 
         def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             features = Features(typical)
-            for part in parts:
-                sums = np.array([bias + weights[features.of(x)].sum() for x in part], float)
-                yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -30, 30))))
+            try:
+                for part in parts:
+                    sums = np.array([bias + weights[features.of(x)].sum() for x in part], float)
+                    yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -30, 30))))
+            finally:
+                del features
+                release()
 
         scores.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(scores, "double")(text)
@@ -173,7 +178,7 @@ def _typical(labelled: DataFrame, toxic: int, other: int) -> list[tuple[str, flo
                     counts.clear()
         yield batch_of()
 
-    counted = labelled.select("text", "y").mapInArrow(emit, "name string, other long, toxic long").groupBy("name").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    counted = labelled.select("text", "y").mapInArrow(freed(emit), "name string, other long, toxic long").groupBy("name").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("other") + 0.5) / (other + 1.0))
     best = counted.filter(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("odds", F.round(odds, 6)).filter("odds > 1.5")
     best = best.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "name").limit(MOST_FEATURES)
@@ -207,7 +212,7 @@ def _votes(docs: DataFrame, text: str, typical: list[str], voters: list[int]) ->
                 counts[sum(bit.get(i, 0) for i in features.of(value))] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["votes", "n"])
 
-    found = docs.select(F.col(text)).mapInArrow(emit, "votes long, n long")
+    found = docs.select(F.col(text)).mapInArrow(freed(emit), "votes long, n long")
     return cut_lineage(found.groupBy("votes").agg(F.sum("n").alias("n")))
 
 
@@ -223,7 +228,7 @@ def _fired(labelled: DataFrame, typical: list[str], voters: list[int]) -> DataFr
             columns = [batch.column(0), batch.column(1), pa.array(fired, pa.list_(pa.int32())), pa.array(votes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["hash", "y", "fired", "votes"])
 
-    return cut_lineage(labelled.select("hash", "y", "text").mapInArrow(emit, "hash long, y int, fired array<int>, votes long"))
+    return cut_lineage(labelled.select("hash", "y", "text").mapInArrow(freed(emit), "hash long, y int, fired array<int>, votes long"))
 
 
 def _bits(votes: np.ndarray, n: int) -> np.ndarray:
@@ -251,7 +256,7 @@ def _expected(votes: DataFrame, width: int, estimate: Callable[[np.ndarray], np.
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums.ravel()[at])], names=["at", "sum"])
 
     found = np.zeros(2 * (width * width + 1))
-    rows = votes.mapInArrow(emit, "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum"))
+    rows = votes.mapInArrow(freed(emit), "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum"))
     for row in rows.collect():  # at most as many rows as ``found`` has places
         found[row["at"]] = round(row["sum"], 6)
     return found.reshape(2, -1)
@@ -310,7 +315,7 @@ def _histogram(fired: DataFrame, weights: np.ndarray, bias: float) -> tuple[np.n
             toxic = np.bincount(place, y, minlength=len(bins)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(toxic), pa.array(np.bincount(place, minlength=len(bins)))], names=["bin", "toxic", "n"])
 
-    found = fired.select("fired", "y").mapInArrow(emit, "bin long, toxic long, n long").groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    found = fired.select("fired", "y").mapInArrow(freed(emit), "bin long, toxic long, n long").groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     rows = sorted(map(tuple, found.collect()), reverse=True)  # at most one row per bin
     bins, toxic, n = (np.array(x) for x in zip(*rows, strict=True))
     return bins * BIN, toxic, n
