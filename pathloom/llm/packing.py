@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .batches import freed
 
 CAPACITY = 2048
 END_ID = 1
@@ -42,7 +43,7 @@ MOST_ROUNDS = 300
 #: Of the lower bound that the duals give, by how much the program's value may exceed it.
 TOLERANCE = 2e-3
 #: Words whose ids a task remembers.
-_REMEMBERED = 1_300_000
+_REMEMBERED = 900_000
 #: Ids of full sequences start here, then the partition, then the place in it.
 _FULL_BITS = 40
 
@@ -418,7 +419,7 @@ def pack_documents(
     kind = rows.schema["id"].dataType.simpleString()
     made = f"id {kind}, n long, part int, tail int, place long, full long, whole array<{finish_type}>, ids binary"
     types = [to_arrow_type(f.dataType) for f in docs.sparkSession.createDataFrame([], made).schema.fields]
-    table = cut_lineage(rows.mapInArrow(_tokenised(docs, sent, capacity, end_id, finish, types), made))
+    table = cut_lineage(rows.mapInArrow(freed(_tokenised(docs, sent, capacity, end_id, finish, types)), made))
     # Tails of a length in earlier partitions; (part, tail) has at most capacity rows per partition.
     sizes = table.groupBy("part", "tail").agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy("tail").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -455,4 +456,4 @@ def pack_documents(
                     names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 
-    return ranked.mapInArrow(placed, schema).withColumnRenamed("id", id)
+    return ranked.mapInArrow(freed(placed), schema).withColumnRenamed("id", id)
