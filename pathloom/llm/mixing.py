@@ -94,13 +94,13 @@ def mix_sources(
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = plan.withColumn("passes", passes.cast("long")).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
     cuts = _cuts(sized, top, plan)
-    plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "budget")
+    plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = top.select(F.col("source").alias("s"), "top").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("source")
     rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), *keys)
     rows = rows.withColumn("_top", F.shiftright("hash", HASH_BITS - LEVEL_BITS))
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["s"]) & (F.col("_top") == F.col("top")))
     extra = F.when(F.col("with_cut"), F.col("hash") <= F.col("cut")).otherwise(F.col("hash") < F.col("cut"))
-    copies = F.col("passes") + F.when(extra, F.lit(1)).otherwise(F.lit(0))
+    copies = F.col("passes") + F.when((F.col("budget") > 0) & extra, F.lit(1)).otherwise(F.lit(0))  # a source at its cap has no more to give
     return joined.select("row", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 

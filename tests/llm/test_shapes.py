@@ -42,6 +42,12 @@ def test_targets(spark):
         assert [found[f"s{i}"] for i in range(9)] == pytest.approx(shares(sizes, weights)) and found["none"] == found["gone"] == 0
 
 
+def test_empty_rows_of_a_full_source_get_no_more_copies(spark):
+    rows = [(i, "" if i % 2 else "one two", "small") for i in range(40)] + [(100 + i, "w " * 500, "big") for i in range(40)]
+    found = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame([("small", 9), ("big", 1)], "source string, weight int"))
+    assert {r["copies"] for r in found.collect() if r["row"]["source"] == "small"} == {3}
+
+
 def test_mix(spark):
     rows = [(i, " ".join(["w"] * (i % 50)), ["big", "big", None, "small", "tiny"][min(4, i % 7)] if i % 7 < 4 else "big", i, i) for i in range(3000)]
     rows += [(None, None, "tiny", 0, 0), (5000, "\t one \x0b two\u00a0three ", "tiny", 1, 1), (5000, "\t one \x0b two\u00a0three ", "tiny", 1, 1)]
