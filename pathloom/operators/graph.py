@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import bare_host, canonical_url, url_host, url_path
+from ..plans.jump import passed_nodes, path_ends
 from ..plans.scale import attach, rank_in_group
 from ..plans.walk import capped_walk
 from ..session import cut_lineage
@@ -109,48 +108,52 @@ def resolve_redirects(starts: DataFrame, hops: DataFrame, stay_on_site: bool = F
     """Follow (url, status, location) hops from each start (url): final URL, number of hops, chain and error.
 
     A chain ends where it comes back to a URL it has passed (``redirect-loop``), or after ``max_hops`` if given
-    (``too-many-redirects``). Each step is a salted lookup of the chains that still go on, and is written, so lineage stays
-    short; it ends when none goes on.
+    (``too-many-redirects``). Where it ends depends on the hops alone, so that is worked out once per URL by doubling, in about log2 of
+    the longest chain rounds; the chains of the starts are put together after that.
     """
     redirecting = hops.filter(F.col("status").between(300, 399) & F.col("location").isNotNull())
     redirecting = redirecting.groupBy("url").agg(F.min(F.struct("status", "location")).alias("_hop")).select("url", "_hop.*")
     targets = canonical_url(redirecting, "location", "_next", "url")
     host = url_host(F.col("_next"))
-    hop = F.struct(F.col("url").alias("url"), "status", F.coalesce("_next", "location").alias("location"))
-    dim = cut_lineage(
-        targets.select(F.col("url").alias("current"), hop.alias("hop"), F.col("_next").alias("next"), host_refusal(host).isNotNull().alias("private"))
+    hop = F.struct(F.col("url").alias("url"), "status", F.coalesce("_next", "location").alias("location")).cast("struct<url:string,status:int,location:string>")
+    # A chain that stays on its site leaves it with the first hop between two sites.
+    leaves = F.lit(stay_on_site) & ~bare_host(host).eqNullSafe(bare_host(url_host(F.col("url"))))
+    stop = F.when(F.col("_next").isNull(), "invalid-url").when(leaves, "off-site").when(host_refusal(host).isNotNull(), "private")
+    dim = cut_lineage(targets.select(F.col("url").alias("node"), hop.alias("hop"), F.col("_next").alias("next"), stop.alias("stop")))
+    ends, tables = path_ends(dim.filter("stop IS NULL").select("node", "next"))
+
+    wanted = starts.select(F.col("url").alias("start")).filter("url IS NOT NULL").distinct()
+    led = attach(wanted, ends.withColumnRenamed("node", "start"), ["start"], ["start"])
+    led = led.withColumn("end", F.when(F.coalesce("loop", F.lit(False)), F.col("end")).otherwise(F.coalesce("end", "start")))
+    stops = dim.filter("stop IS NOT NULL").select(F.col("node").alias("end"), "stop")
+    told = attach(led, stops, ["end"], ["start"]).withColumn("stop", F.when(F.col("loop"), "redirect-loop").otherwise(F.col("stop")))
+    # The hop a chain stops at is part of it, unless it leads nowhere.
+    told = told.withColumn("n", F.coalesce("n", F.lit(0)) + F.coalesce(F.col("stop").isin("off-site", "private").cast("long"), F.lit(0)))
+    if max_hops is not None:
+        max_hops = max(max_hops, 1)
+        over = (F.col("n") > max_hops) | ((F.col("n") == max_hops) & ~F.col("stop").eqNullSafe("off-site"))
+        told = told.withColumn("stop", F.when(over, "too-many-redirects").otherwise(F.col("stop"))).withColumn("n", F.least("n", F.lit(max_hops).cast("long")))
+    told = cut_lineage(told.select("start", "end", "n", "stop"))
+    longest = told.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    nodes = passed_nodes(told, tables, longest)
+    chains = (
+        attach(nodes, dim.select("node", "hop"), ["node"], ["start"], how="inner")
+        .groupBy(F.col("start").alias("_start"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "hop"))), lambda cell: cell["hop"]).alias("chain"))
     )
-    shape = "struct<url:string,status:int,location:string>"
-    active = starts.select("url", F.col("url").alias("current"), F.array().cast(f"array<{shape}>").alias("chain"))
-    ended: list[DataFrame] = []
-    step = 0
-    while True:
-        step += 1
-        moved, next_ = F.col("hop").isNotNull(), F.col("next")
-        leaves = F.lit(stay_on_site) & (bare_host(url_host(next_)) != bare_host(url_host(F.col("url"))))
-        passed = (next_ == F.col("current")) | F.exists("chain", lambda h: h["url"] == next_)
-        last = F.lit(max_hops is not None and step >= max_hops)
-        error = (
-            F.when(moved & next_.isNull(), F.lit("invalid-url"))
-            .when(moved & ~leaves & last, F.lit("too-many-redirects"))
-            .when(moved & ~leaves & F.col("private"), F.lit("private"))
-            .when(moved & ~leaves & passed, F.lit("redirect-loop"))
-        )
-        recorded = moved & next_.isNotNull()
-        met = attach(active, dim, ["current"], ["url"]).select(
-            "url",
-            "current",
-            "next",
-            F.when(recorded, F.array_append("chain", F.col("hop").cast(shape))).otherwise(F.col("chain")).alias("chain"),
-            error.alias("error"),
-            F.when(recorded & leaves, next_).alias("off_site"),
-        )
-        met = cut_lineage(met.withColumn("_on", F.col("next").isNotNull() & F.col("error").isNull() & F.col("off_site").isNull()))
-        ended.append(met.filter("NOT _on").select("url", F.col("current").alias("final_url"), "chain", "error", "off_site"))
-        active = met.filter("_on").select("url", F.col("next").alias("current"), "chain")
-        if active.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, ended).withColumn("hops", F.size("chain").cast("long"))
+    whole = told.join(chains, F.col("start") == F.col("_start"), "left")
+    last = F.element_at("chain", -1)
+    unmoved = F.col("stop").isNotNull() & (F.col("stop") != "invalid-url")
+    found = whole.select(
+        F.col("start").alias("url"),
+        F.when(unmoved, last["url"]).otherwise(F.col("end")).alias("final_url"),
+        "chain",
+        F.when(F.col("stop") != "off-site", F.col("stop")).alias("error"),
+        F.when(F.col("stop") == "off-site", last["location"]).alias("off_site"),
+    )
+    met = attach(starts.select("url"), found, ["url"], ["url"])
+    chain = F.coalesce("chain", F.array().cast("array<struct<url:string,status:int,location:string>>"))
+    return met.withColumn("chain", chain).withColumn("hops", F.size("chain").cast("long"))
 
 
 def map_site(sitemap_urls: DataFrame, crawled: DataFrame) -> DataFrame:

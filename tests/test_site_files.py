@@ -218,6 +218,50 @@ def test_redirects(spark):
     assert kept.off_site == "https://bank.example/?from=mill" and kept.final_url == f"{b}/visit/bank"
 
 
+def followed(url, step, max_hops):
+    """One chain, hop by hop: final URL, URLs that were left, error."""
+    chain = []
+    while url in step:
+        chain.append(url)
+        if max_hops is not None and len(chain) >= max_hops:
+            return url, chain, "too-many-redirects"
+        if step[url] in chain:
+            return url, chain, "redirect-loop"
+        url = step[url]
+    return url, chain, None
+
+
+@pytest.mark.parametrize("max_hops", [None, 3])
+def test_redirect_graphs(spark, max_hops):
+    """Trees, circles with tails and one URL that most others lead to; repeated and null starts."""
+    rng = random.Random(5)
+    name = lambda i: f"https://mill.example/n{i}"
+    step = {name(i): name(rng.choice([0, i // 2, rng.randrange(300)])) for i in range(1, 250)}
+    step |= {name(400 + i): name(400 + (i + 1) % 37) for i in range(37)} | {name(500 + i): name(501 + i) for i in range(20)} | {name(520): name(411)}
+    starts = [*step, name(0), name(299), name(1), name(1), None]
+    hops = spark.createDataFrame([(a, 301, b) for a, b in step.items()], "url string, status int, location string")
+    got = graph.resolve_redirects(spark.createDataFrame([(u,) for u in starts], "url string"), hops, max_hops=max_hops)
+    found = [(r.url, r.final_url, [h.url for h in r.chain], [h.location for h in r.chain], r.error, r.hops) for r in got.collect()]
+    want = [(u, end, chain, [step[c] for c in chain], error, len(chain)) for u in starts for end, chain, error in [followed(u, step, max_hops)]]
+    order = lambda row: (row[0] is None, row[0] or "")
+    assert sorted(found, key=order) == sorted(want, key=order)
+
+
+def test_long_redirect_chain_takes_few_rounds(spark):
+    from pathloom.plans.jump import doubled
+
+    steps = spark.createDataFrame([(f"https://mill.example/{i}", f"https://mill.example/{i + 1}") for i in range(1000)], "node string, next string")
+    tables, endless = doubled(steps)
+    assert len(tables) == 11 and endless == 0
+    hops = steps.selectExpr("node AS url", "302 AS status", "next AS location")
+    row = graph.resolve_redirects(steps.filter("node LIKE '%/0'").selectExpr("node AS url").limit(1), hops).first()
+    start = int(row.url.rsplit("/", 1)[1])
+    assert (row.final_url, row.hops, row.error) == ("https://mill.example/1000", 1000 - start, None)
+    assert [h.url for h in row.chain] == [f"https://mill.example/{i}" for i in range(start, 1000)]
+    none = graph.resolve_redirects(hops.select("url"), hops.limit(0))
+    assert none.filter("hops > 0 OR error IS NOT NULL OR final_url <> url").isEmpty()
+
+
 def test_second_mapping_only_when_it_found_more(spark):
     rows = [("one", 0, "a"), ("one", 1, "a"), ("one", 1, "b"), ("many", 0, "a"), ("many", 0, "b"), ("many", 1, "a"), ("many", 1, "b"), ("many", 1, "c"),
             ("same", 0, "a"), ("same", 1, "b"), ("late", 1, "x")]
