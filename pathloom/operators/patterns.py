@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import each, percent_decoded, sequence_template, shared_sequence, word_list
 from ..functions.urls import path_segments, url_path
 from ..plans.scale import attach, first_k, rank_by_order, rank_in_group
+from ..session import cut_lineage
 
 # Limits of the grouping rules.
 MAX_LITERALS = 6
@@ -206,40 +207,58 @@ def pattern_placeholders(urls: DataFrame, width: int | None = None) -> DataFrame
 # ---- matching ----------------------------------------------------------------------------------
 
 
-def match_pattern(urls: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Most specific template for (site, seq, url) among (site, pos, pattern); NULL when none matches.
+def pattern_trie(patterns: DataFrame) -> DataFrame:
+    """Each beginning of each template (site, pos, pattern) once: (site, _depth, _key, _best), one trie per site and template depth.
 
-    Templates are met by equality, not pair by pair: each URL is masked with the wildcard layouts
-    its site has at that depth, and the masked path is looked up.
+    ``_key`` is the path from the root; ``_best`` is set where a template ends: literal segments, minus its place, the template.
     """
-    located = F.when(F.col("url").startswith("/"), F.regexp_extract("url", "^[^?#]*", 0)).otherwise(url_path(F.col("url")))
-    parted = urls.withColumn("_parts", path_segments(located)).withColumn("_depth", F.size("_parts"))
-    shaped = patterns.withColumn("_names", path_segments(F.col("pattern"))).withColumn("_depth", F.size("_names"))
-    shaped = shaped.withColumn("_key", F.concat(F.lit("/"), F.array_join("_names", "/"))).withColumn(
-        "_layout", F.transform("_names", lambda name: name == "*")
-    )
-    score = F.size(F.filter("_layout", lambda wild: ~wild)).alias("_score")
-    named = shaped.groupBy("site", "_depth", "_key").agg(
-        F.min_by("pattern", "pos").alias("pattern"), F.min("pos").alias("_pos"), F.min(score).alias("_score")
-    )
-    layouts = (
-        shaped.select("site", "_depth", "_layout")
-        .distinct()
-        .groupBy("site", "_depth")
-        .agg(F.collect_list("_layout").alias("_layouts"))
-    )
-    masked = attach(parted, layouts, ["site", "_depth"], ["seq"], how="inner")
-    key = F.concat(
-        F.lit("/"),
-        F.array_join(F.zip_with("_parts", "_layout", lambda part, wild: F.when(wild, F.lit("*")).otherwise(part)), "/"),
+    named = patterns.withColumn("_names", path_segments(F.col("pattern"))).groupBy("site", "_names").agg(
+        F.min("pos").alias("_pos"), F.min_by("pattern", "pos").alias("pattern")
     )
-    tried = masked.select("site", "seq", "_depth", "_parts", F.explode("_layouts").alias("_layout")).select(
-        "site", "seq", "_depth", key.alias("_key")
-    )
-    found = attach(tried, named, ["site", "_depth", "_key"], ["seq"], how="inner")
-    best = found.groupBy("site", "seq").agg(
-        F.max_by("pattern", F.struct(F.col("_score"), -F.col("_pos"))).alias("pattern")
+    literal = F.size(F.filter("_names", lambda name: name != "*"))
+    depth = F.size("_names")
+    steps = named.select(
+        "site",
+        "_names",
+        depth.alias("_depth"),
+        F.struct(literal.alias("score"), (-F.col("_pos")).alias("place"), "pattern").alias("_whole"),
+        F.explode_outer(F.sequence(F.least(F.lit(1), depth), depth)).alias("_step"),
     )
+    key = F.array_join(F.slice("_names", F.lit(1), F.col("_step")), "/")
+    return steps.groupBy("site", "_depth", key.alias("_key")).agg(F.max(F.when(F.col("_step") == F.col("_depth"), F.col("_whole"))).alias("_best"))
+
+
+def match_pattern(urls: DataFrame, patterns: DataFrame, levels: int | None = None) -> DataFrame:
+    """Most specific template for (site, seq, url) among (site, pos, pattern); NULL when none matches.
+
+    All URLs walk down the trie of their site's templates together, one depth a step: each looks up the child with its own next segment and
+    the one with ``*``, by equality. Only beginnings that match go on, so the rows follow what matches, not the number of templates or of
+    their wildcard layouts. Of the templates reached, the one with most literal segments wins, then the first.
+
+    ``levels`` is the depth of the deepest template; deeper ones are left out. Without it the templates are written once to see how deep
+    they are; with it nothing runs before an action.
+    """
+    depth = F.size(path_segments(F.col("pattern")))
+    if levels is None:
+        patterns = cut_lineage(patterns.select("site", "pos", "pattern"))
+        levels = patterns.agg(F.coalesce(F.max(depth), F.lit(0))).first()[0]
+    else:
+        patterns = patterns.filter(depth <= levels)
+    located = F.when(F.col("url").startswith("/"), F.regexp_extract("url", "^[^?#]*", 0)).otherwise(url_path(F.col("url")))
+    trie = pattern_trie(patterns)
+    parted = urls.select("site", "seq", path_segments(located).alias("_parts")).withColumn("_depth", F.size("_parts"))
+    live = parted.filter(F.col("_depth") <= levels).withColumn("_key", F.lit("")).withColumn("_best", F.lit(None).cast(trie.schema["_best"].dataType))
+    children = trie.withColumnRenamed("_best", "_end").withColumn("_met", F.lit(True))
+    for level in range(1, max(levels, 1) + 1):
+        below = lambda token: token if level == 1 else F.concat(F.col("_key"), F.lit("/"), token)  # noqa: B023, E731
+        keys = F.when(F.col("_depth") >= level, F.array_distinct(F.array(below(F.get("_parts", F.lit(level - 1))), below(F.lit("*")))))
+        if level == 1:
+            keys = keys.otherwise(F.array(F.lit("")))
+        tried = live.select("site", "seq", "_parts", "_depth", "_best", F.explode_outer(keys).alias("_key"))
+        # Rows without a key arrived at an earlier depth.
+        met = attach(tried, children, ["site", "_depth", "_key"], ["seq"]).filter("_met OR _key IS NULL")
+        live = met.select("site", "seq", "_parts", "_depth", "_key", F.coalesce("_end", "_best").alias("_best"))
+    best = live.groupBy("site", "seq").agg(F.max("_best").getField("pattern").alias("pattern"))
     return urls.join(best, ["site", "seq"], "left")
 
 
