@@ -205,7 +205,7 @@ def site_scope_items(c):
         F.explode(F.expr("array(seq * 2, seq * 2 + 1)")).alias("seq"),
         "url",
         "page_id",
-    ).filter("page_id % 4 = 0 OR seq % 2 = 0")
+    )
     shaped = offered.select(
         "job_id",
         "site",
@@ -425,7 +425,7 @@ def match_pattern(c):
 
 @query
 def page_pattern_lookup(c):
-    known = c["patterned"].filter("seq % 5 <> 0")
+    known = c["patterned"].withColumn("url", F.expr("CASE WHEN seq % 5 = 0 THEN url || '#moved' ELSE url END"))
     return jobs.page_pattern_lookup(c["site_urls"], known).select("site", "seq", "url", "pattern")
 
 
@@ -538,8 +538,9 @@ def map_site(c):
 
 @query
 def remap_choice(c):
+    """Both tries name every page; what the first one did not find has no URL."""
     tries = c["site_pages"].select("site", "page_id", "url", F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt"))
-    return graph.remap_choice(tries.filter("attempt = 1 OR page_id % 5 = 0 OR page_id % 7 = 1"))
+    return graph.remap_choice(tries.withColumn("url", F.expr("CASE WHEN attempt = 1 OR page_id % 5 = 0 OR page_id % 7 = 1 THEN url END")))
 
 
 # ---- jobs --------------------------------------------------------------------------------------
