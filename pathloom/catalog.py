@@ -628,10 +628,6 @@ def arriving(c: Corpus, name: str) -> DataFrame:
     return live[name]
 
 
-#: The stored pages come in one micro-batch, so no row is late.
-AT_ONCE = "0 seconds"
-
-
 def stream_place(c: Corpus) -> tuple[str, str]:
     place = f"{shared_folder(c.spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
     return f"{place}/rows", f"{place}/checkpoint"
@@ -663,20 +659,44 @@ def stream_progress(c):
     return streams.read_progress(c.spark, rows)
 
 
+#: Some writes arrive so many seconds after their time; the streams wait longer than that.
+LATE, DELAY = 60, "2 minutes"
+
+
+def in_turns(c: Corpus, log: DataFrame, run: Callable[[DataFrame, str, str], None], turns: int = 3) -> DataFrame:
+    """Lets a log (written_at, off, ...) arrive in turns and runs the stream after each, from its checkpoint. Returns what it has written.
+
+    Turns are shares of the rows by time of arrival. Every seventh write arrives ``LATE`` seconds late, so each turn has rows
+    older than some of the turn before.
+    """
+    rows, checkpoint = stream_place(c)
+    place = f"{rows}-log"
+    late = F.when(F.col("off") % 7 == 0, F.lit(LATE)).otherwise(F.lit(0))
+    arrived = cut_lineage(log.withColumn("_at", F.unix_millis("written_at") + late * 1000))
+    shares = F.array(*[F.lit(turn / turns) for turn in range(1, turns)])
+    cuts = arrived.agg(F.percentile_approx("_at", shares)).first()[0] or [0] * (turns - 1)
+    for turn, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        now = F.lit(True)
+        now = now if low is None else now & (F.col("_at") > low)
+        now = now if high is None else now & (F.col("_at") <= high)
+        arrived.filter(now).drop("_at").write.parquet(f"{place}/turn={turn}")
+        run(c.spark.readStream.schema(log.schema).parquet(f"{place}/turn=*"), rows, checkpoint)
+    return c.spark.read.schema("job_id STRING, last_write TIMESTAMP, writes BIGINT").parquet(rows)
+
+
 @query
 def stream_stalled(c):
-    rows, checkpoint = stream_place(c)
-    streams.stream_spells(timed(arriving(c, "job_results")), streams.STALL, AT_ONCE, rows, checkpoint)
-    return c.spark.read.parquet(rows)
+    ended = c["job_ends"].select("job_id", F.col("ended_text").cast("timestamp").alias("ended_at"))
+    log = timed(c["job_results"]).select("job_id", "written_at", "off")
+    return in_turns(c, log, lambda live, rows, checkpoint: streams.stream_spells(live, streams.STALL, DELAY, rows, checkpoint, ended))
 
 
 @query
 def stream_expiry(c):
-    rows, checkpoint = stream_place(c)
-    log = timed(arriving(c, "job_results"))
+    log = timed(c["job_results"])
     later = log.withColumn("written_at", F.expr("written_at + make_dt_interval(CAST(attempt * 7 AS INT), 0, CAST(attempt * 2 AS INT))"))
-    streams.stream_spells(later, streams.KEPT, AT_ONCE, rows, checkpoint)
-    return c.spark.read.parquet(rows)
+    shown = later.select("job_id", "written_at", "off")
+    return in_turns(c, shown, lambda live, rows, checkpoint: streams.stream_spells(live, streams.KEPT, DELAY, rows, checkpoint))
 
 
 @query

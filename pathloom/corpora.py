@@ -107,6 +107,8 @@ DERIVED: dict[str, str] = {
         FROM (SELECT site, url, page_id, seq, 0 AS attempt FROM {site_pages}
               UNION ALL SELECT site, url, page_id, seq, 1 AS attempt FROM {site_pages} WHERE page_id % 3 = 0) a
         WHERE page_id % 8 <> 5""",
+    "job_ends": """
+        SELECT job_id, max(written_text) AS ended_text FROM {job_results} GROUP BY job_id HAVING max(off) % 3 = 0""",
     "redirect_hops": """
         SELECT a.url, 301 AS status, b.url AS location
         FROM {site_pages} a JOIN {site_pages} b ON b.page_id = a.page_id + 1
