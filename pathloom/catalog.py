@@ -663,8 +663,8 @@ def stream_progress(c):
 LATE, DELAY = 60, "2 minutes"
 
 
-def in_turns(c: Corpus, log: DataFrame, run: Callable[[DataFrame, str, str], None], turns: int = 3) -> DataFrame:
-    """Lets a log (written_at, off, ...) arrive in turns and runs the stream after each, from its checkpoint. Returns what it has written.
+def in_turns(c: Corpus, log: DataFrame, run: Callable[[DataFrame, str, str], None], turns: int = 3) -> str:
+    """Lets a log (written_at, off, ...) arrive in turns and runs the stream after each, from its checkpoint. Returns the folder it writes to.
 
     Turns are shares of the rows by time of arrival. Every seventh write arrives ``LATE`` seconds late, so each turn has rows
     older than some of the turn before.
@@ -681,22 +681,36 @@ def in_turns(c: Corpus, log: DataFrame, run: Callable[[DataFrame, str, str], Non
         now = now if high is None else now & (F.col("_at") <= high)
         arrived.filter(now).drop("_at").write.parquet(f"{place}/turn={turn}")
         run(c.spark.readStream.schema(log.schema).parquet(f"{place}/turn=*"), rows, checkpoint)
-    return c.spark.read.schema("job_id STRING, last_write TIMESTAMP, writes BIGINT").parquet(rows)
+    return rows
+
+
+def written_spells(c: Corpus, folder: str) -> DataFrame:
+    return c.spark.read.schema("job_id STRING, last_write TIMESTAMP, writes BIGINT").parquet(folder)
+
+
+def spaced_results(c: Corpus) -> DataFrame:
+    """The result log with the second readings a week and two minutes after the first ones."""
+    log = timed(c["job_results"])
+    return log.withColumn("written_at", F.expr("written_at + make_dt_interval(CAST(attempt * 7 AS INT), 0, CAST(attempt * 2 AS INT))"))
 
 
 @query
 def stream_stalled(c):
     ended = c["job_ends"].select("job_id", F.col("ended_text").cast("timestamp").alias("ended_at"))
     log = timed(c["job_results"]).select("job_id", "written_at", "off")
-    return in_turns(c, log, lambda live, rows, checkpoint: streams.stream_spells(live, streams.STALL, DELAY, rows, checkpoint, ended))
+    return written_spells(c, in_turns(c, log, lambda live, rows, checkpoint: streams.stream_spells(live, streams.STALL, DELAY, rows, checkpoint, ended)))
 
 
 @query
 def stream_expiry(c):
-    log = timed(c["job_results"])
-    later = log.withColumn("written_at", F.expr("written_at + make_dt_interval(CAST(attempt * 7 AS INT), 0, CAST(attempt * 2 AS INT))"))
-    shown = later.select("job_id", "written_at", "off")
-    return in_turns(c, shown, lambda live, rows, checkpoint: streams.stream_spells(live, streams.KEPT, DELAY, rows, checkpoint))
+    shown = spaced_results(c).select("job_id", "written_at", "off")
+    return written_spells(c, in_turns(c, shown, lambda live, rows, checkpoint: streams.stream_spells(live, streams.KEPT, DELAY, rows, checkpoint)))
+
+
+@query
+def stream_results(c):
+    log = spaced_results(c).select("job_id", "url", "off", "mark", "written_at")
+    return streams.read_results(c.spark, in_turns(c, log, streams.stream_results))
 
 
 @query

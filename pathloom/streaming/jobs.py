@@ -61,6 +61,39 @@ def read_latest(spark: SparkSession, folder: str) -> DataFrame:
     return _readings(spark, folder).read(READINGS)
 
 
+# ---- results and their time to live ------------------------------------------------------------
+
+RESULTS = "job_id string, url string, off long, mark string, written_at timestamp"
+WEEK = 7 * 86_400_000
+
+
+def _results(spark: SparkSession, folder: str, live: int) -> Snapshot:
+    return Snapshot(spark, folder, ["job_id", "url"], latest_results, time="written_at", live=live)
+
+
+def stream_results(log: DataFrame, folder: str, checkpoint: str, live: int = WEEK) -> None:
+    """Keeps the last result per (job_id, url) until ``live`` milliseconds after it was written; a page read again stays longer.
+
+    Results that are too old are deleted from disk by the next micro-batch, by the newest time in the log. A late row older than that is not kept.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        _results(batch.sparkSession, folder, live).apply(batch, number)
+
+    run_available(log.select("job_id", "url", "off", "mark", "written_at"), checkpoint, lambda writer: writer.foreachBatch(merge))
+
+
+def read_results(spark: SparkSession, folder: str) -> DataFrame:
+    return _results(spark, folder, WEEK).read(RESULTS)
+
+
+def kept_results(log: DataFrame, live: int = WEEK) -> DataFrame:
+    """Batch twin: the last results that were not too old at the time of the last write of all."""
+    last = latest_results(log.select("job_id", "url", "off", "mark", "written_at"))
+    now = log.agg(F.max(F.unix_millis("written_at")).alias("_now"))
+    return last.crossJoin(F.broadcast(now)).filter(F.coalesce(F.unix_millis("written_at") >= F.col("_now") - live, F.lit(True))).drop("_now")
+
+
 # ---- progress ----------------------------------------------------------------------------------
 
 

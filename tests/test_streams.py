@@ -89,6 +89,29 @@ def test_progress_survives_a_failure_between_counts_and_marks(spark, log_folder,
     assert failed and rows(got) == rows(streams.batch_progress(spark.read.parquet(log_folder)).select(got.columns))
 
 
+def test_results_are_deleted_a_week_after_their_last_write(spark, tmp_path):
+    """One batch a day: two new pages, a page that is read again each day, a late row and one without a time. What is stored stays flat."""
+    snapshot, every, sizes = streams._results(spark, str(tmp_path / "s"), streams.WEEK), [], []
+    for day in range(12):
+        at = START + timedelta(days=day)
+        batch = [("j", f"new{day}", day * 10, "o", at), ("j", f"more{day}", day * 10 + 1, "o", at), ("j", "again", day * 10 + 2, "o", at),
+                 ("k", "late", day * 10 + 3, "r", at - timedelta(days=9)), ("k", "edge", 4, "o", START), ("k", "timeless", 5, "o", None)]
+        every += batch
+        for _ in range(2):
+            snapshot.apply(spark.createDataFrame(batch, streams.RESULTS), day)
+        if day in (7, 8, 11):
+            want = streams.kept_results(spark.createDataFrame(every, streams.RESULTS))
+            names = {r.url for r in want.collect()}
+            assert ("edge" in names) == (day == 7) and "late" not in names and {"again", "timeless"} <= names
+            got = streams.read_results(spark, str(tmp_path / "s"))
+            order = lambda df: sorted(map(str, df.select("job_id", "url", "off", "mark", "written_at").collect()))
+            assert order(got) == order(want)
+            stored = spark.read.parquet(*map(str, (tmp_path / "s" / "rows").glob("version=*/bucket=*")))
+            sizes.append(stored.count())
+            assert sizes[-1] == got.count()  # nothing else lies on disk
+    assert sizes[1] == sizes[2] == 2 * 8 + 2
+
+
 @pytest.mark.parametrize("gap", [streams.STALL, "30001 milliseconds"])
 def test_quiet_jobs(spark, log_folder, tmp_path, gap):
     log = spark.read.parquet(log_folder)
