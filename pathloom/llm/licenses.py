@@ -50,6 +50,9 @@ EQUIVALENT_PHRASES = {
 }
 #: A line that only names who holds the copyright and when.
 COPYRIGHT_LINE = r"^[^A-Za-z0-9\n©]*(?:copyright|\(c\)|©)(?:[^\n]*(?:[0-9]{4}|\(c\)|©|<year>|\[year\])[^\n]*| by [^\n]*)$|^[^A-Za-z0-9\n]*all rights reserved[. ]*$"
+#: A line that only names who holds the copyright, without a year: one to twelve words after it, all of which begin with a capital, a letter beyond ASCII or ``<``. Looked
+#: for before letters are lower-cased, as sentences on copyright notices or holders go on in small letters or stand in capitals alone.
+HOLDER_LINE = r"^[^A-Za-z0-9\n]*[Cc]opyright:?(?: +by)?(?:,? +(?:[A-Z<]|[^\x00-\x7F])[^ \t\n,]*){1,12}[,. ]*$"
 #: How often a known digest is repeated, and the document side split, so that a frequent statement spreads over tasks.
 SALTS = 16
 
@@ -108,7 +111,8 @@ KNOWN: list[tuple[str, str]] = [
 def _spelled(line: Column) -> Column:
     """A line in lower case, without punctuation, its words in one spelling; empty if it is a copyright line. Letters beyond
     ASCII are kept as they are, so that no two of them are made equal."""
-    out = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = F.regexp_replace(line, "(?md)" + HOLDER_LINE, "")
+    out = F.translate(out, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = F.regexp_replace(out, "(?md)" + COPYRIGHT_LINE, "")
     out = F.trim(F.regexp_replace(out, r"[\x00-\x2A\x2C-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     for spelling, same in EQUIVALENT.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import COPYRIGHT_LINE, EQUIVALENT, EQUIVALENT_PHRASES, KNOWN
+from .licenses import COPYRIGHT_LINE, EQUIVALENT, EQUIVALENT_PHRASES, HOLDER_LINE, KNOWN
 from .url_filter import DAMPING_PERCENT, LINK, STEPS, UNIT
 
 ORACLES: dict[str, str] = {}
@@ -11,7 +11,8 @@ ORACLES: dict[str, str] = {}
 
 def _canonical(text: str) -> str:
     """The canonical form of a licence text, as in ``licenses.canonical``."""
-    out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"regexp_replace({text}, '(?m){HOLDER_LINE}', '', 'g')"
+    out = f"translate({out}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     out = f"regexp_replace({out}, '(?m){COPYRIGHT_LINE}', '', 'g')"
     out = f"trim(regexp_replace({out}, '[\\x00-\\x2A\\x2C-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' ')"
     for spelling, same in (EQUIVALENT | EQUIVALENT_PHRASES).items():

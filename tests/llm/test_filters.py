@@ -31,6 +31,27 @@ def test_licences(spark):
     assert len({r["digest"] for r in found}) == 4
 
 
+@pytest.mark.parametrize("line", ["Copyright Jane Doe", "copyright: Jane van Doe 2019", "Copyright by Example, Inc.", "# Copyright Jane Doe <jane@example.org>,", "Copyright \u00c9mile Zola"])
+def test_copyright_lines_do_not_count(spark, line):
+    docs = spark.createDataFrame([(1, f"{line}\n\n{KNOWN[0][1]}"), (2, line)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in scan_licenses(docs, known_digests(spark)).collect()}
+    assert found[1]["licenses"] == ["MIT"] and found[2]["licenses"] == [] and found[2]["digest"] != found[1]["digest"]
+
+
+@pytest.mark.parametrize("line", ["copyright notice and this list of conditions", "Copyright holders may not be named", "Copyright is not claimed here", "COPYRIGHT HOLDERS BE LIABLE"])
+def test_sentences_on_copyright_count(spark, line):
+    docs = spark.createDataFrame([(1, f"{line}\n\n{KNOWN[0][1]}")], "doc_id long, text string")
+    assert scan_licenses(docs, known_digests(spark)).first()["licenses"] == []
+
+
+def test_licences_of_empty_and_very_long_texts(spark):
+    known = known_digests(spark)
+    assert scan_licenses(spark.createDataFrame([], "doc_id long, text string"), known).isEmpty()
+    long_ = "Copyright " + "Jane " * 200_000 + "\n" + "x" * 1_000_000 + "\n" + "Licensed under CC BY 4.0.\n" * 3
+    row = scan_licenses(spark.createDataFrame([(1, long_, "clash", "clash")], "doc_id long, text string, license string, digest string"), known).first()
+    assert (row["licenses"], row["statements"], row["n_statements"]) == ([], ["CC-BY-4.0"], 3)
+
+
 def test_licences_where_the_known_ones_are_not_broadcast(spark):
     docs = spark.createDataFrame([(i, "Licensed under CC BY 4.0.") for i in range(50)], "doc_id long, text string")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
