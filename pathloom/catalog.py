@@ -621,8 +621,11 @@ PAGES = "page_id BIGINT, url STRING, html STRING"
 
 
 def arriving(c: Corpus, name: str) -> DataFrame:
-    """A derived table as a stream over the stored pages."""
-    stored = c.spark.readStream.schema(PAGES).option("pathGlobFilter", "pages.parquet").parquet(c.folder)
+    """A derived table as a stream over the stored pages, one file or a folder of them.
+
+    The stream's path has to be a folder or a pattern; in braces the name is a pattern that fits only itself.
+    """
+    stored = c.spark.readStream.schema(PAGES).parquet(f"{c.folder}/{{pages.parquet}}")
     live = Corpus(c.spark, c.folder)
     live._built["pages"] = stored
     return live[name]

@@ -170,3 +170,20 @@ def test_contents_of_arriving_pages(spark, corpus, tmp_path):
     batch = page_contents(corpus["pages_rich"])
     got = spark.read.parquet(str(tmp_path / "out")).select(batch.columns)
     assert got.exceptAll(batch).count() == 0 and got.count() == batch.count()
+
+
+def stored_in_parts(spark, place):
+    """The same own pages as one file and as a folder of several: the two corpus folders."""
+    page = "<html><head><title>T{0}</title></head><body><h1>H{0}</h1><p>some words {0}</p></body></html>"
+    pages = spark.createDataFrame([(i, f"https://s{i % 3}.example.org/p/{i}", page.format(i)) for i in range(48)], catalog.PAGES)
+    pages.coalesce(1).write.parquet(f"{place}/written")
+    (place / "one").mkdir()
+    next((place / "written").glob("part-*.parquet")).rename(place / "one" / "pages.parquet")
+    pages.repartition(3).write.parquet(f"{place}/many/pages.parquet")
+    pages.limit(1).write.parquet(f"{place}/many/pages.parquet.old")
+    return str(place / "one"), str(place / "many")
+
+
+def test_contents_of_pages_stored_as_a_folder(spark, tmp_path):
+    one, many = (rows(catalog.QUERIES["stream_page_contents"](spark, folder)) for folder in stored_in_parts(spark, tmp_path))
+    assert len(many) == 48 and many == one
