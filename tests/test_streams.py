@@ -187,3 +187,8 @@ def stored_in_parts(spark, place):
 def test_contents_of_pages_stored_as_a_folder(spark, tmp_path):
     one, many = (rows(catalog.QUERIES["stream_page_contents"](spark, folder)) for folder in stored_in_parts(spark, tmp_path))
     assert len(many) == 48 and many == one
+
+
+def test_pauses_of_pages_stored_as_a_folder(spark, tmp_path):
+    one, many = (rows(catalog.QUERIES["stream_rate_limit"](spark, folder)) for folder in stored_in_parts(spark, tmp_path))
+    assert len(many) == 1 and many == one
