@@ -2,24 +2,27 @@
 
 1. Every text becomes its set of word shingles, hashed to 64 bits. The sketch keeps the SKETCH smallest hashes of a set, so
    up to that size the sketch is the set.
-2. Inverted lists of retained values propose pairs. Of each sketch only the rarest values are listed, as many as a pair
-   with the required overlap must share at least one of, or COMMON for large sets (a prefix filter). How often a value
-   occurs is known only by bucket; any order that is the same for all documents is right, a good one makes the lists short.
-   Equal sets are listed once, as the smallest id.
+2. Inverted lists propose pairs. Of sets that are their own sketch the rarest values are listed, one more than a link may
+   lack (a prefix filter). How often a value occurs is known only by bucket; any order that is the same for all documents is
+   right, a good one makes the lists short. For links with a larger set, hashes are dealt to bands, and a set is listed for
+   each band under the ROWS or so smallest of its hashes there, taken as one value: sets meet where all of these are the same,
+   which is likely for a link and soon rare below. Equal sets are listed once, as the smallest id.
 3. Lists are kept apart by size class, and first each member is paired with one only, the one with the fewest rarer values.
-   Verified pairs are united; then all other pairs of a list are tried whose ends are not yet connected, whose sizes allow
-   a link and whose places in the order still leave room for enough overlap. So a large group of near copies costs about
-   one pair a member and list, and no link between two components is missed.
+   Verified pairs are united. Then each member of a list outside its largest component is paired with one of that component,
+   another one in each list, and these are united. Last all other pairs of a list are tried whose ends are not yet connected, whose sizes
+   allow a link and whose places in the order still leave room for enough overlap; those inside a list's largest component are never
+   looked at. So a large group of near copies costs a few pairs a member and list, and no link between two components is missed.
 4. The bottom-k of two sketches' union estimates the similarity and drops pairs far below the threshold.
 5. What remains is verified on the full sets made again from the texts.
 
-Where both sets have at most SKETCH / 1.25 shingles, steps 2 to 4 lose nothing. For larger sets a pair at the threshold is
-lost with a probability below 1e-8 (a binomial tail: fewer than LISTED_SHARE of SKETCH draws that each succeed with 0.8).
+Where both sets have at most SKETCH shingles, steps 2 and 3 lose nothing, and up to SKETCH / 1.25 step 4 neither. With a larger set a pair
+at the threshold meets in no band with a probability below MISSED.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,19 +38,19 @@ from .components import components
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 SKETCH = 512
-#: Share of a full sketch that two documents at the threshold have in common, but for a probability of 2e-9.
-LISTED_SHARE = 0.68
+#: Probability that a link with a set larger than its sketch meets in no band.
+MISSED = 5e-10
+#: A band's values are so many that a pair at the threshold shares all of them with about this probability.
+BAND_SHARE = 0.168
 #: Values of the union that the estimate looks at, and the share of them that a pair needs to be verified: 6.2 standard deviations below.
 ESTIMATE = 64
 ESTIMATE_SHARE = 0.49
-#: Listed values that a pair must have in common where its sets are larger than their sketches; a star must have as many.
-COMMON = 3
 #: How often a value occurs is counted by bucket of its hash, about one for eight retained values. A task sends its counts in blocks of _BLOCK
 #: buckets, a byte each; all counts come to the driver as one byte each, on a scale of eighths of an octave.
 _LEAST_BUCKETS, _MOST_BUCKETS, _BLOCK = 1 << 16, 1 << 22, 1 << 12
 #: Tasks whose blocks are added up first.
 _TOGETHER = 256
-#: Ids of texts to verify are told apart by so many buckets; texts in no bucket aren't moved. This bounds the broadcast.
+#: Ids of sketches and texts to compare are told apart by so many buckets; those in no bucket aren't moved. This bounds the broadcast.
 _TEXT_BUCKETS = 1 << 18
 
 
@@ -69,16 +72,24 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
                 yield mixed(run_hashes(hashes[a:b], b - a) + np.uint64(b - a)) if b > a else np.zeros(0, np.uint64)
 
 
-def _need(n: int, percent: int) -> int:
-    """Of a sketch of a set of n shingles, how many values it has in common with that of a set that it is linked with."""
-    whole = -(-n * percent // 100)
-    # A partner has at most n * 100 / percent shingles; while that fits a sketch, both are whole sets.
-    return max(1, whole if n * 100 <= SKETCH * percent else int(min(n, SKETCH) * LISTED_SHARE * percent / PERCENT))
+def _bands(percent: int) -> tuple[int, int]:
+    """(bands, values of each): with 80 percent, 117 and 8."""
+    share = min(percent, 99) / 100
+    values = min(32, max(1, round(math.log(BAND_SHARE) / math.log(share))))
+    return math.ceil(math.log(MISSED) / math.log(1 - share**values)), values
 
 
-def _common(n: int, percent: int) -> int:
-    """How many listed values a pair has in common at least, by the size of one of its sets; the smaller number counts."""
-    return min(COMMON, _need(n, percent)) if n * 100 > SKETCH * percent else 1
+def _band_keys(found: np.ndarray, bands: int, values: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each band that has hashes of a set: its smallest ``values`` ones as one value, and the smallest one."""
+    found = found[: 8 * bands * values]  # far more than needed to fill each band
+    at = (found % np.uint64(bands)).astype(np.int16)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    least, counted = order[rank < values], rank[rank < values]
+    sums = np.add.reduceat(mixed(found[least]), np.flatnonzero(counted == 0))
+    return mixed(sums + at[starts].astype(np.uint64) + np.uint64(1)), found[order[starts]]
 
 
 def _heads(size: int):
@@ -151,10 +162,11 @@ def _added(kind: type, scaled: bool = False):
 
 
 def _listing(size: int, percent: int, sent):
-    """(value, digest, id, n, place, kept, need) of the values of each document that are listed."""
+    """(value, digest, id, n, place, band): the values under which each document is listed, and how many of its sketch are rarer."""
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = sent.value, set()
+        bands, values = _bands(percent)
         for batch in batches:
             parts: list[list[np.ndarray]] = []
             held = 0
@@ -165,12 +177,20 @@ def _listing(size: int, percent: int, sent):
                 if digest in seen:  # a copy in the same task
                     continue
                 seen.add(digest)
-                sketch = found[:SKETCH]
-                need = _need(len(found), percent)
-                order = np.lexsort((sketch, often[_bucket(sketch, len(often))]))[: len(sketch) - need + _common(len(found), percent)]
-                same = lambda x, m=len(order): np.full(m, x, np.int64)
-                parts.append([sketch[order].view(np.int64), same(digest), same(id), same(len(found)), np.arange(len(order), dtype=np.int64)])
-                held += len(order)
+                sketch, n = found[:SKETCH], len(found)
+                counts = often[_bucket(sketch, len(often))]
+                listed = []
+                if n <= SKETCH:
+                    need = max(1, -(-n * percent // 100))
+                    order = np.lexsort((sketch, counts))[: n - need + 1]
+                    listed.append((sketch[order], np.arange(len(order), dtype=np.int64), 0))
+                if n * 100 > SKETCH * percent:  # a partner may be larger than its sketch
+                    keys, first = _band_keys(found, bands, values)
+                    listed.append((keys, np.searchsorted(np.sort(counts), often[_bucket(first, len(often))]), 1))
+                for value, place, band in listed:
+                    same = lambda x, m=len(value): np.full(m, x, np.int64)
+                    parts.append([value.view(np.int64), same(digest), same(id), same(n), place.astype(np.int64), same(band)])
+                    held += len(value)
                 if held > 500_000:
                     yield _rows(parts)
                     parts, held = [], 0
@@ -180,8 +200,8 @@ def _listing(size: int, percent: int, sent):
 
 
 def _rows(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-    columns = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in parts)]) for i in range(5)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["value", "digest", "id", "n", "place"])
+    columns = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in parts)]) for i in range(6)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["value", "digest", "id", "n", "place", "band"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +244,7 @@ class NearDuplicates:
         self.heads = cut_lineage(self.texts.mapInArrow(freed(_heads(size)), "id long, n long, digest long, estimate array<long>"))
 
     def _lists(self) -> DataFrame:
-        """(value, id, n, place): the inverted lists, equal sets once, and only where at least two sets meet."""
+        """(value, id, n, place, band): the inverted lists, equal sets once, and only where at least two sets meet."""
         retained = self.heads.agg(F.sum(F.least("n", F.lit(SKETCH)))).first()[0] or 0
         buckets = min(_MOST_BUCKETS, max(_LEAST_BUCKETS, 1 << (retained // 8).bit_length()))
         schema = "block long, task long, counts binary"
@@ -235,14 +255,24 @@ class NearDuplicates:
         for row in every.select("block", "counts").collect():  # one byte for each bucket
             often[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["counts"], np.uint8)
         sent = self.texts.sparkSession.sparkContext.broadcast(often)
-        listed = self.texts.mapInArrow(freed(_listing(self.size, self.percent, sent)), "value long, digest long, id long, n long, place long")
-        once = listed.repartition("value").groupBy("value", "digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("place").alias("place"))
+        listed = self.texts.mapInArrow(freed(_listing(self.size, self.percent, sent)), "value long, digest long, id long, n long, place long, band long")
+        least = [F.min(name).alias(name) for name in ("id", "n", "place", "band")]
+        once = listed.repartition("value").groupBy("value", "digest").agg(*least)
         sets = F.count("*").over(Window.partitionBy("value"))
-        return once.withColumn("sets", sets).filter("sets > 1").select("value", "id", "n", "place")
+        return once.withColumn("sets", sets).filter("sets > 1").select("value", "id", "n", "place", "band")
+
+    @staticmethod
+    def _named(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The rows whose ids share a bucket with those of the pairs; the others needn't be moved."""
+        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(_TEXT_BUCKETS)).cast("int")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+        wanted = ids.select(bucket("id").alias("bucket")).distinct()  # at most _TEXT_BUCKETS rows, whatever the input
+        return rows.join(F.broadcast(wanted), bucket("id") == F.col("bucket"), "left_semi")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the candidate pairs (a, b) that are links."""
-        heads = self.heads.select("id", "estimate")
+        pairs = cut_lineage(pairs)
+        heads = self._named(self.heads.select("id", "estimate"), pairs)
         likely = (
             pairs.join(heads.select(F.col("id").alias("a"), F.col("estimate").alias("x")), "a")
             .join(heads.select(F.col("id").alias("b"), F.col("estimate").alias("y")), "b")
@@ -250,10 +280,7 @@ class NearDuplicates:
             .mapInArrow(freed(_likely), "a long, b long")
         )
         likely = cut_lineage(likely)
-        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(_TEXT_BUCKETS)).cast("int")
-        ids = likely.select(F.col("a").alias("id")).union(likely.select("b"))
-        wanted = ids.select(bucket("id").alias("bucket")).distinct()  # at most _TEXT_BUCKETS rows, whatever the input
-        some = self.texts.join(F.broadcast(wanted), bucket("id") == F.col("bucket"), "left_semi")
+        some = self._named(self.texts, likely)
         return (
             likely.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
             .join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
@@ -261,6 +288,15 @@ class NearDuplicates:
             .mapInArrow(freed(_linked(self.size, self.percent)), "a long, b long")
         )
 
+    def _open(self, lists: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+        """The lists that are in several components, with each row's component and the one that most rows of its list are in."""
+        known = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).repartition("value")
+        sizes = known.withColumn("m", F.count("*").over(Window.partitionBy(*keys, "component")))
+        of_list = Window.partitionBy(*keys)
+        parts = sizes.withColumn("top", F.max(F.struct("m", "component")).over(of_list)["component"])
+        parts = parts.withColumn("parted", F.min("component").over(of_list) != F.max("component").over(of_list))
+        return parts.filter("parted").drop("m", "parted")
+
     def classes(self) -> DataFrame:
         """(id, n, component), one row per row: the size of its set and the smallest id reachable over links."""
         lists = cut_lineage(self._lists())
@@ -271,35 +307,31 @@ class NearDuplicates:
         step = float(np.log(100 / self.percent))
         classed = lists.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
         # The member with the fewest rarer values is nearest to what the others have in common.
-        nearest = F.min(F.struct("place", "id"))["id"]
-        lead = classed.groupBy("value", "class").agg(nearest.alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
-        met = classed.join(lead, ["value", "class"]).filter("id <> a").groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        # Stars only save work for the next step, so pairs that meet in few lists can wait for it.
-        large = F.col("n") * 100 > SKETCH * self.percent
-        met = met.agg(F.count("*").alias("m"), F.min(F.when(large, F.lit(COMMON)).otherwise(F.lit(1))).alias("least"))
-        stars = met.filter("m >= least").select("a", "b")
+        of_list = Window.partitionBy("value", "class")
+        nearest = F.min(F.struct("place", "id")).over(of_list)["id"]
+        led = classed.repartition("value").withColumn("lead", nearest).filter("id <> lead")
+        stars = led.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
         links = cut_lineage(self._verified(stars.union(copies).distinct()))
-        first = components(links)
-        known = lists.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # Lists that are one component have nothing left to find.
-        open_lists = known.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        known = known.join(open_lists.select("value"), "value", "left_semi")
-        x, y = known.alias("x"), known.alias("y")
+        # Once more from the components found so far: members outside a list's largest one meet one of its members.
+        known = self._open(classed, components(links), ["value", "class"])
+        some = F.min_by(F.when(F.col("component") == F.col("top"), F.col("id")), F.when(F.col("component") == F.col("top"), F.xxhash64("value", "id")))
+        outside = known.withColumn("lead", some.over(of_list)).filter("component <> top")
+        again = outside.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+        links = cut_lineage(links.union(self._verified(again)))
+        known = self._open(lists, components(links), ["value"])
+        x, y = known.filter("component <> top").alias("x"), known.alias("y")
         low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
         # Shingles that two sets at the threshold have in common, and the most that are left from these places on.
         common = F.ceil((F.col("x.n") + F.col("y.n")) * self.percent / F.lit(100.0 + self.percent))
         left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-        whole = high <= SKETCH
-        least_common = F.when(low * 100 > SKETCH * self.percent, F.lit(COMMON)).otherwise(F.lit(1))
         possible = (
             (F.col("x.value") == F.col("y.value"))
-            & (F.col("x.id") < F.col("y.id"))
+            & ((F.col("x.id") < F.col("y.id")) | (F.col("y.component") == F.col("y.top")))
             & (F.col("x.component") != F.col("y.component"))
             & (low * 100 >= high * self.percent)
-            & (~whole | (left >= common - least_common + 1))
+            & F.when(F.col("x.band") == 0, left >= common).otherwise(high > SKETCH)
         )
-        met = x.join(y, possible).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        more = met.agg(F.count("*").alias("m"), F.first(least_common).alias("least")).filter("m >= least").select("a", "b")
+        more = x.join(y, possible).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         found = components(links.union(self._verified(more)))
         return self.heads.select("id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 

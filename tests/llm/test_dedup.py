@@ -94,6 +94,30 @@ def test_near_copies_of_generated_groups(spark):
     assert len({x[2] for x in got}) < len(got) - 50
 
 
+def test_large_texts_around_the_threshold(spark):
+    draw = random.Random(5)
+    docs = []
+    for group in range(2):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(430 + 470 * group)]
+        for k in range(40):
+            rate = draw.choice((0.01, 0.03, 0.06))
+            docs.append((1000 * group + k, " ".join(f"e{draw.randrange(10**6)}" if draw.random() < rate else w for w in words)))
+    classes = NearDuplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=4).classes()
+    got = sorted((r.id, r.n, r.component, r.id == r.component) for r in classes.collect())
+    assert got == near(docs)
+    assert 1 < sum(r[3] for r in got) < 60
+
+
+def test_texts_that_are_not_alike_enough_seldom_meet(spark):
+    """Pairs with a similarity of about a half are not candidates again and again."""
+    draw = random.Random(6)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(900)]
+    docs = [(k, " ".join(f"e{draw.randrange(10**6)}" if draw.random() < 0.04 else w for w in words)) for k in range(40)]
+    lists = NearDuplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=4)._lists()
+    met = lists.groupBy("value").count().selectExpr("sum(count * (count - 1) / 2) AS met").first().met or 0
+    assert met < 4 * 780  # there are 780 pairs
+
+
 def test_near_copies_with_odd_rows(spark):
     rows = [(2, "a b c d e f", "x", 1), (2, "a b c d e f", "x", 1), (1, "A B C D E F", None, 2), (None, "a b c d e f", "x", 3), (7, None, "x", 4)]
     out = drop_near_copies(spark.createDataFrame(rows, DOCS))
