@@ -1,28 +1,25 @@
-"""MinHash near-deduplication with bottom-k sketches from one hash function.
-
-1. Every text becomes its set of word shingles, hashed to 64 bits. The sketch keeps the SKETCH smallest hashes of a set, so
-   up to that size the sketch is the set.
-2. Inverted lists propose pairs. Of sets that are their own sketch the rarest values are listed, one more than a link may
-   lack (a prefix filter). How often a value occurs is known only by bucket; any order that is the same for all documents is
-   right, a good one makes the lists short. For links with a larger set, hashes are dealt to bands, and a set is listed for
-   each band under the ROWS or so smallest of its hashes there, taken as one value: sets meet where all of these are the same,
-   which is likely for a link and soon rare below. Equal sets are listed once, as the smallest id.
+"""MinHash near-deduplication with a prefix filter on whole sets.
+
+1. Every text becomes its set of word shingles, hashed to 64 bits.
+2. Inverted lists propose pairs. Of each set the rarest values are listed, one more than a link may lack (a prefix filter). How often a value
+   occurs is known only by bucket; any order that is the same for all documents is right, a good one makes the lists short. From the number
+   of rarer values follows how large a partner may be whose first common value this is; rows whose list has no set that small leave it.
+   Equal sets are listed once, as the smallest id.
 3. Lists are kept apart by size class, and first each member is paired with one only, the one with the fewest rarer values.
    Verified pairs are united. Then each member of a list outside its largest component is paired with one of that component,
    another one in each list, and these are united. Last all other pairs of a list are tried whose ends are not yet connected, whose sizes
    allow a link and whose places in the order still leave room for enough overlap; those inside a list's largest component are never
    looked at. So a large group of near copies costs a few pairs a member and list, and no link between two components is missed.
-4. The bottom-k of two sketches' union estimates the similarity and drops pairs far below the threshold.
+   No pair is tried twice.
+4. The smallest hashes of two sets' union estimate the similarity and drop pairs far below the threshold.
 5. What remains is verified on the full sets made again from the texts.
 
-Where both sets have at most SKETCH shingles, steps 2 and 3 lose nothing, and up to SKETCH / 1.25 step 4 neither. With a larger set a pair
-at the threshold meets in no band with a probability below MISSED.
+Steps 2 and 3 lose nothing, whatever the size of the sets. Step 4 drops a pair at the threshold with a probability of about 2e-8 at most.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,15 +34,10 @@ from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-SKETCH = 512
-#: Probability that a link with a set larger than its sketch meets in no band.
-MISSED = 5e-10
-#: A band's values are so many that a pair at the threshold shares all of them with about this probability.
-BAND_SHARE = 0.168
 #: Values of the union that the estimate looks at, and the share of them that a pair needs to be verified: 6.2 standard deviations below.
 ESTIMATE = 64
 ESTIMATE_SHARE = 0.49
-#: How often a value occurs is counted by bucket of its hash, about one for eight retained values. A task sends its counts in blocks of _BLOCK
+#: How often a value occurs is counted by bucket of its hash, about one for eight values. A task sends its counts in blocks of _BLOCK
 #: buckets, a byte each; all counts come to the driver as one byte each, on a scale of eighths of an octave.
 _LEAST_BUCKETS, _MOST_BUCKETS, _BLOCK = 1 << 16, 1 << 22, 1 << 12
 #: Tasks whose blocks are added up first.
@@ -72,26 +64,6 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
                 yield mixed(run_hashes(hashes[a:b], b - a) + np.uint64(b - a)) if b > a else np.zeros(0, np.uint64)
 
 
-def _bands(percent: int) -> tuple[int, int]:
-    """(bands, values of each): with 80 percent, 117 and 8."""
-    share = min(percent, 99) / 100
-    values = min(32, max(1, round(math.log(BAND_SHARE) / math.log(share))))
-    return math.ceil(math.log(MISSED) / math.log(1 - share**values)), values
-
-
-def _band_keys(found: np.ndarray, bands: int, values: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each band that has hashes of a set: its smallest ``values`` ones as one value, and the smallest one."""
-    found = found[: 8 * bands * values]  # far more than needed to fill each band
-    at = (found % np.uint64(bands)).astype(np.int16)
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-    least, counted = order[rank < values], rank[rank < values]
-    sums = np.add.reduceat(mixed(found[least]), np.flatnonzero(counted == 0))
-    return mixed(sums + at[starts].astype(np.uint64) + np.uint64(1)), found[order[starts]]
-
-
 def _heads(size: int):
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +71,7 @@ def _heads(size: int):
             for found in shingle_sets(batch.column(1), size):
                 n.append(len(found))
                 digests.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True))
-                estimates.append(found[:ESTIMATE].view(np.int64))
+                estimates.append((found[:ESTIMATE] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.int64()), _lists(estimates)], names=["id", "n", "digest", "estimate"]
             )
@@ -110,7 +82,7 @@ def _heads(size: int):
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(x) for x in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]), pa.int32()))
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -118,7 +90,7 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _frequency(size: int, buckets: int):
-    """(block, task, counts): how many retained values of a task fall into each bucket of their hashes, 255 at most per row."""
+    """(block, task, counts): how many values of a task fall into each bucket of their hashes, 255 at most per row."""
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(buckets, np.uint32)
@@ -126,7 +98,7 @@ def _frequency(size: int, buckets: int):
             held, n = [], 0
             for found in [*shingle_sets(batch.column(0), size), None]:
                 if found is not None:
-                    held.append(found[:SKETCH])
+                    held.append(found)
                     n += len(held[-1])
                 if held and (found is None or n > 500_000):
                     at, often = np.unique(_bucket(np.concatenate(held), buckets), return_counts=True)
@@ -162,11 +134,10 @@ def _added(kind: type, scaled: bool = False):
 
 
 def _listing(size: int, percent: int, sent):
-    """(value, digest, id, n, place, band): the values under which each document is listed, and how many of its sketch are rarer."""
+    """(value, digest, id, n, place): the values under which each document is listed, and how many of its set are rarer."""
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = sent.value, set()
-        bands, values = _bands(percent)
         for batch in batches:
             parts: list[list[np.ndarray]] = []
             held = 0
@@ -177,20 +148,12 @@ def _listing(size: int, percent: int, sent):
                 if digest in seen:  # a copy in the same task
                     continue
                 seen.add(digest)
-                sketch, n = found[:SKETCH], len(found)
-                counts = often[_bucket(sketch, len(often))]
-                listed = []
-                if n <= SKETCH:
-                    need = max(1, -(-n * percent // 100))
-                    order = np.lexsort((sketch, counts))[: n - need + 1]
-                    listed.append((sketch[order], np.arange(len(order), dtype=np.int64), 0))
-                if n * 100 > SKETCH * percent:  # a partner may be larger than its sketch
-                    keys, first = _band_keys(found, bands, values)
-                    listed.append((keys, np.searchsorted(np.sort(counts), often[_bucket(first, len(often))]), 1))
-                for value, place, band in listed:
-                    same = lambda x, m=len(value): np.full(m, x, np.int64)
-                    parts.append([value.view(np.int64), same(digest), same(id), same(n), place.astype(np.int64), same(band)])
-                    held += len(value)
+                n = len(found)
+                need = max(1, -(-n * percent // 100))
+                order = np.lexsort((found, often[_bucket(found, len(often))]))[: n - need + 1]
+                same = lambda x, m=len(order): np.full(m, x, np.int64)
+                parts.append([found[order].view(np.int64), same(digest), same(id), same(n), np.arange(len(order))])
+                held += len(order)
                 if held > 500_000:
                     yield _rows(parts)
                     parts, held = [], 0
@@ -200,8 +163,8 @@ def _listing(size: int, percent: int, sent):
 
 
 def _rows(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-    columns = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in parts)]) for i in range(6)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["value", "digest", "id", "n", "place", "band"])
+    columns = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in parts)]) for i in range(5)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["value", "digest", "id", "n", "place"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +172,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False), strict=True):
-            both = np.sort(np.concatenate((x, y)).view(np.uint64))
+            both = np.sort(np.concatenate((x, y)).view(np.uint32))
             twice = both[1:] == both[:-1]
             values = np.concatenate(([True], ~twice))
             # The k smallest values of the union, where both sketches reach.
@@ -241,11 +204,11 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = PERCENT):
         self.size, self.percent = size, percent
         self.texts = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        self.heads = cut_lineage(self.texts.mapInArrow(freed(_heads(size)), "id long, n long, digest long, estimate array<long>"))
+        self.heads = cut_lineage(self.texts.mapInArrow(freed(_heads(size)), "id long, n long, digest long, estimate array<int>"))
 
     def _lists(self) -> DataFrame:
-        """(value, id, n, place, band): the inverted lists, equal sets once, and only where at least two sets meet."""
-        retained = self.heads.agg(F.sum(F.least("n", F.lit(SKETCH)))).first()[0] or 0
+        """(value, id, n, place, reach): the inverted lists, equal sets once, and only rows that may have a partner in their list."""
+        retained = self.heads.agg(F.sum("n")).first()[0] or 0
         buckets = min(_MOST_BUCKETS, max(_LEAST_BUCKETS, 1 << (retained // 8).bit_length()))
         schema = "block long, task long, counts binary"
         counted = self.texts.select("text").mapInArrow(freed(_frequency(self.size, buckets)), schema)
@@ -255,11 +218,15 @@ class NearDuplicates:
         for row in every.select("block", "counts").collect():  # one byte for each bucket
             often[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["counts"], np.uint8)
         sent = self.texts.sparkSession.sparkContext.broadcast(often)
-        listed = self.texts.mapInArrow(freed(_listing(self.size, self.percent, sent)), "value long, digest long, id long, n long, place long, band long")
-        least = [F.min(name).alias(name) for name in ("id", "n", "place", "band")]
+        listed = self.texts.mapInArrow(freed(_listing(self.size, self.percent, sent)), "value long, digest long, id long, n long, place long")
+        least = [F.min(name).alias(name) for name in ("id", "n", "place")]
         once = listed.repartition("value").groupBy("value", "digest").agg(*least)
-        sets = F.count("*").over(Window.partitionBy("value"))
-        return once.withColumn("sets", sets).filter("sets > 1").select("value", "id", "n", "place", "band")
+        # Two sets at the threshold have percent / (100 + percent) of their sizes' sum in common, and at most what is left from the first common
+        # value on. So ``reach`` is the largest size of a partner whose first common value this is.
+        reach = F.floor((F.col("n") - F.col("place")) * (100 + self.percent) / F.lit(float(self.percent)) - F.col("n") + F.lit(1e-6))
+        of_list = Window.partitionBy("value")
+        near = once.withColumn("reach", reach.cast("long")).withColumn("smallest", F.min("n").over(of_list)).filter("reach >= smallest")
+        return near.withColumn("sets", F.count("*").over(of_list)).filter("sets > 1").select("value", "id", "n", "place", "reach")
 
     @staticmethod
     def _named(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -270,8 +237,7 @@ class NearDuplicates:
         return rows.join(F.broadcast(wanted), bucket("id") == F.col("bucket"), "left_semi")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the candidate pairs (a, b) that are links."""
-        pairs = cut_lineage(pairs)
+        """Those of the candidate pairs (a, b) that are links; the pairs are a written table."""
         heads = self._named(self.heads.select("id", "estimate"), pairs)
         likely = (
             pairs.join(heads.select(F.col("id").alias("a"), F.col("estimate").alias("x")), "a")
@@ -311,27 +277,27 @@ class NearDuplicates:
         nearest = F.min(F.struct("place", "id")).over(of_list)["id"]
         led = classed.repartition("value").withColumn("lead", nearest).filter("id <> lead")
         stars = led.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
-        links = cut_lineage(self._verified(stars.union(copies).distinct()))
+        tried = cut_lineage(stars.union(copies).distinct())
+        links = cut_lineage(self._verified(tried))
         # Once more from the components found so far: members outside a list's largest one meet one of its members.
         known = self._open(classed, components(links), ["value", "class"])
         some = F.min_by(F.when(F.col("component") == F.col("top"), F.col("id")), F.when(F.col("component") == F.col("top"), F.xxhash64("value", "id")))
         outside = known.withColumn("lead", some.over(of_list)).filter("component <> top")
-        again = outside.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+        again = cut_lineage(outside.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).subtract(tried))
         links = cut_lineage(links.union(self._verified(again)))
         known = self._open(lists, components(links), ["value"])
         x, y = known.filter("component <> top").alias("x"), known.alias("y")
         low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-        # Shingles that two sets at the threshold have in common, and the most that are left from these places on.
-        common = F.ceil((F.col("x.n") + F.col("y.n")) * self.percent / F.lit(100.0 + self.percent))
-        left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
         possible = (
             (F.col("x.value") == F.col("y.value"))
             & ((F.col("x.id") < F.col("y.id")) | (F.col("y.component") == F.col("y.top")))
             & (F.col("x.component") != F.col("y.component"))
             & (low * 100 >= high * self.percent)
-            & F.when(F.col("x.band") == 0, left >= common).otherwise(high > SKETCH)
+            & (F.col("x.reach") >= F.col("y.n"))
+            & (F.col("y.reach") >= F.col("x.n"))
         )
-        more = x.join(y, possible).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        more = x.join(y, possible).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        more = cut_lineage(more.subtract(tried.union(again)))
         found = components(links.union(self._verified(more)))
         return self.heads.select("id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 

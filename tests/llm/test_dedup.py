@@ -118,6 +118,28 @@ def test_texts_that_are_not_alike_enough_seldom_meet(spark):
     assert met < 4 * 780  # there are 780 pairs
 
 
+@pytest.mark.parametrize("size", [4, 5])
+def test_pairs_tried_grow_with_the_group(spark, monkeypatch, size):
+    """Variants of a long text, many of them too far off for a link: a few pairs each are tried, not their square."""
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(800)]
+    docs = []
+    for k in range(160):
+        rate = draw.uniform(0.005, 0.06)
+        docs.append((k, " ".join(f"e{draw.randrange(10**6)}" if draw.random() < rate else w for w in words)))
+    tried, verified = [], NearDuplicates._verified
+
+    def counted(self, pairs):
+        tried.append(pairs.count())
+        return verified(self, pairs)
+
+    monkeypatch.setattr(NearDuplicates, "_verified", counted)
+    classes = NearDuplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=size).classes()
+    got = sorted((r.id, r.n, r.component, r.id == r.component) for r in classes.collect())
+    assert got == near(docs, size)
+    assert 10 < sum(r[3] for r in got) < 150 and sum(tried) < 4 * len(docs)
+
+
 def test_near_copies_with_odd_rows(spark):
     rows = [(2, "a b c d e f", "x", 1), (2, "a b c d e f", "x", 1), (1, "A B C D E F", None, 2), (None, "a b c d e f", "x", 3), (7, None, "x", 4)]
     out = drop_near_copies(spark.createDataFrame(rows, DOCS))
